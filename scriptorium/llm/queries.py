@@ -11,8 +11,14 @@ from .kd_shards import kd_shards
 from .line_chunks import dedup_line_chunks
 from .line_frequency import line_verdicts
 from .mixing import mix_rates
+from .packing import pack
+from .personal_data import personal_data
+from .toxicity import score, train_chain
+from .warc import read_archives, write_archives
 
 SHARDS = 40
+#: Documents are rejected from this probability on.
+TOXIC_AT = 0.5
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +29,16 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = kd_shards(table(spark, sf_dir, "documents"), n_shards=SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,11 +54,35 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op5_kd_shards, op6_line_chunks, op7_mixing)}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, p_junk, p_toxic: junk is a quality of 0, and comes first in the chain."""
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    return score(docs, train_chain(docs, labels, ("junk", "toxic")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("*", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"), (F.col("p_toxic") < TOXIC_AT).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op7_mixing, op9_personal_data, op10_toxicity)}
 
 _WS = r"[\x20\x09-\x0D]"
 
 SQL = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op1_exact_dedup": rf"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
