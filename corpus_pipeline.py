@@ -5,25 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table, written
+from scriptorium.llm.common import sized_join, table, written
 from scriptorium.llm.exact_dedup import exact_dedup
+from scriptorium.llm.jaccard_join import jaccard_classes
 from scriptorium.llm.mixing import mixed
+from scriptorium.llm.packing import pack
+from scriptorium.llm.queries import TOXIC_AT, toxicity
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` but for the doc_ids of ``dropped``; a null doc_id is never dropped."""
+    return sized_join(docs, written(dropped.select("doc_id").distinct(), name), ["doc_id"], "left_anti", 16)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    rated = toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, rated.filter(F.col("p_toxic") >= TOXIC_AT), "dropped-toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space one stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id", F.lit(True).alias("_kept"))
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    """Of documents that are equal but for white space one stays. Rows that repeat a
+    doc_id count as one document: it stays if one of them does."""
+    rows = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return _without(docs, rows.filter(~F.col("kept")), "dropped-copies")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles link at 0.8 the one with the smallest doc_id
+    stays."""
+    rows = jaccard_classes(docs, n=5, num=80, den=100)
+    return _without(docs, rows.filter("doc_id <> component_id"), "dropped-near-copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out by their source's rate."""
+    """Documents are repeated or left out by their source's rate."""
     return mixed(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix)]
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("packing", pack_tokens),
+]
 
-#: The classifier that the first stage trains is not expressible in SQL.
+#: The classifier that the first stage trains, and the packing, are not expressible in SQL.
 ORACLE_SQL = None
 
 

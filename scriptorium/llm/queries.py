@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_classes
 from .kd_shards import kd_shards
 from .line_chunks import dedup_line_chunks
 from .line_frequency import line_verdicts
@@ -18,7 +19,7 @@ from .warc import read_archives, write_archives
 
 SHARDS = 40
 #: Documents are rejected from this probability on.
-TOXIC_AT = 0.5
+TOXIC_AT = 0.4
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = personal_data(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -70,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"), (F.col("p_toxic") < TOXIC_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op7_mixing, op9_personal_data, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op7_mixing, op8_jaccard_join, op9_personal_data, op10_toxicity)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -151,6 +156,23 @@ SQL = {
                count(*) FILTER (gone)::BIGINT AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
                sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
         FROM marked GROUP BY doc_id""",
+    "op8_jaccard_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (
+            SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b
+            WHERE 100 * common >= 90 * (ca.n + cb.n - common)),
+        r(doc_id, reached) AS (
+            SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+        JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
     "op7_mixing": rf"""
         WITH d AS (
             SELECT doc_id, source, text, len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
