@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import filled, scratch_path, sized_join, squeezed, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no space taken in advance for each store, and what a batch changed
+#: rather than whole files goes to the checkpoint.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -42,9 +48,9 @@ def update_state(spark: SparkSession, log: str, state: str, bytes_per_batch: int
     of the rows sends one row per task. New files in the log are read on the next
     call; the state of earlier calls is kept.
     """
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(spark.read.parquet(log).schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(log)
         query = (
@@ -57,10 +63,8 @@ def update_state(spark: SparkSession, log: str, state: str, bytes_per_batch: int
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
