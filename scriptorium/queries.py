@@ -1,26 +1,511 @@
-"""Queries of the letter engine over the test tables, and the SQL that must agree."""
+"""Queries of the letter engine over the test tables, and the SQL that must agree.
+
+The test tables hold no letters, so letters are made from them: cells from lineitem,
+letter texts from orders, pages from conversations. The SQL computes what must come out
+from the source columns, or from the operator's meaning, on its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import text as t
+from .operators import compare, fields, match, pages, tables
+from .plans.report import report_rows as report
+from .profile import LATIN
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tracked_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters are orders, codes their parts, the master list the parts of one brand."""
-    code = lambda c: F.when(F.length(F.col(c).cast("string")) >= 6, F.col(c).cast("string")).otherwise(F.lpad(F.col(c).cast("string"), 6, "0"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", code("l_partkey").alias("code"))
-    master = table(spark, sf_dir, "part").filter(F.col("p_brand") == "Brand#12").select(code("p_partkey").alias("code"))
-    return lines.join(master, "code", "left_semi").select("l_orderkey").distinct()
+QUERIES = {}
+SQL = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# Matching
+
+
+def _code(c: str) -> Column:
+    return t.zero_pad_code(F.col(c).cast("string"))
+
+
+def _master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").filter("p_brand = 'Brand#12'")
+    return parts.select(_code("p_partkey").alias("code"), F.col("p_name").alias("name"))
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", _code("l_partkey").alias("code"))
+
+
+@query("""SELECT DISTINCT l_orderkey FROM lineitem l
+    WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_brand = 'Brand#12')""")
+def tracked_letters(spark, sf_dir):
+    return match.tracked_letters(_codes(spark, sf_dir), _master(spark, sf_dir), "l_orderkey", "code")
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT lpad(l_partkey::VARCHAR, 6, '0'))), ',') AS codes
+    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#12' GROUP BY l_orderkey""")
+def tracked_codes(spark, sf_dir):
+    rows = match.tracked_codes(_codes(spark, sf_dir), _master(spark, sf_dir), "l_orderkey", "code")
+    return rows.select("l_orderkey", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""SELECT o_custkey, o_orderstatus AS status FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
+def last_wins(spark, sf_dir):
+    rows = match.last_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderkey")
+    return rows.select("o_custkey", F.col("o_orderstatus").alias("status"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN sha256(url) || '.pdf' END AS key FROM pages""")
+def url_cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.url_cache_key(F.col("url")).alias("key"))
+
+
+@query("""SELECT DISTINCT url, sha256(url) || '.pdf' AS key FROM pages p
+    WHERE NOT EXISTS (SELECT 1 FROM pages c WHERE c.url = p.url AND c.page_id % 3 = 0)""")
+def cache_misses(spark, sf_dir):
+    urls = table(spark, sf_dir, "pages")
+    cache = urls.filter("page_id % 3 = 0").select(t.url_cache_key(F.col("url")).alias("key"))
+    return match.cache_misses(urls, cache)
+
+
+# Scalars
+
+
+@query("SELECT p_partkey, reverse(p_name) AS reversed FROM part")
+def reverse_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", t.reverse_text(F.col("p_name")).alias("reversed"))
+
+
+@query("""SELECT doc_id, i - 1 AS line_no, md5(l[i]) AS line FROM (
+        SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+            SELECT doc_id, CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents))""")
+def split_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.split_lines(F.col("text"))).alias("line_no", "line"))
+    return rows.select("doc_id", _long("line_no").alias("line_no"), F.md5("line").alias("line"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: reverse(x)), chr(10))) AS text
+    FROM documents""")
+def reverse_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
+    return docs.select("doc_id", F.md5(t.reverse_lines(F.col("text"))).alias("text"))
+
+
+_RUNS = "regexp_extract_all(text, '[0-9][0-9.,/]*|[^0-9]+')"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN reverse(x) ELSE x END), '')) AS text
+    FROM documents""")
+def unreverse_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.unreverse_numbers(F.col("text"))).alias("text"))
+
+
+@query(rf"""SELECT doc_id, md5(array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN array_to_string(list_sort(string_split(x, '')), '') ELSE x END), '')) AS text
+    FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents)""")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.normalize_text(F.col("text"))).alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, strpos(text, ' the ') AS i FROM documents),
+    r AS (SELECT doc_id, i, substr(text, i + 5) AS rest FROM d),
+    e AS (SELECT *, least(nullif(strpos(rest, ' and '), 0), nullif(strpos(rest, chr(10)), 0), length(rest) + 1) AS stop FROM r)
+    SELECT doc_id, CASE WHEN i = 0 THEN '' ELSE regexp_replace(substr(rest, 1, stop - 1), '^\s+|\s+$', '', 'g') END AS section FROM e""")
+def section_between(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.section_between(F.col("text"), " the ", [" and ", "\n"]).alias("section"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""")
+def first_capture(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.first_capture(F.col("url"), "^https?://([^/]+)").alias("host"))
+
+
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, 'href="([^"]+)"', 1), ' ') AS links FROM pages""")
+def all_captures(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(t.all_captures(F.col("html"), 'href="([^"]+)"'), " ").alias("links"))
+
+
+@query("""SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS words
+    FROM (SELECT page_id, regexp_extract_all(html, '[a-z]+') AS l FROM pages)""")
+def ordered_distinct(spark, sf_dir):
+    words = t.ordered_distinct(F.regexp_extract_all("html", F.lit("[a-z]+"), F.lit(0)))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(words, " ").alias("words"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(regexp_replace(url, '^https?://[^/]*|[?#].*$', '', 'g'), '([^/]*)/*$', 1), '([0-9]+)[^0-9]*$', 1), ''),
+        nullif(regexp_extract(regexp_replace(url, '^https?://[^/]*|[?#].*$', '', 'g'), '([^/]*)/*$', 1), ''), 'doc') AS slug FROM pages""")
+def url_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.url_slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey * 977 >= 1000000 THEN (p_partkey * 977)::VARCHAR ELSE lpad((p_partkey * 977)::VARCHAR, 6, '0') END AS code,
+        '-' || lpad(p_partkey::VARCHAR, 5, '0') AS negative FROM part WHERE p_partkey < 10000""")
+def zero_pad_code(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter("p_partkey < 10000")
+    return rows.select("p_partkey", t.zero_pad_code((F.col("p_partkey") * 977).cast("string")).alias("code"), t.zero_pad_code(F.concat(F.lit("-"), F.col("p_partkey").cast("string"))).alias("negative"))
+
+
+@query("SELECT o_orderkey, format('{:,.0f}', o_totalprice) AS price FROM orders")
+def format_thousands(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.format_thousands(F.col("o_totalprice")).alias("price"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN -round(o_totalprice, 2) ELSE round(o_totalprice, 2) END AS number FROM orders""")
+def parse_number(spark, sf_dir):
+    text = F.concat(F.lit(" "), F.when(F.expr("o_orderkey % 5 = 0"), "+").when(F.expr("o_orderkey % 5 = 1"), "-").otherwise(""), F.format_number("o_totalprice", 2), F.lit("\t"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.parse_number(text).alias("number"))
+
+
+@query("""SELECT p_partkey, p_name AS name FROM part""")
+def strip_ws(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", t.strip_ws(F.concat(F.lit(" \t \n"), F.col("p_name"), F.lit("\x1c  "))).alias("name"))
+
+
+@query("SELECT page_id, md5(array_to_string(string_split(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)), '<br/>')) AS html FROM pages")
+def escape_lines(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(t.escape_lines(F.col("html"))).alias("html"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 500)) AS text FROM documents")
+def cap_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cap_text(F.col("text"), 500)).alias("text"))
+
+
+@query("""SELECT p_partkey, 'part ' || p_name || ' ok' AS name FROM part""")
+def clean_name(spark, sf_dir):
+    shown = F.concat(F.lit(" trap\n-.-.-\n"), F.reverse("p_name"), F.lit("  \n===\nko"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.clean_name(shown).alias("name"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split('12' || chr(10) || ' Office of Budge T' || chr(10) || text, chr(10)),
+        lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(\S) ([A-Z])(\s|$)', '\1\2\3', 'g')), lambda x: regexp_matches(x, '[A-Z]'))[1:3], '|') AS head FROM documents""")
+def letterhead(spark, sf_dir):
+    text = F.concat(F.lit("12\n Office of Budge T\n"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(t.letterhead(text, "[A-Z]"), "|").alias("head"))
+
+
+@query("""SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, 'zz') THEN 'zz' WHEN contains(text, ' the ') THEN ' the ' WHEN contains(text, ' der ') THEN ' der ' END AS anchor FROM documents""")
+def first_anchor(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.first_anchor(F.col("text"), ["zz", " the ", " der "]).alias("anchor"))
+
+
+# Pages: a conversation is a letter, its turns are pages
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    raw = F.concat(t.reverse_lines(F.rtrim(F.col("text"), F.lit("\n"))), F.when(F.expr("turn % 3 = 1"), F.lit("\n" + LATIN.page_marker[::-1].replace(" ", "  "))).otherwise(""))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), raw.alias("raw_text"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS page_no FROM conversations WHERE turn % 3 = 1")
+def header_page_filter(spark, sf_dir):
+    return pages.header_pages(_pages(spark, sf_dir), LATIN).select("doc_id", "page_no")
 
 
-QUERIES = {"tracked_letters": tracked_letters}
-SQL = {
-    "tracked_letters": """
-        SELECT DISTINCT l_orderkey FROM lineitem l
-        WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_brand = 'Brand#12')""",
+@query("SELECT conv_id AS doc_id, turn AS page_no FROM conversations WHERE turn % 3 <> 1")
+def narrative_pages(spark, sf_dir):
+    return pages.narrative_pages(_pages(spark, sf_dir), LATIN).select("doc_id", "page_no")
+
+
+@query("""SELECT conv_id AS doc_id, md5(string_agg(rtrim(text, chr(10)) || CASE WHEN turn % 3 = 1 THEN chr(10) || 'Budget  Office  -  Letters' ELSE '' END, chr(10) ORDER BY turn)) AS readable
+    FROM conversations GROUP BY conv_id""")
+def document_text(spark, sf_dir):
+    return pages.document_text(_pages(spark, sf_dir)).select("doc_id", F.md5("readable").alias("readable"))
+
+
+@query("SELECT conv_id AS doc_id, min(turn) AS page_no FROM conversations WHERE contains(text, ' a ') GROUP BY conv_id")
+def first_matching_page(spark, sf_dir):
+    return pages.first_page_with(_pages(spark, sf_dir), " a ").select("doc_id", "page_no")
+
+
+# Cells: an order is a letter with two tables
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ties = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    l = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.row_number().over(ties))  # noqa: E741
+    price = F.floor("l_extendedprice").cast("long")
+    pair = F.expr("l_tax > 0.02")
+    values = [
+        F.when(F.expr("l_linenumber % 4 = 0"), "1234").otherwise((F.col("l_partkey") + 10000).cast("string")),
+        F.when(pair, F.concat(F.format_number(price, 0), F.lit("\n"), (2 * price).cast("string"))).otherwise(""),
+        F.when(pair | F.expr("l_discount = 0"), F.lit(None)).otherwise(F.concat(F.lit(" "), F.floor("l_quantity").cast("string"))),
+        F.concat(F.reverse(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))), F.lit("\n===")),
+    ]
+    at = [F.col("l_orderkey").alias("doc_id"), F.expr("(l_linenumber - 1) % 2").alias("table_no")]
+    cell = lambda k, x: F.struct(F.lit(k).alias("col_no"), x.alias("text"))
+    data = l.select(*at, F.expr("(l_linenumber + 1) div 2").cast("int").alias("row_no"), F.inline(F.array(*[cell(k, v) for k, v in enumerate(values)])))
+    heads = [F.lit("code"), F.lit(" sum"), F.lit(""), F.lit(LATIN.name_header[::-1])]
+    head = l.select(*at).distinct().select("doc_id", "table_no", F.lit(0).alias("row_no"), F.inline(F.array(*[cell(k, v) for k, v in enumerate(heads)])))
+    return head.unionByName(data)
+
+
+_R = """n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity, l_tax, l_discount) AS ln FROM lineitem),
+    r AS (SELECT l_orderkey AS doc_id, (ln - 1) % 2 AS table_no, (ln + 1) // 2 AS row_no, ln, l_partkey AS part,
+        ln % 4 <> 0 AS leaf, l_tax > 0.02 AS pair, floor(l_extendedprice)::BIGINT AS price,
+        CASE WHEN l_tax > 0.02 OR l_discount = 0 THEN NULL ELSE floor(l_quantity)::BIGINT END AS change FROM n)"""
+
+
+@query(f"""WITH {_R} SELECT doc_id, table_no, row_no, col_no, text FROM (
+        SELECT doc_id, table_no, row_no, 0 AS col_no, CASE WHEN leaf THEN (part + 10000)::VARCHAR ELSE '1234' END AS text FROM r
+        UNION ALL SELECT doc_id, table_no, row_no, 2, coalesce(change::VARCHAR, '') FROM r)""")
+def cells_clean(spark, sf_dir):
+    return tables.clean_cells(_cells(spark, sf_dir)).filter("row_no > 0 AND col_no IN (0, 2)")
+
+
+@query(f"""WITH {_R} SELECT doc_id, table_no, col_name, count(*) AS n FROM r, (VALUES ('code'), ('sum'), ('col2'), ('eman meti')) c(col_name) GROUP BY ALL""")
+def promote_header(spark, sf_dir):
+    rows = tables.promote_header(tables.clean_cells(_cells(spark, sf_dir)))
+    return rows.groupBy("doc_id", "table_no", "col_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _logical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.split_stacked(tables.promote_header(tables.clean_cells(_cells(spark, sf_dir))))
+
+
+@query(f"""WITH {_R}, s AS (SELECT *, bool_or(pair) OVER (PARTITION BY doc_id, table_no) AS stacked FROM r)
+    SELECT doc_id, table_no, row_no, 'sum' || suffix AS col_name, CASE WHEN pair THEN factor * price::DOUBLE END AS num
+    FROM s, (VALUES (' from', 1), (' to', 2), (' delta', 1)) p(suffix, factor) WHERE stacked
+    UNION ALL SELECT doc_id, table_no, row_no, 'sum', NULL FROM s WHERE NOT stacked""")
+def split_stacked(spark, sf_dir):
+    return _logical(spark, sf_dir).filter("col_name LIKE 'sum%'").select("doc_id", "table_no", "row_no", "col_name", "num")
+
+
+@query(f"""WITH {_R} SELECT doc_id, sum(price)::DOUBLE AS delta FROM r WHERE pair GROUP BY doc_id""")
+def stacked_delta(spark, sf_dir):
+    rows = _logical(spark, sf_dir).filter("col_name = 'sum delta' AND num IS NOT NULL")
+    return rows.groupBy("doc_id").agg(F.sum("num").alias("delta"))
+
+
+@query(f"""WITH {_R} SELECT doc_id, table_no FROM r GROUP BY ALL HAVING bool_or(pair)""")
+def data_tables_only(spark, sf_dir):
+    return tables.data_tables(_logical(spark, sf_dir)).select("doc_id", "table_no").distinct()
+
+
+@query(f"""WITH {_R} SELECT doc_id, table_no, row_no FROM r WHERE leaf""")
+def leaf_rows(spark, sf_dir):
+    rows = _logical(spark, sf_dir).filter("col_name = 'code'")
+    return rows.filter(tables.is_leaf(F.col("text"))).select("doc_id", "table_no", "row_no")
+
+
+@query(f"""WITH {_R} SELECT doc_id, 'code' AS col_name, count(*) AS score FROM r GROUP BY doc_id
+    UNION ALL SELECT doc_id, 'col2', count(change) FROM r GROUP BY doc_id""")
+def column_scores(spark, sf_dir):
+    rows = _logical(spark, sf_dir).filter("col_name IN ('code', 'col2')")
+    return tables.column_scores(rows, F.col("text").rlike(r"\A[0-9]{1,6}\z")).select("doc_id", "col_name", "score")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, count(*) FILTER (l_quantity > 25) AS a, count(*) FILTER (l_discount > 0.05) AS b, count(*) FILTER (l_tax > 0.04) AS c FROM lineitem GROUP BY l_orderkey)
+    SELECT doc_id, CASE WHEN a >= b AND a >= c THEN 'quantity' WHEN b >= c THEN 'discount' ELSE 'tax' END AS col_name FROM s""")
+def best_column(spark, sf_dir):
+    tests = [("quantity", "l_quantity > 25"), ("discount", "l_discount > 0.05"), ("tax", "l_tax > 0.04")]
+    cell = lambda k, name, test: F.struct(F.lit(0).alias("table_no"), F.lit(k).alias("col_pos"), F.lit(name).alias("col_name"), F.expr(test).alias("hit"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.inline(F.array(*[cell(k, *x) for k, x in enumerate(tests)])))
+    return tables.best_column(tables.column_scores(rows, F.col("hit")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -coalesce(ch, 0) ELSE o_totalprice END AS frm, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 2 * o_totalprice END AS till,
+        CASE WHEN o_orderkey % 3 = 0 THEN coalesce(ch, 0) ELSE o_totalprice END AS delta
+    FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS ch FROM orders)""")
+def reserve_fill(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END").alias("frm"), F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN 2 * o_totalprice END").alias("till"),
+        F.expr("CASE WHEN o_orderkey % 2 = 0 THEN cast(floor(o_totalprice) AS double) END").alias("change"), F.lit(True).alias("has_change"))
+    return tables.reserve_fill(rows).select("o_orderkey", "frm", "till", "delta")
+
+
+_LINES = f"""{_R}, d AS (SELECT doc_id, table_no FROM r GROUP BY ALL HAVING bool_or(pair)),
+    k AS (SELECT r.* FROM r JOIN d ON d.doc_id = r.doc_id AND d.table_no = r.table_no WHERE leaf),
+    c AS (SELECT *, count(change) OVER (PARTITION BY doc_id) > 0 AS has FROM k),
+    lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY table_no, row_no) AS line_no, lpad((part + 10000)::VARCHAR, 6, '0') AS number,
+        CASE WHEN pair THEN price::DOUBLE WHEN has THEN -coalesce(change, 0)::DOUBLE ELSE 0.0 END AS "from",
+        CASE WHEN pair THEN 2.0 * price ELSE 0.0 END AS "to",
+        CASE WHEN pair THEN price::DOUBLE WHEN has THEN coalesce(change, 0)::DOUBLE ELSE 0.0 END AS delta, 'part ' || part AS name FROM c)"""
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, line_no, number, "from" + 0.0 AS "from", "to"::DOUBLE AS "to", delta, name FROM lines""")
+def budget_lines(spark, sf_dir):
+    lines, _ = tables.budget_lines(_cells(spark, sf_dir), LATIN)
+    return lines.select("doc_id", _long("line_no").alias("line_no"), "number", (F.col("from") + F.lit(0.0)).alias("from"), "to", "delta", "name")
+
+
+@query(f"""WITH {_R} SELECT doc_id, 'combine' AS stage, 'no data table with a delta column' AS message FROM r GROUP BY doc_id HAVING NOT bool_or(pair)""")
+def budget_errors(spark, sf_dir):
+    return tables.budget_lines(_cells(spark, sf_dir), LATIN)[1]
+
+
+@query("""SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer
+    UNION ALL BY NAME SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier""")
+def union_by_name(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return tables.union_tables([a, b])
+
+
+@query("""SELECT o_orderkey AS doc_id, r::BIGINT AS row_no, c::BIGINT AS col_no, CASE c WHEN 0 THEN 'code' ELSE 'year ' || c END AS header,
+        CASE WHEN c = 0 THEN lpad(o_custkey::VARCHAR, 6, '0') WHEN c = 1 THEN format('{:,.0f}', floor(o_totalprice) * r) WHEN c = 2 THEN '-' || format('{:,.0f}', floor(o_totalprice)) ELSE 'none' END AS value
+    FROM orders, range(1, 3) x(r), range(0, 4) y(c)""")
+def history_cells(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    price = F.floor("o_totalprice").cast("long")
+    cell = lambda r, c, x: F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), x.alias("text"))
+    grid = [cell(0, c, F.lit("edoc" if c == 0 else f"{c} raey\n--")) for c in range(4)]
+    for r in (1, 2):
+        grid += [cell(r, 0, F.reverse(_code("o_custkey"))), cell(r, 1, F.reverse(F.format_number(price * r, 0))), cell(r, 2, F.concat(F.reverse(F.format_number(price, 0)), F.lit("-"))), cell(r, 3, F.lit(" enon "))]
+    rows = tables.history_cells(o.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(*grid))))
+    return rows.select("doc_id", _long("row_no").alias("row_no"), _long("col_no").alias("col_no"), "header", "value")
+
+
+# Letter texts: made from orders
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    lines = [
+        F.concat(F.lit("Request date: "), F.reverse(F.date_format("o_orderdate", "dd/MM/yyyy"))),
+        F.concat(F.lit("Request no "), pad(k % 1000, 3), F.lit("-"), pad(k % 100, 2)),
+        F.concat(F.lit("Request no "), pad(k % 7, 3), F.lit("-10\nRequest no "), pad(k % 7, 3), F.lit("-10")),
+        F.when(k % 2 == 0, F.concat(F.lit("Committee's no: 6 to "), (k % 10).cast("string"))),
+        F.concat(F.lit("Gist:  pay "), k.cast("string"), F.lit(" now \nPurpose of it")),
+        F.concat(F.lit("programme : "), F.reverse(pad(k % 90000 + 10000, 6)), F.lit(": one 1,")),
+        F.concat(F.lit("  "), F.reverse(pad(k % 1000 + 123000, 6)), F.lit(" : two")),
+        F.concat(F.lit("programm "), F.reverse(pad(k % 1000 + 123000, 6)), F.lit(": three 21")),
+        F.lit("Impact on jobs"),
+        F.element_at(F.array(*map(F.lit, ("This excludes coalition funds; agreed on coalition", "agreed with_the_coalition", "mention of funds coalition", "the funds coalition"))), (k % 4 + 1).cast("int")),
+        F.when(k % 3 == 0, F.lit("changes in manpower")),
+        F.lit("Regards"),
+    ]
+    url = lambda n: F.concat(F.lit("see https://gov.example/dec_"), F.lit(n).cast("string") if isinstance(n, int) else n.cast("string"), F.lit("/x.,"))
+    raw = F.concat_ws("\n", url(k % 5), F.concat(F.lit("http://gov.example/dec"), (k % 5).cast("string")), F.lit("https://none.example/"), url(77))
+    return o.select(k.alias("doc_id"), raw.alias("raw"), F.concat_ws("\n", *lines).alias("readable"))
+
+
+def _field(spark, sf_dir, body, name: str) -> DataFrame:
+    return _letters(spark, sf_dir).select("doc_id", body(F.col("readable")).alias(name))
+
+
+_REV = "reverse(lpad((o_orderkey % {0})::VARCHAR, {1}, '0'))"
+_F = {
+    "reversed_date": "strftime(o_orderdate, '%d/%m/%Y')",
+    "request_numbers": f"""{_REV.format(1000, 3)} || '-' || {_REV.format(100, 2)} ||
+        CASE WHEN {_REV.format(1000, 3)} || '-' || {_REV.format(100, 2)} = {_REV.format(7, 3)} || '-01' THEN '' ELSE ', ' || {_REV.format(7, 3)} || '-01' END ||
+        CASE WHEN o_orderkey % 2 = 0 THEN ' | committee: 6 to ' || (o_orderkey % 10) ELSE '' END""",
+    "program_codes": """lpad((o_orderkey % 90000 + 10000)::VARCHAR, 6, '0') ||
+        CASE WHEN o_orderkey % 90000 + 10000 = o_orderkey % 1000 + 123000 THEN '' ELSE ', ' || (o_orderkey % 1000 + 123000) END""",
+    "gist": "'pay ' || o_orderkey || ' now'",
+    "flag_with_exclusion": "CASE o_orderkey % 4 WHEN 1 THEN 'yes' WHEN 3 THEN 'yes' ELSE 'no' END",
+    "phrase_flag": "CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END",
+    "program_breakdown": """'of it' || chr(10) || 'programme : ' || lpad((o_orderkey % 90000 + 10000)::VARCHAR, 6, '0') || ': one ,1' || chr(10) || 'two' || chr(10) || 'three 12'""",
+    "decision_links": """'1. https://gov.example/dec_' || (o_orderkey % 5) || '/x' || chr(10) || '2. https://gov.example/dec_77/x'""",
 }
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['reversed_date']} AS date FROM orders")
+def reversed_date(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: fields.reversed_date(x, LATIN.date_label), "date")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['request_numbers']} AS requests FROM orders")
+def request_numbers(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: fields.request_numbers(x, LATIN), "requests")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['program_codes']} AS programs FROM orders")
+def program_codes(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: F.array_join(fields.program_codes(fields.breakdown_raw(x, LATIN), LATIN), ", "), "programs")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['program_breakdown']} AS breakdown FROM orders")
+def program_breakdown(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: fields.program_breakdown(fields.breakdown_raw(x, LATIN), LATIN), "breakdown")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['flag_with_exclusion']} AS flag FROM orders")
+def flag_with_exclusion(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: fields.flag_with_exclusion(x, LATIN), "flag")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['phrase_flag']} AS flag FROM orders")
+def phrase_flag(spark, sf_dir):
+    return _field(spark, sf_dir, lambda x: fields.phrase_flag(x, LATIN), "flag")
+
+
+@query(f"SELECT o_orderkey AS doc_id, {_F['decision_links']} AS links FROM orders")
+def decision_links(spark, sf_dir):
+    return _letters(spark, sf_dir).select("doc_id", t.numbered_join(t.decision_links(F.col("raw"))).alias("links"))
+
+
+_ORDERED = [_F[x] for x in ("reversed_date", "request_numbers", "program_codes", "gist", "program_breakdown", "decision_links", "flag_with_exclusion", "phrase_flag")]
+_WIDE = "SELECT o_orderkey AS doc_id, " + ", ".join(f"{x} AS f{k}" for k, x in enumerate(_ORDERED)) + " FROM orders"
+_LONG = " UNION ALL ".join(f"SELECT doc_id, 'parse' AS method, {k}::BIGINT AS field_no, '{name}' AS field, f{k} AS value FROM w" for k, name in enumerate(LATIN.fields))
+
+
+@query(_WIDE)
+def request_fields(spark, sf_dir):
+    return fields.request_fields(_letters(spark, sf_dir), LATIN)
+
+
+@query(f"WITH w AS ({_WIDE}) {_LONG}")
+def fields_long(spark, sf_dir):
+    rows = fields.fields_long(fields.request_fields(_letters(spark, sf_dir), LATIN), LATIN)
+    return rows.withColumn("field_no", _long("field_no"))
+
+
+def _two_methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fields, and the same as another method might give them: spaced otherwise, some
+    changed, some left out."""
+    own = fields.fields_long(fields.request_fields(_letters(spark, sf_dir), LATIN), LATIN)
+    other = own.filter("NOT (field = 'gist' AND doc_id % 5 = 0)")
+    changed = F.when(F.expr("field = 'date' AND doc_id % 2 = 0"), F.reverse("value")).when(F.expr("field = 'manpower'"), F.lit("maybe")).otherwise(F.concat(F.lit("  "), F.replace("value", F.lit(" "), F.lit("\n ")), F.lit(" ")))
+    return own, other.withColumn("value", changed)
+
+
+@query("""SELECT o_orderkey AS doc_id, field, NOT (field = 'manpower' OR (field = 'gist' AND o_orderkey % 5 = 0)) AS matched
+    FROM orders, (VALUES ('date'), ('requests'), ('programs'), ('gist'), ('breakdown'), ('links'), ('coalition'), ('manpower')) f(field)""")
+def field_comparison(spark, sf_dir):
+    return compare.field_comparison(*_two_methods(spark, sf_dir)).select("doc_id", "field", "matched")
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 6 ELSE 7 END::BIGINT AS matched, 8::BIGINT AS fields FROM orders")
+def match_tally(spark, sf_dir):
+    return compare.match_tally(compare.field_comparison(*_two_methods(spark, sf_dir)))
+
+
+@query(f"""WITH {_LINES}, w AS ({_WIDE}), long AS ({_LONG})
+    SELECT doc_id, 'field' AS section, field_no AS row_no, field AS label, value FROM long
+    UNION ALL SELECT doc_id, 'budget', line_no, number, name || ' | ' || format('{{:,.0f}}', delta) || ' | ' || format('{{:,.0f}}', "to") || ' | ' || format('{{:,.0f}}', "from" + 0.0)
+    FROM lines WHERE doc_id IN (SELECT o_orderkey FROM orders)""")
+def report_rows(spark, sf_dir):
+    long = fields.fields_long(fields.request_fields(_letters(spark, sf_dir), LATIN), LATIN)
+    lines, _ = tables.budget_lines(_cells(spark, sf_dir), LATIN)
+    lines = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi")
+    lines = lines.withColumn("from", F.col("from") + F.lit(0.0))
+    return report(long, lines).withColumn("row_no", _long("row_no"))
