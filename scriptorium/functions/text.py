@@ -105,7 +105,8 @@ def letterhead(x: Column, letters: str, n: int = 3) -> Column:
 
 def url_slug(url: Column) -> Column:
     """The last run of digits in the file's stem, else the stem made safe, else doc."""
-    name = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "([^/]+)/*$", 1)
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    name = F.regexp_extract(path, "([^/]+)/*$", 1)
     stem = F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
     safe = F.regexp_replace(stem, "[^A-Za-z0-9_-]+", "_")
     return F.coalesce(F.try_element_at(F.regexp_extract_all(stem, F.lit(r"\d+"), F.lit(0)), F.lit(-1)), F.nullif(safe, F.lit("")), F.lit("doc"))
