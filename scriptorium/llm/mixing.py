@@ -52,27 +52,35 @@ def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _rated(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_copies."""
+    source = F.struct(F.col("source").isNotNull().alias("has"), filled("source").alias("name"))
+    rows = docs.withColumns({"_mix_size": F.size(words_of(filled("text"))).cast("long"), "_mix_source": source})
+    totals = rows.groupBy("source").agg(F.sum("_mix_size").alias("source_size"))
+    targets = written(source_targets(totals, weights, cap), "mix-targets")
+    targets = targets.select(source.alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    rows = sized_join(rows, targets, ["_mix_source"], "inner", 200).drop("_mix_source")
+    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
+    extra = (uniform(F.col("doc_id"), filled("text"), seed) < rate - F.floor(rate)).cast("long")
+    return rows.withColumn("_mix_copies", F.floor(rate) + extra)
+
+
 def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The columns of ``docs`` and size, source_size, target, copies.
 
     copies is floor(rate) plus one with the probability of the rate's fraction, where
     rate = target / source_size. A null text has size 0; sources without words have
     target 0 and no copies. A document with a null doc_id draws by its text. Rows that
-    repeat a document draw alike. Columns of ``docs`` with the names used here would
-    clash, so they are dropped first.
+    repeat a document draw alike. Columns of ``docs`` with the names added here are
+    replaced. Empty input gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = docs.select(*own, F.size(words_of(filled("text"))).cast("long").alias("size"))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(source_targets(totals, weights, cap), "mix-targets").withColumn("has", F.col("source").isNotNull()).withColumn("key", filled("source")).drop("source")
-    rows = rows.withColumn("has", F.col("source").isNotNull()).withColumn("key", filled("source"))
-    rows = sized_join(rows, targets, ["has", "key"], "inner", 200).drop("has", "key")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (uniform(F.col("doc_id"), filled("text"), seed) < rate - F.floor(rate)).cast("long")
-    return rows.withColumn("copies", F.floor(rate) + extra)
+    new = ("size", "source_size", "target", "copies")
+    rows = _rated(docs, weights, cap, seed)
+    return rows.select(*[c for c in docs.columns if c not in new], *[F.col(f"_mix_{c}").alias(c) for c in new])
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The documents of the mix: each stands as often as it is taken."""
-    rows = mix_rates(docs, weights, cap, seed).filter("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix, with all their columns: each stands as often as it is
+    taken."""
+    rows = _rated(docs, weights, cap, seed).filter("_mix_copies > 0")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
