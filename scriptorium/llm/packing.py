@@ -2,7 +2,8 @@
 
 Each partition keeps a fixed number of open windows. A piece goes to the window that
 it leaves least room in; if it fits nowhere, the fullest window is emitted and a new
-one opened. What is still open at the end of the partitions is merged.
+one opened. What is still open at the end of the partitions is merged, where pieces are
+cut to fill windows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ship, sized_join, written
@@ -25,7 +26,7 @@ from .common import ship, sized_join, written
 LENGTH = 2048
 #: Open windows per partition.
 WINDOWS = 64
-#: Partitions whose leftover windows meet in one task of a merge round.
+#: Partitions whose leftover windows are merged with each other.
 FAN_IN = 64
 #: The id that ends a document.
 END = 1
@@ -110,48 +111,29 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], length: int, most: int, v
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*left, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def merge_fills(fills: list[int], length: int) -> list[tuple[int, int]]:
-    """For each window, given by its fill, the place in ``fills`` of the window it is
-    merged into and the offset there: best fit, the fullest first."""
-    out: list[tuple[int, int]] = [(0, 0)] * len(fills)
-    open_: list[tuple[int, int]] = []
-    for k in sorted(range(len(fills)), key=lambda k: (-fills[k], k)):
-        i = bisect_left(open_, (fills[k], -1))
-        room, into = open_.pop(i) if i < len(open_) else (length, k)
-        out[k] = (into, length - room)
-        if room > fills[k]:
-            insort(open_, (room - fills[k], into))
-    return out
-
-
-def _merged(left: DataFrame, length: int, most: int, fan_in: int) -> DataFrame:
-    """part, window -> into_part, into_window, shift, over rounds of ``fan_in``
-    partitions each; every round hands its emptiest ``most`` windows on."""
-    now = left.select(F.col("part").alias("unit"), "part", "window", F.col("length").alias("fill"))
-    moves = None
-    while True:
-        units = now.agg(F.max("unit")).first()[0] or 0
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["part", "window"], ignore_index=True)
-            to = merge_fills([int(x) for x in pdf["fill"]], length)
-            into, shift = np.array([x for x, _ in to]), np.array([x for _, x in to])
-            total = np.zeros(len(pdf), dtype="int64")
-            np.add.at(total, into, pdf["fill"].to_numpy())
-            roots = np.flatnonzero(total)
-            passed = set(roots[np.argsort(total[roots], kind="stable")][:most])
-            return pd.DataFrame({"unit": pdf["unit"], "part": pdf["part"], "window": pdf["window"], "into_part": pdf["part"].to_numpy()[into], "into_window": pdf["window"].to_numpy()[into], "shift": shift, "fill": total, "passed": [k in passed for k in range(len(pdf))]})
-
-        step = now.withColumn("unit", F.floor(F.col("unit") / fan_in).cast("int")).groupBy("unit").applyInPandas(merge, "unit int, part int, window long, into_part int, into_window long, shift long, fill long, passed boolean")
-        step = written(step, "packing-merge")
-        if moves is None:
-            moves = step.select("part", "window", "into_part", "into_window", "shift")
-        else:  # a window that has moved goes along with the one it is in
-            again = step.select(F.col("part").alias("into_part"), F.col("window").alias("into_window"), F.col("into_part").alias("p"), F.col("into_window").alias("w"), F.col("shift").alias("s"))
-            moves = moves.join(again, ["into_part", "into_window"], "left").select("part", "window", F.coalesce("p", "into_part").alias("into_part"), F.coalesce("w", "into_window").alias("into_window"), (F.col("shift") + F.coalesce("s", F.lit(0))).alias("shift"))
-        if units < fan_in:
-            return written(moves.filter("part <> into_part OR window <> into_window"), "packing-moves")
-        now = step.filter("passed").select("unit", "part", "window", "fill")
+def _with_leftovers(rows: DataFrame, length: int, fan_in: int) -> DataFrame:
+    """The pieces with sequence_id and final offset. The windows left open by ``fan_in``
+    partitions stand one after the other, and full windows are cut from them, so that at
+    most one of these is short; a piece that lies on a cut becomes two."""
+    unit = F.floor(F.col("part") / fan_in).cast("long")
+    before = W.partitionBy("unit").orderBy("part", "window").rowsBetween(W.unboundedPreceding, -1)
+    left = rows.filter("ids IS NULL").select("part", "window", unit.alias("unit"), F.col("length").alias("fill"))
+    left = written(left.select("part", "window", "unit", F.coalesce(F.sum("fill").over(before), F.lit(0)).alias("base")), "packing-leftovers")
+    rows = sized_join(rows.filter("ids IS NOT NULL"), left, ["part", "window"], "left", 48)
+    rows = rows.withColumn("at", F.coalesce("base", F.lit(0)) + F.col("offset"))
+    rows = rows.withColumn("cut", F.explode(F.expr(f"sequence(at div {length}, (at + length - 1) div {length})")))
+    rows = rows.withColumns({"from": F.expr(f"greatest(0, cut * {length} - at)"), "till": F.expr(f"least(length, (cut + 1) * {length} - at)")})
+    own = F.shiftleft(F.col("part").cast("long"), 32) + F.col("window")
+    merged = F.lit(1 << 62) + F.shiftleft("unit", 32) + F.col("cut")
+    return rows.select(
+        "doc_id",
+        (F.col("start") + F.col("from")).alias("start"),
+        (F.col("till") - F.col("from")).alias("length"),
+        F.substring("ids", (4 * F.col("from") + 1).cast("int"), (4 * (F.col("till") - F.col("from"))).cast("int")).alias("ids"),
+        "doc_tokens",
+        F.when(F.col("base").isNull(), own).otherwise(merged).alias("sequence_id"),
+        F.expr(f"(at + from) % {length}").alias("offset"),
+    )
 
 
 def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabulary: tuple[str, str] | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -167,12 +149,4 @@ def pack(docs: DataFrame, length: int = LENGTH, windows: int = WINDOWS, vocabula
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _pack_partition(b, length, windows, vocabulary), _PIECES)
     rows = written(rows, "packing-pieces")
-    pieces, left = rows.filter("ids IS NOT NULL"), rows.filter("ids IS NULL")
-    moves = _merged(left, length, windows, fan_in)
-    pieces = sized_join(pieces, moves, ["part", "window"], "left", 48)
-    number = lambda p, w: F.shiftleft(F.col(p).cast("long"), 32) + F.col(w)
-    return pieces.select(
-        "doc_id", "start", "length", "ids", "doc_tokens",
-        F.when(F.col("shift").isNull(), number("part", "window")).otherwise(number("into_part", "into_window")).alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+    return _with_leftovers(rows, length, fan_in)
