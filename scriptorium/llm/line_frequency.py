@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 30
 LIMIT_DOCS = 20
 LIMIT_PERCENT = 2
 #: A document is depleted with fewer words left, or fewer of a hundred.
-LEFT_WORDS = 20
+LEFT_WORDS = 10
 LEFT_PERCENT = 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,7 +89,7 @@ def line_verdicts(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_percent:
     The host is the ``source``; a null source is a host of its own. A null or empty
     text has no words and fails the base rules. A line is above the limits when more
     than ``limit_docs`` distinct texts of its host hold it, and more than
-    ``limit_percent`` of a hundred of them. A document of which fewer than 20 words, or
+    ``limit_percent`` of a hundred of them. A document of which fewer than 10 words, or
     fewer than 20 of a hundred, remain is depleted. Rows that repeat a document are
     judged alike; doc_id may be null or repeat, as rows are told apart by a number given
     when they are first written. Other columns are ignored.

@@ -132,7 +132,7 @@ SQL = {
             LEFT JOIN removed ON removed.doc_id = d.doc_id)
         SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-               AND n_words - removed_words >= 20 AND 100 * (n_words - removed_words) >= 20 * n_words AS kept
+               AND n_words - removed_words >= 10 AND 100 * (n_words - removed_words) >= 20 * n_words AS kept
         FROM counted""",
     "op6_line_chunks": r"""
         WITH lines AS (
