@@ -19,7 +19,7 @@ from .warc import read_archives, write_archives
 
 SHARDS = 40
 #: Documents are rejected from this probability on.
-TOXIC_AT = 0.4
+TOXIC_AT = 0.3
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
