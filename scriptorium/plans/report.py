@@ -39,3 +39,44 @@ def outbox(files: DataFrame, recipients: list[str], subject: str) -> DataFrame:
     Sending is left to whoever reads the table."""
     counted = files.agg(F.count(F.lit(1)).alias("attachments"), F.sort_array(F.collect_list("file")).alias("files")).filter("attachments > 0")
     return counted.select(F.explode(F.array(*map(F.lit, recipients))).alias("recipient"), F.lit(subject).alias("subject"), "attachments", "files")
+
+
+def comparison_rows(comparison: DataFrame) -> DataFrame:
+    """doc_id, label, value, matched: a row per field with both values from right to left,
+    and the tally under an empty label."""
+    from ..operators.compare import match_tally
+
+    rows = comparison.select("doc_id", F.col("field").alias("label"), F.concat_ws(" | ", "llm", "parse").alias("value"), "matched")
+    tally = match_tally(comparison).select("doc_id", F.lit("").alias("label"), F.concat_ws(" of ", F.col("matched").cast("string"), F.col("fields").cast("string")).alias("value"), (F.col("matched") == F.col("fields")).alias("matched"))
+    return rows.unionByName(tally)
+
+
+def render_comparison(comparison: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, file, html of each letter's comparison."""
+    mark = F.when(F.col("matched"), F.lit("&#10003;")).otherwise(F.lit("&#10007;"))
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    line = F.concat(F.lit("<tr>"), cell(mark), cell(t.escape_lines(F.col("value"))), cell(t.escape_lines(F.col("label"))), F.lit("</tr>"))
+    rows = comparison_rows(comparison).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("label") == "").alias("last"), "label", line.alias("line")))).alias("r"))
+    html = F.concat(F.lit('<html dir="auto"><body><table>\n'), F.array_join(F.col("r.line"), "\n"), F.lit("\n</table></body></html>"))
+    return rows.join(names, "doc_id").select("doc_id", F.concat("slug", F.lit("_"), F.col("doc_id").cast("string"), F.lit("_comparison.html")).alias("file"), html.alias("html"))
+
+
+def display_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns in display order by the bidirectional algorithm, for renderers without it.
+    Needs python-bidi, which is optional; without it texts stay in logical order."""
+    try:
+        from bidi.algorithm import get_display
+    except ImportError:
+        return df
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def shown(x: pd.Series) -> pd.Series:
+        return x.map(get_display, na_action="ignore")
+
+    return df.withColumns({c: shown(F.col(c)) for c in columns})
+
+
+def mirrored(df: DataFrame) -> DataFrame:
+    """The columns from right to left."""
+    return df.select(*reversed(df.columns))

@@ -1,0 +1,21 @@
+import json
+
+from scriptorium.operators.compare import field_comparison
+from scriptorium.plans.agents import ModelAgent, RuleAgent
+from scriptorium.plans.report import comparison_rows, display_order, mirrored, render_comparison
+from scriptorium.profile import LATIN
+
+
+def test_two_agents_side_by_side(spark):
+    text = spark.createDataFrame([("a", "http://x/dec1.", "Gist: pay <1> Regards\nchange in manpower")], "doc_id string, raw string, readable string")
+    rules = RuleAgent(LATIN)
+    model = ModelAgent(lambda prompt, schema: json.dumps({k: "pay <1>" if k == "gist" else "no" for k in schema["required"]}), LATIN)
+    pair = field_comparison(rules.extract(text), model.extract(text))
+    assert {r["field"] for r in pair.filter("matched").collect()} == {"gist", "links", "coalition"}
+    rows = comparison_rows(pair)
+    assert rows.count() == 9 and rows.filter("label = ''").first()["value"] == "3 of 8"
+    names = spark.createDataFrame([("a", "7")], "doc_id string, slug string")
+    page = render_comparison(pair, names).first()
+    assert page["file"] == "7_a_comparison.html" and "pay &lt;1&gt; | pay &lt;1&gt;" in page["html"]
+    assert mirrored(rows).columns == ["matched", "value", "label", "doc_id"]
+    assert display_order(rows, "value").columns == rows.columns
