@@ -90,18 +90,20 @@ def _chosen(cells: DataFrame, profile: Profile) -> DataFrame:
     rows = split_stacked(promote_header(clean_cells(cells.repartition("doc_id"))))
     doc, column, row = W.partitionBy("doc_id"), W.partitionBy("doc_id", "col_name"), W.partitionBy("doc_id", "table_no", "row_no")
     base, row_base = W.partitionBy("doc_id", "base"), W.partitionBy("doc_id", "table_no", "row_no", "base")
-    digits = t.strip_ws(F.col("text"))
-    number = t.parse_number(F.col("text"))
-    rows = rows.withColumns({"data": F.max(F.col("col_name").endswith("delta")).over(W.partitionBy(*_TABLE)), "value": number, "amount": F.coalesce("num", F.col("text").try_cast("double"))})
-    # Negated, so that the first position is the greatest.
-    place = F.when(F.col("data"), F.struct(-F.col("table_no"), -F.col("col_pos.col_no"), -F.col("col_pos.part")))
+    # Texts are stripped by now. Digits alone decide about codes; only what starts like a
+    # number is parsed.
+    text = F.col("text")
+    number = F.when(text.rlike(r"\A[-,0-9]"), t.parse_number(text))
+    rows = rows.withColumns({"data": F.max(F.col("col_name").endswith("delta")).over(W.partitionBy(*_TABLE)), "value": number, "amount": F.coalesce("num", F.when(text != "", text.try_cast("double"))), "digits": F.when(text.rlike(r"\A[0-9]{1,6}\z"), F.length(text))})
+    # One number, negated so that the first position is the greatest.
+    place = F.when(F.col("data"), -(F.shiftleft(F.col("table_no").cast("long"), 30) + F.col("col_pos.col_no") * 4 + F.col("col_pos.part")))
     rows = rows.withColumns({
         "at": F.max(place).over(column),
-        "code_score": F.count_if(F.col("data") & F.coalesce(digits.rlike(r"\A[0-9]{1,6}\z"), F.lit(False))).over(column),
+        "code_score": F.count(F.when(F.col("data"), F.col("digits"))).over(column),
     })
     best = lambda name, score, ok: F.max_by(F.when(ok, F.col(name)), F.when(ok, F.struct(score, "at"))).over(doc)
     rows = rows.withColumn("code_col", best("col_name", "code_score", F.col("data") & (F.col("code_score") > 0)))
-    code = F.when(F.col("data") & (F.col("col_name") == F.col("code_col")) & is_leaf(F.col("text")), t.zero_pad_code(digits))
+    code = F.when(F.col("data") & (F.col("col_name") == F.col("code_col")) & (F.col("digits") >= 5), t.zero_pad_code(text))
     rows = rows.withColumn("number", F.max(code).over(row))
     # Money pairs: candidates are columns of the letter, scores count kept rows.
     is_from, is_to = F.col("col_name").endswith(" from"), F.col("col_name").endswith(" to")
@@ -111,7 +113,7 @@ def _chosen(cells: DataFrame, profile: Profile) -> DataFrame:
     rows = rows.withColumns({"paired": F.max(half & is_from).over(base) & F.max(half & is_to).over(base), "money_score": F.count_if(half & is_from & F.col("whole")).over(base)})
     rows = rows.withColumn("money_base", best("base", "money_score", half & is_from & F.col("paired")))
     free = F.col("data") & (F.col("col_name") != F.col("code_col")) & ~F.col("col_name").rlike(" (from|to|delta)$")
-    single = F.col("number").isNotNull() & ~F.col("text").contains("\n") & number.isNotNull()
+    single = F.col("number").isNotNull() & F.col("value").isNotNull()
     rows = rows.withColumn("change_score", F.count_if(free & F.coalesce(single, F.lit(False))).over(column))
     wanted = "".join(profile.name_header.split())
     named = F.col("data") & (t.drop_ws(F.reverse("col_name")) == wanted)

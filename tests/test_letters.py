@@ -74,7 +74,7 @@ def expected(doc):
 
 def random_doc(r):
     def cell(j):
-        kinds = [f"{r.randint(1, 99)}\n{r.randint(1, 99)}", "1\n2\n3", str(r.randint(0, 9999)), "5-", "abc", "", None, "1,200\n-3", "-7.5", "cba\n=="]
+        kinds = [f"{r.randint(1, 99)}\n{r.randint(1, 99)}", "1\n2\n3", str(r.randint(0, 9999)), "5-", "abc", "", None, "1,200\n-3", "-7.5", ",5", "-,6", "cba\n=="]
         return str(r.randint(1, 10 ** r.randint(4, 7))) if j == 0 and r.random() < 0.8 else r.choice(kinds)
 
     doc = []
