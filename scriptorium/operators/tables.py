@@ -24,8 +24,9 @@ def clean_cells(cells: DataFrame) -> DataFrame:
 def promote_header(cells: DataFrame) -> DataFrame:
     """col_name from the first row, which leaves; a table of one row keeps it and has its
     columns named by number. A blank name becomes col and the number."""
-    w = W.partitionBy(*_TABLE)
-    named = cells.withColumn("_rows", F.max("row_no").over(w)).withColumn("_head", F.max(F.when(F.col("row_no") == 0, F.col("text"))).over(W.partitionBy(*_TABLE, "col_no")))
+    # The narrower window first: its order serves the wider one too.
+    named = cells.withColumn("_head", F.max(F.when(F.col("row_no") == 0, F.col("text"))).over(W.partitionBy(*_TABLE, "col_no")))
+    named = named.withColumn("_rows", F.max("row_no").over(W.partitionBy(*_TABLE)))
     number = F.col("col_no").cast("string")
     head = F.coalesce(F.nullif(t.strip_ws(F.coalesce("_head", F.lit(""))), F.lit("")), F.concat(F.lit("col"), number))
     named = named.withColumn("col_name", F.when(F.col("_rows") == 0, number).otherwise(head))
@@ -104,11 +105,12 @@ def _chosen(cells: DataFrame, profile: Profile) -> DataFrame:
     best = lambda name, score, ok: F.max_by(F.when(ok, F.col(name)), F.when(ok, F.struct(score, "at"))).over(doc)
     rows = rows.withColumn("code_col", best("col_name", "code_score", F.col("data") & (F.col("code_score") > 0)))
     code = F.when(F.col("data") & (F.col("col_name") == F.col("code_col")) & (F.col("digits") >= 5), t.zero_pad_code(text))
-    rows = rows.withColumn("number", F.max(code).over(row))
-    # Money pairs: candidates are columns of the letter, scores count kept rows.
+    # Money pairs: candidates are columns of the letter, scores count kept rows. Rows are
+    # put in order once for both windows that follow.
     is_from, is_to = F.col("col_name").endswith(" from"), F.col("col_name").endswith(" to")
     half = F.col("data") & (is_from | is_to)
     rows = rows.withColumn("base", F.when(half, F.regexp_replace("col_name", " (from|to)$", "")))
+    rows = rows.sortWithinPartitions("doc_id", "table_no", "row_no", "base").withColumn("number", F.max(code).over(row))
     rows = rows.withColumn("whole", F.count(F.when(half & F.col("number").isNotNull(), F.col("amount"))).over(row_base) == 2)
     rows = rows.withColumns({"paired": F.max(half & is_from).over(base) & F.max(half & is_to).over(base), "money_score": F.count_if(half & is_from & F.col("whole")).over(base)})
     rows = rows.withColumn("money_base", best("base", "money_score", half & is_from & F.col("paired")))
