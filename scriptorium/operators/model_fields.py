@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..profile import Profile
+from ..sources.stage import once
 
 #: (prompt, schema) -> JSON text. Raises RetryLater when asked to come back.
 Client = Callable[[str, dict], str]
@@ -79,7 +80,8 @@ def model_fields(text: DataFrame, profile: Profile, client: Client, cache_path:
                     error = str(e)
                 yield pd.DataFrame({"key": [key], "answer": [answer], "error": [error]})
 
-    got = wanted.mapInPandas(run, "key string, answer string, error string").persist()
+    got = wanted.mapInPandas(run, "key string, answer string, error string")
+    got = once(got, cache_path) if cache_path else got.persist()
     if cache_path:
         got.filter("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(cache_path)
         answers = spark.read.parquet(cache_path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_cache_key
 from ..operators.match import cache_misses
+from .stage import once
 
 
 def get(url: str) -> bytes:
@@ -61,10 +62,9 @@ def fetch_missing(urls: DataFrame, cache_path: str, opener: Callable[[str], byte
         if "PATH_NOT_FOUND" not in str(e):
             raise
         cache = spark.createDataFrame([], "key string, url string, content binary")
-    got = fetch(cache_misses(urls, cache), opener, **more).persist()
+    got = once(fetch(cache_misses(urls, cache), opener, **more), cache_path)
     got.filter("content IS NOT NULL").select("key", "url", "content").write.mode("append").parquet(cache_path)
-    errors = got.filter("error IS NOT NULL").select("url", F.lit("fetch").alias("stage"), F.col("error").alias("message"))
-    return errors
+    return got.filter("error IS NOT NULL").select("url", F.lit("fetch").alias("stage"), F.col("error").alias("message"))
 
 
 def cached(urls: DataFrame, cache_path: str) -> DataFrame:
