@@ -8,6 +8,8 @@ its full bytes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +26,21 @@ STATE_CONF = {
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, code points, digest of the text without white space, content locator
-    (file and row key within the log), one row per document."""
-    text = filled("text")
+    (file and row key), one row per document. Row keys hash the row's number and a mark
+    of this call, so that rows of later calls on the same log never share them."""
+    text, call = filled("text"), uuid.uuid4().hex
     return docs.select(
         F.col("doc_id"),
         F.length(text).cast("long").alias("n_points"),
         F.sha2(squeezed(text), 256).alias("text_sha256"),
         F.input_file_name().alias("file"),
-        F.monotonically_increasing_id().alias("row_key"),
+        F.xxhash64(F.lit(call), F.monotonically_increasing_id()).alias("row_key"),
     )
 
 
 def _best() -> F.Column:
     """Ordered so that the greatest has most code points, then the smallest doc_id
-    (null last), then the first row."""
+    (null last), then the smallest row key."""
     return F.struct("n_points", F.bitwise_not("doc_id").alias("doc"), F.bitwise_not("row_key").alias("row"), "file")
 
 
@@ -98,7 +101,8 @@ def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = Non
     ignored, whatever their names. No rows in, no rows out.
 
     ``log`` and ``state`` name folders to go on with; by default both are new ones
-    in the shared folder.
+    in the shared folder. Rows of earlier calls come out again with those of this one.
+    Bytes are compared among ``docs``; against texts of earlier calls digests decide.
     """
     spark = docs.sparkSession
     log, state = log or scratch_path(spark, "fingerprints"), state or scratch_path(spark, "dedup-state")

@@ -52,6 +52,16 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert ed.read_state(spark, state).count() == 3
 
 
+def test_exact_dedup_of_later_rows(spark, tmp_path):
+    """Rows that come later decide with the earlier ones; of equal ones just one stays."""
+    log, state = f"file://{tmp_path}/log", f"file://{tmp_path}/state"
+    schema = "doc_id long, text string"
+    ed.exact_dedup(spark.createDataFrame([(2, "a b"), (7, "c")], schema).coalesce(1), log, state)
+    got = ed.exact_dedup(spark.createDataFrame([(1, "a b"), (7, "c")], schema).coalesce(1), log, state).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(1, 1, 2), (2, 1, 2), (7, 7, 2), (7, 7, 2)]
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [1, 7]
+
+
 def test_exact_dedup_checks_bytes(spark):
     """With a digest that two texts share, decisions are made on the bytes."""
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a ")], "doc_id long, text string")
