@@ -113,16 +113,18 @@ def _full_sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
 
 
 def _postings(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """token, doc: prefixes under the first order, without tokens that just one
-    document has."""
-    counted = reps.filter("size(large) > 0").select("doc", "n", F.lit(0).alias("mode"), F.col("large").alias("tokens"), "beyond")
+    """token, doc: prefixes under the first order, without counted tokens that just one
+    document has. A document whose counted tokens are all its own, or which has none,
+    still has those that follow."""
+    counted = reps.filter("size(large) + size(beyond) > 0").select("doc", "n", F.lit(0).alias("mode"), F.col("large").alias("tokens"), "beyond")
     counted = counted.unionByName(reps.filter("size(small) > 0").select("doc", "n", F.lit(1).alias("mode"), F.col("small").alias("tokens"), F.expr("array()").cast("array<bigint>").alias("beyond")))
     # The lowest bit keeps the modes apart.
     token = F.col("token").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("mode"))
     each = counted.select("doc", "mode", F.explode("tokens").alias("token")).select("doc", "mode", token.alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = each.join(often, "token").groupBy("doc", "mode").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    rows = shared.join(counted.select("doc", "mode", "n", F.size("tokens").alias("m"), "beyond"), ["doc", "mode"])
+    rows = counted.select("doc", "mode", "n", F.size("tokens").alias("m"), "beyond").join(shared, ["doc", "mode"], "left")
+    rows = rows.withColumn("shared", F.coalesce("shared", F.expr("array()").cast("array<struct<df:bigint,token:bigint>>")))
     p = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
     rows = rows.withColumn("left", (p - (F.col("m") - F.size("shared"))).cast("int")).filter("left > 0")
     own = F.transform(F.slice("shared", 1, F.col("left")), lambda x: x["token"])
@@ -216,8 +218,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     link if num/den of their sets' union is common to both; component_id is the smallest
     doc_id that links reach, the document's own included. A null text, or one without
     words, has no shingles and no links. Rows with null doc_id stand alone, with a null
-    component_id. Rows that repeat a doc_id with the same text are one document. Other
-    columns are ignored; empty input gives no rows.
+    component_id. Rows that repeat a doc_id with the same text are one document; with
+    different texts they share the links of one of these. Other columns are ignored;
+    empty input gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -228,7 +231,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("members")), "jaccard-classes")
     several = classes.filter("members > 1").select("digest", "doc")
     copies = sized_join(usable.select("digest", "doc_id"), several, ["digest"], "inner", 60).filter("doc_id <> doc")
-    copies = written(copies.select("doc_id", "doc"), "jaccard-copies")
+    copies = written(copies.groupBy("doc_id").agg(F.min("doc").alias("doc")), "jaccard-copies")
     reps = sized_join(usable.select("doc_id", F.col("n_shingles").alias("n"), "large", "beyond", "small"), copies.select("doc_id"), ["doc_id"], "left_anti", 24)
     reps = reps.withColumnRenamed("doc_id", "doc")
     first = written(_postings(reps, num, den), "jaccard-first")

@@ -176,6 +176,25 @@ def test_jaccard_edges(spark, edges, nothing):
     assert jj.jaccard_classes(nothing).count() == 0
 
 
+def test_jaccard_repeated_copies(spark):
+    """Rows that repeat a document which is a copy of another come out once each."""
+    docs = [(1, text(8, 80)), (5, text(8, 80)), (5, text(8, 80)), (6, text(8, 80) + " x"), (6, text(8, 80) + " x")]
+    rows = jj.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (5, 1), (5, 1), (6, 1), (6, 1)]
+
+
+def test_prefixes_reach_beyond_counted_tokens(spark):
+    """Documents without counted tokens, or none that others have, keep the rest of their
+    prefixes: 64 - ceil(0.8 * 64) + 1 = 13 tokens."""
+    schema = "doc long, n long, large array<long>, beyond array<long>, small array<long>"
+    rest = list(range(100, 126, 2))
+    rows = [(1, 64, [], rest, []), (2, 64, [2], rest[:12], []), (3, 64, [4, 6], rest[:11], []), (4, 64, [8], [], [])]
+    got = defaultdict(set)
+    for r in jj._postings(spark.createDataFrame(rows, schema), 80, 100).collect():
+        got[r["doc"]].add(r["token"])
+    assert dict(got) == {1: set(rest), 2: set(rest[:12]), 3: set(rest[:11])}
+
+
 # personal data
 
 
