@@ -11,6 +11,7 @@ from .jaccard_join import jaccard_classes
 from .kd_shards import kd_shards
 from .line_chunks import dedup_line_chunks
 from .line_frequency import line_verdicts
+from .line_runs import dedup_line_runs
 from .mixing import mix_rates
 from .packing import pack
 from .personal_data import personal_data
@@ -50,6 +51,11 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_line_runs(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_rates(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -75,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"), (F.col("p_toxic") < TOXIC_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op7_mixing, op8_jaccard_join, op9_personal_data, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op6_line_runs, op7_mixing, op8_jaccard_join, op9_personal_data, op10_toxicity)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -156,6 +162,25 @@ SQL = {
                count(*) FILTER (gone)::BIGINT AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
                sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
         FROM marked GROUP BY doc_id""",
+    "op6_line_runs": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        worded AS (
+            SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e
+            FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        pairs AS (
+            SELECT w.doc_id, i, e, array_to_string(lines[i:e], chr(10)) AS body
+            FROM worded w JOIN d ON d.doc_id = w.doc_id WHERE e IS NOT NULL),
+        marked AS (
+            SELECT doc_id, i, e, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) = 1 AS first
+            FROM pairs QUALIFY count(*) OVER (PARTITION BY body) > 1),
+        gone AS (
+            SELECT doc_id, i FROM (SELECT doc_id, first, unnest(range(i, e + 1)) AS i FROM marked)
+            GROUP BY doc_id, i HAVING NOT bool_or(first)),
+        g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS removed_lines,
+               sha256(array_to_string(list_filter(lines, lambda x, i: NOT coalesce(list_contains(gone, i), false)), chr(10))) AS text_sha256
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "op8_jaccard_join": rf"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda x: x <> '') AS w

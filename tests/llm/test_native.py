@@ -8,6 +8,7 @@ from scriptorium.llm import exact_dedup as ed
 from scriptorium.llm import kd_shards as kd
 from scriptorium.llm import line_chunks as lc
 from scriptorium.llm import line_frequency as lf
+from scriptorium.llm import line_runs as lr
 from scriptorium.llm import mixing as mx
 from scriptorium.llm.common import sized_join
 
@@ -161,6 +162,51 @@ def test_insertions_move_few_boundaries():
     assert sum((cut(a) - cut(b)).values()) <= 3
 
 
+# line runs
+
+
+def brute_runs(docs):
+    """doc_id -> numbers of the lines that go; docs: distinct doc_ids."""
+    at = defaultdict(list)
+    for d, t in sorted(docs):
+        lines = (t or "").split("\n")
+        worded = [i for i, x in enumerate(lines) if words(x)]
+        for a, b in zip(worded, worded[1:]):
+            at["\n".join(lines[a : b + 1])].append((d, a, b))
+    cover = lambda places: {(d, i) for d, a, b in places for i in range(a, b + 1)}
+    gone = cover(x for v in at.values() for x in v[1:]) - cover(v[0] for v in at.values() if len(v) > 1)
+    return {d: {i for e, i in gone if e == d} for d, _ in docs}
+
+
+def test_line_runs_find_short_passages_at_any_offset(spark):
+    """Passages of 2 to 6 whole lines, which chunks leave in place."""
+    docs = []
+    for n in range(2, 7):
+        shared = text(300 + n, 8 * n)
+        docs += [(1000 * n + k, text(400 + 10 * n + k, 8 * k + 16) + "\n" + shared + "\n" + text(500 + 10 * n + k, 40)) for k in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["removed_lines"], r["text"]) for r in lr.dedup_line_runs(df).collect()}
+    for d, t in docs:
+        n, k = divmod(d, 1000)
+        assert got[d] == ((n, "\n".join(t.split("\n")[: k + 2] + t.split("\n")[k + 2 + n :])) if k else (0, t))
+    short = [r["removed_lines"] for r in lc.dedup_line_chunks(df).collect() if r["doc_id"] % 1000]
+    assert 0 in short
+
+
+def test_line_runs_brute_force(spark, edges, nothing):
+    docs = [(r[0], r[1]) for r in edge_rows() if r[0] is not None and r[0] != 3]
+    docs += [(200 + k, "\n".join(["a", "b", "", "c", "d"][k % 3 : 3 + k % 4] * (1 + k % 3))) for k in range(12)] + [(300, "ha\nha\nha"), (301, "z\na"), (302, "z\na\nb"), (303, "a\nb\n\n")]
+    want = brute_runs(docs)
+    got = {r["doc_id"]: r for r in lr.dedup_line_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        assert (got[d]["n_lines"], got[d]["removed_lines"]) == (len(lines), len(want[d]))
+        assert got[d]["text"] == ("\n".join(x for i, x in enumerate(lines) if i not in want[d]) if want[d] else t)
+    out = lr.dedup_line_runs(edges)
+    assert out.count() == edges.count() and set(out.columns) >= {"doc_id", "text", "kept", "size", "host"}
+    assert lr.dedup_line_runs(nothing).count() == 0
+
+
 # sharding
 
 
