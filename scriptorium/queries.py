@@ -161,8 +161,7 @@ def url_slug(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN p_partkey * 977 >= 1000000 THEN (p_partkey * 977)::VARCHAR ELSE lpad((p_partkey * 977)::VARCHAR, 6, '0') END AS code,
         '-' || lpad(p_partkey::VARCHAR, 5, '0') AS negative FROM part WHERE p_partkey < 10000""")
 def zero_pad_code(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 10000")
-    return rows.select("p_partkey", t.zero_pad_code((F.col("p_partkey") * 977).cast("string")).alias("code"), t.zero_pad_code(F.concat(F.lit("-"), F.col("p_partkey").cast("string"))).alias("negative"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.zero_pad_code((F.col("p_partkey") * 977).cast("string")).alias("code"), t.zero_pad_code(F.concat(F.lit("-"), F.col("p_partkey").cast("string"))).alias("negative"))
 
 
 @query("SELECT o_orderkey, format('{:,.0f}', o_totalprice) AS price FROM orders")
