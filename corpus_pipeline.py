@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import sized_join, table, written
+from scriptorium.llm.common import numbered_rows, sized_join, table, written
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import jaccard_classes
 from scriptorium.llm.mixing import mixed
@@ -13,29 +13,35 @@ from scriptorium.llm.packing import pack
 from scriptorium.llm.queries import TOXIC_AT, toxicity
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for the doc_ids of ``dropped``; a null doc_id is never dropped."""
-    return sized_join(docs, written(dropped.select("doc_id").distinct(), name), ["doc_id"], "left_anti", 16)
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``rows`` but for those whose _row is in ``dropped``."""
+    return sized_join(rows, written(dropped.select("_row"), name), ["_row"], "left_anti", 16).drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
-    rated = toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, rated.filter(F.col("p_toxic") >= TOXIC_AT), "dropped-toxic")
+    rows = numbered_rows(docs)
+    rated = toxicity(docs, table(spark, sf_dir, "labels"), rows.select(F.col("_row").alias("doc_id"), "text"))
+    return _without(rows, rated.filter(F.col("p_toxic") >= TOXIC_AT).withColumnRenamed("doc_id", "_row"), "dropped-toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space one stays. Rows that repeat a
-    doc_id count as one document: it stays if one of them does."""
-    rows = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return _without(docs, rows.filter(~F.col("kept")), "dropped-copies")
+    """Of rows whose texts are equal but for white space one stays."""
+    rows = numbered_rows(docs)
+    return _without(rows, exact_dedup(rows, carry=["_row"]).filter(~F.col("kept")), "dropped-copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles link at 0.8 the one with the smallest doc_id
-    stays."""
-    rows = jaccard_classes(docs, n=5, num=80, den=100)
-    return _without(docs, rows.filter("doc_id <> component_id"), "dropped-near-copies")
+    """Of rows whose five-word shingles link at 0.8 the one with the smallest doc_id (null
+    last) stays, of several with that the first."""
+    rows = numbered_rows(docs)
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=80, den=100)
+    linked = written(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-copies")
+    members = written(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "near-members")
+    members = written(sized_join(rows.select("_row", "doc_id"), members, ["_row"], "inner", 24), "near-members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))["_row"].alias("stays"))
+    dropped = sized_join(members, written(best, "near-best"), ["component_id"], "inner", 24).filter("_row <> stays")
+    return _without(rows, dropped, "dropped-near-copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,20 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, width
     return left.join(right, on, how)
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row: a number for each row that no other has, the same whenever it
+    is evaluated, from the row's file and its place there. Anything but files as they
+    are read is written first."""
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "numbered")
+    file = F.col("_metadata.file_path").alias("_file")
+    paths = sorted(r["_file"] for r in docs.select(file).distinct().collect())
+    files = F.broadcast(spark.createDataFrame(pa.table({"_no": pa.array(range(len(paths)), pa.int64()), "_file": pa.array(paths, pa.string())})))
+    rows = docs.select("*", file, F.col("_metadata.row_index").alias("_row")).join(files, "_file")
+    return rows.select(*docs.columns, (F.shiftleft("_no", 40) + F.col("_row")).alias("_row"))
+
+
 def filled(text: Column | str) -> Column:
     """Text with null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -9,6 +9,7 @@ its full bytes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ STATE_CONF = {
 }
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, code points, digest of the text without white space, content locator
-    (file and row key), one row per document. Row keys hash the row's number and a mark
+    (file and row key) and the columns of ``carry``, one row per document. Row keys hash the row's number and a mark
     of this call, so that rows of later calls on the same log never share them."""
     text, call = filled("text"), uuid.uuid4().hex
     return docs.select(
@@ -35,6 +36,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.sha2(squeezed(text), 256).alias("text_sha256"),
         F.input_file_name().alias("file"),
         F.xxhash64(F.lit(call), F.monotonically_increasing_id()).alias("row_key"),
+        *carry,
     )
 
 
@@ -90,7 +92,7 @@ def _collided(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.groupBy("text_sha256").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a <> b").select("text_sha256")
 
 
-def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept,
     text_sha256.
 
@@ -103,12 +105,14 @@ def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = Non
     ``log`` and ``state`` name folders to go on with; by default both are new ones
     in the shared folder. Rows of earlier calls come out again with those of this one.
     Bytes are compared among ``docs``; against texts of earlier calls digests decide.
+    Columns of ``carry`` come out again with their row's decision; all calls on a log name
+    the same.
     """
     spark = docs.sparkSession
     log, state = log or scratch_path(spark, "fingerprints"), state or scratch_path(spark, "dedup-state")
-    fingerprints(docs.select("doc_id", "text")).write.mode("append").parquet(log)
+    fingerprints(docs.select("doc_id", "text", *carry), carry).write.mode("append").parquet(log)
     update_state(spark, log, state)
-    rows = spark.read.parquet(log).select("doc_id", "text_sha256", "row_key")
+    rows = spark.read.parquet(log).select("doc_id", "text_sha256", "row_key", *carry)
     hits = written(read_state(spark, state).filter("group_size > 1").drop("keep_file"), "dedup-hits")
     decided = sized_join(rows, hits, ["text_sha256"], "left", 140)
     one = F.col("group_size").isNull()
@@ -118,17 +122,18 @@ def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = Non
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (one | (F.col("row_key") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        *carry,
     )
     collided = written(_collided(docs, hits), "dedup-collided")
     if collided.isEmpty():
         return decided
-    return decided.join(collided, "text_sha256", "left_anti").unionByName(_by_bytes(docs, collided))
+    return decided.join(collided, "text_sha256", "left_anti").unionByName(_by_bytes(docs, collided, carry))
 
 
-def _by_bytes(docs: DataFrame, collided: DataFrame) -> DataFrame:
+def _by_bytes(docs: DataFrame, collided: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """The same decisions with the bytes themselves as key, for digests that two
     different texts share."""
-    rows = docs.select("doc_id", F.length(filled("text")).cast("long").alias("n_points"), squeezed(filled("text")).alias("bytes"), F.lit("").alias("file"))
+    rows = docs.select("doc_id", F.length(filled("text")).cast("long").alias("n_points"), squeezed(filled("text")).alias("bytes"), F.lit("").alias("file"), *carry)
     rows = rows.withColumn("text_sha256", F.sha2("bytes", 256)).join(collided, "text_sha256", "left_semi")
     rows = written(rows.withColumn("row_key", F.monotonically_increasing_id()), "dedup-bytes")
     best = rows.groupBy("bytes").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -138,4 +143,5 @@ def _by_bytes(docs: DataFrame, collided: DataFrame) -> DataFrame:
         "group_size",
         (F.col("row_key") == F.bitwise_not("best.row")).alias("kept"),
         "text_sha256",
+        *carry,
     )

@@ -70,10 +70,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_junk, p_toxic: junk is a quality of 0, and comes first in the chain."""
+def toxicity(docs: DataFrame, labels: DataFrame, rated: DataFrame | None = None) -> DataFrame:
+    """doc_id, p_junk, p_toxic: junk is a quality of 0, and comes first in the chain. It is
+    trained on ``docs``; ``rated`` gives the rows to score if they are others."""
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    return score(docs, train_chain(docs, labels, ("junk", "toxic")))
+    return score(docs if rated is None else rated, train_chain(docs, labels, ("junk", "toxic")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

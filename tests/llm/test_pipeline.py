@@ -87,3 +87,26 @@ def test_each_stage_against_brute_force(spark, folder):
         assert now == want, name
         docs, rows = out, {r["doc_id"]: (r["text"], r["source"]) for r in out.collect()}
     assert cp.run(spark, folder).count() == out.count()
+
+
+def test_stages_decide_on_rows(spark, tmp_path):
+    """Rows that repeat a doc_id, or have none, are dropped like any other."""
+    a, b, c, bad = text(901, 60), text(902, 60), text(903, 60), text(904, 20) + " you idiot scum"
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (5, b + " more"), (6, ""), (None, bad), (7, bad), (7, c.replace(" ", "  ", 1)), (8, text(905, 60)), (8, text(906, 60))]
+    rows += [(100 + k, text(950 + k, 20) + (" you idiot scum" if k % 3 == 0 else "")) for k in range(60)]
+    spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLUMNS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, int("idiot" in t)) for d, t in rows if d and d >= 100], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for frame in (docs, docs.filter("n_chars >= 0")):  # as it is read, and not
+        mine = lambda out: Counter((r["doc_id"], r["text"]) for r in out.filter("doc_id IS NULL OR doc_id < 100").collect())
+        first = cp.written(cp.drop_toxic(spark, frame, str(tmp_path)), "test-stage")
+        want = Counter((d, t) for d, t in rows if (d is None or d < 100) and t != bad)
+        assert first.columns == docs.columns and mine(first) == want
+        second = cp.written(cp.drop_copies(spark, first, str(tmp_path)), "test-stage")
+        kept = [(1, a), (1, b), (None, c + " more"), (5, b + " more"), (6, ""), (7, c.replace(" ", "  ", 1)), (8, text(905, 60)), (8, text(906, 60))]
+        assert mine(second) == Counter(kept)
+        third = cp.drop_near_copies(spark, second, str(tmp_path))
+        assert mine(third) == Counter([kept[0], kept[1], *kept[4:]])
+        # Alone, this stage drops copies too.
+        alone = mine(cp.drop_near_copies(spark, frame, str(tmp_path)))
+        assert alone == Counter([(1, a), (1, b), (6, ""), (7, bad), (7, c.replace(" ", "  ", 1)), (8, text(905, 60)), (8, text(906, 60))])
