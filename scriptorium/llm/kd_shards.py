@@ -27,17 +27,23 @@ POSITION_BITS, HASH_BITS = 31, 31
 ROWS_PER_RUN = 250_000
 
 
-def _prefix(c: Column) -> Column:
-    """The first six bytes of a string as a number in the strings' order; null lowest."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def with_ranks(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with _rank_NAME for each of ``names``: the place of the value among the
+    distinct ones, in the order of whole strings; null lowest. The values are sorted in
+    one task, one row per value."""
+    for c in names:
+        value = F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_value_{c}")
+        ranks = docs.select(value).distinct().withColumn(f"_rank_{c}", F.row_number().over(W.orderBy(f"_value_{c}")).cast("double"))
+        docs = sized_join(docs.select("*", value), written(ranks, "kd-ranks"), [f"_value_{c}"], "inner", 100).drop(f"_value_{c}")
+    return docs
 
 
 def dimensions(docs: DataFrame) -> dict[str, Column]:
     """Metadata dimensions: the length, the source, the language, the doc_id. Missing
-    columns are left out; null lies below every value."""
+    columns are left out; null lies below every value. ``docs`` has passed with_ranks."""
     n = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.length(filled("text")).cast("double")
     own = {"length": F.coalesce(F.log1p(F.greatest(n, F.lit(0.0))), F.lit(-1.0))}
-    own |= {c: _prefix(F.col(c)) for c in ("source", "lang") if c in docs.columns}
+    own |= {c: F.col(f"_rank_{c}") for c in ("source", "lang") if c in docs.columns}
     return own | {"doc_id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
 
 
@@ -105,6 +111,8 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     within runs. Empty input gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    wanted = docs.select(*[c for c in ("doc_id", "text", "n_chars", "source", "lang") if c in docs.columns])
+    docs = with_ranks(wanted, *[c for c in ("source", "lang") if c in docs.columns])
     dims = dimensions(docs)
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", filled("text")), 64 - HASH_BITS)
     rows = docs.select("doc_id", (F.octet_length(filled("text")) + OVERHEAD).cast("long").alias("size"), F.crc32(filled("text").cast("binary")).alias("text_crc32"), F.array(*dims.values()).alias("raw"), tie.alias("tie"))

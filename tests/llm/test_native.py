@@ -239,6 +239,17 @@ def test_kd_shards_are_even_and_split_in_space(spark):
     assert again.exceptAll(kd.kd_shards(df, n_shards=7).select("doc_id", "shard")).isEmpty()
 
 
+def test_kd_shards_tell_long_sources_apart(spark):
+    """Sources that share their first bytes; no other dimension is as wide."""
+    for name in ("source_%d", "https://site%d.example.org/"):
+        rows = [(0, "x" * 20, "en", name % (k % 4), 20) for k in range(4000)]
+        df = spark.createDataFrame([(7, t + str(k), *r) for k, (_, t, *r) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+        shards = kd.kd_shards(df, n_shards=4).select("text_crc32", "shard")
+        held = df.select(F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "source").join(shards, "text_crc32").groupBy("shard").agg(F.countDistinct("source").alias("n"), F.min("source").alias("s")).collect()
+        assert len(held) == 4 and [r["s"] for r in sorted(held, key=lambda r: r["shard"])] == [name % k for k in range(4)]
+        assert sum(r["n"] for r in held) <= 7
+
+
 # mixing
 
 
