@@ -239,6 +239,50 @@ def test_kd_shards_are_even_and_split_in_space(spark):
     assert again.exceptAll(kd.kd_shards(df, n_shards=7).select("doc_id", "shard")).isEmpty()
 
 
+def brute_tree(rows, n, spans):
+    """Row number -> shard; rows: number -> (size, keys). Each part is split at the weighted
+    median of its keys along its widest dimension."""
+    out = {}
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            out.update(dict.fromkeys(part, first))
+            return
+        place = lambda i, d: rows[i][1][d] >> kd.HASH_BITS
+        wide = [(max(place(i, d) for i in part) - min(place(i, d) for i in part)) / spans[d] for d in range(len(spans))]
+        d, total = wide.index(max(wide)), sum(rows[i][0] for i in part)
+        goal, upto, by = total * ((n // 2) / n), 0, defaultdict(int)
+        for i in part:
+            by[rows[i][1][d]] += rows[i][0]
+        for k in sorted(by):
+            upto += by[k]
+            if upto >= goal:
+                cut = k if upto - goal <= goal - (upto - by[k]) else k - 1
+                break
+        split([i for i in part if rows[i][1][d] <= cut], first, n // 2)
+        split([i for i in part if rows[i][1][d] > cut], first + n // 2, n - n // 2)
+
+    split(list(rows), 0, n)
+    return out
+
+
+def test_kd_shards_brute_force(spark, edges):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice([None, r.randint(-5, 10**6)]) if k % 9 == 0 else k * 37 % 5003, "x" * r.choice([0, 3, 40, 41, r.randint(1, 900)]) + str(k % 50), r.choice(["en", "de", None]), r.choice(["hot"] * 5 + [f"s{k % 7}", None])) for k in range(3000)]
+    many = spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for df, n in ((many, 13), (many, 40), (many.drop("source", "n_chars"), 6), (edges, 5)):
+        ranked = kd.with_ranks(df, *[c for c in ("source", "lang") if c in df.columns])
+        raw = [list(x) for x in ranked.select((F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("size"), kd.tie_hash().alias("tie"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "doc_id", *kd.dimensions(ranked).values()).collect()]
+        lo, hi = [min(x) for x in zip(*[x[4:] for x in raw])], [max(x) for x in zip(*[x[4:] for x in raw])]
+        keyed = {i: (x[0], [(v - a << kd.HASH_BITS) + x[1] for v, a in zip(x[4:], lo)]) for i, x in enumerate(raw)}
+        shard = brute_tree(keyed, n, [max(b - a, 1) for a, b in zip(lo, hi)])
+        want = Counter((x[3], x[2], shard[i]) for i, x in enumerate(raw))
+        got = kd.kd_shards(df, n_shards=n, tolerance=0).collect()
+        assert Counter((x["doc_id"], x["text_crc32"], x["shard"]) for x in got) == want
+
+
 def test_kd_shards_tell_long_sources_apart(spark):
     """Sources that share their first bytes; no other dimension is as wide."""
     for name in ("source_%d", "https://site%d.example.org/"):
