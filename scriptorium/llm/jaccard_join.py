@@ -9,7 +9,7 @@ tokens, rare ones first; the positions of the first common token there also boun
 pair can have in common. Pairs must share prefix tokens under the first two orders and
 two more (by other hashes) before their whole sets are compared.
 
-Equal sets form one class, whose smallest doc_id stands for it. Links are looked for
+Equal sets form one class, whose first row stands for it. Links are looked for
 where they can join components that are still apart: first between each document and
 the most central document it shares a token with, then, where a token's documents still
 lie in several components, between all of those.
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, sized_join, written
+from .common import by_bytes, numbered_rows, ship, sized_join, written
 
 #: Sets below this size are compared over the whole token space instead.
 SMALL = 64
-#: Pairs that one task verifies against one document at a time.
-BLOCK = 256
+#: Tokens of other documents that are compared with one document's at a time.
+BLOCK = 250_000
 #: Odd factors of the further orders' hashes, and of the n-gram hash.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -47,10 +47,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Text -> sorted distinct 64-bit hashes of its word n-grams."""
+    """Text -> sorted distinct 64-bit hashes of its word n-grams. Hashes of words are kept
+    up to ``most`` bytes of words."""
 
-    def __init__(self, n: int) -> None:
-        self.n = n
+    def __init__(self, n: int, most: int = 1 << 19) -> None:
+        self.n, self.most, self.held = n, most, 0
         self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -59,11 +60,13 @@ class Shingler:
         if not words:
             return np.empty(0, dtype=np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if self.held > self.most:
             known.clear()
+            self.held = 0
         for w in set(words):
             if w not in known:
                 known[w] = xxhash.xxh3_64_intdigest(w)
+                self.held += len(w)
         h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         width = min(self.n, len(h))
         out = np.full(len(h) - width + 1, width, dtype=np.uint64)
@@ -78,13 +81,13 @@ def prefix_size(n, num: int, den: int):
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, digest, and for each mode the tokens that are counted and
+    """row, doc_id, n_shingles, digest, and for each mode the tokens that are counted and
     those that follow where the prefix reaches further."""
     shingles, share = Shingler(n), 2 * (1 - Fraction(num, den))
     edge = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
     upper = SMALL * den // num
-    none = np.empty(0, dtype=np.int64)
-    for batch in batches:
+    none, longs = np.empty(0, dtype=np.int64), pa.list_(pa.int64())
+    for batch in by_bytes(batches):
         out: dict[str, list] = {k: [] for k in ("n_shingles", "digest", "large", "beyond", "small")}
         for text in batch.column("text"):
             s = shingles(text.as_py())
@@ -98,18 +101,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -
             out["large"].append(signed[:inside] if large else none)
             out["beyond"].append(signed[inside:p] if large and p > inside else none)
             out["small"].append(signed if 0 < size <= upper else none)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_shingles"], pa.int64()), pa.array(out["digest"], pa.binary()), *(pa.array(out[k], longs) for k in ("large", "beyond", "small"))], names=["doc_id", *out])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(out["n_shingles"], pa.int64()), pa.array(out["digest"], pa.binary()), *(pa.array(out[k], longs) for k in ("large", "beyond", "small"))], names=["row", "doc_id", *out])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """doc, the whole set, and its prefixes under the further orders."""
-    shingles = Shingler(n)
-    for batch in batches:
+    shingles, longs = Shingler(n), pa.list_(pa.int64())
+    for batch in by_bytes(batches):
         sets = [shingles(t.as_py()) for t in batch.column("text")]
         prefixes = [[np.sort(s * np.uint64(k))[: prefix_size(len(s), num, den)].view(np.int64) for s in sets] for k in ORDERS]
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], longs), *(pa.array(p, longs) for p in prefixes)], names=["doc", "tokens", *(f"order{k}" for k in range(1, len(ORDERS) + 1))])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s.view(np.int64) for s in sets], longs), *(pa.array(p, longs) for p in prefixes)], names=["doc", "tokens", *(f"order{k}" for k in range(1, len(ORDERS) + 1))])
 
 
 def _postings(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -171,10 +172,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     and block; the set of b travels once for each pair, that of a once for each block."""
     for k in range(len(ORDERS) + 1):
         at = sets.select(F.col("doc").alias("a"), F.col(f"order{k}").alias("pa"))
-        bt = sets.select(F.col("doc").alias("b"), F.col(f"order{k}").alias("pb"))
-        pairs = pairs.join(at, "a").join(bt, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
+        bt = sets.select(F.col("doc").alias("b"), F.col(f"order{k}").alias("pb"), F.size("tokens").alias("n"))
+        pairs = pairs.join(at, "a").join(bt, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b", *(["n"] if k == len(ORDERS) else []))
     pairs = written(pairs, "jaccard-pairs")
-    blocks = pairs.groupBy("a").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("blocks"))
+    blocks = pairs.groupBy("a").agg(F.floor((F.sum("n") - 1) / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").select("a", F.col("b").alias("doc"), F.pmod(F.xxhash64("b"), F.col("blocks") + 1).cast("int").alias("block"))
     heads = blocks.select("a", F.col("a").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("block"))
     dealt = written(dealt.unionByName(heads), "jaccard-dealt")
@@ -210,7 +211,16 @@ def _apart(postings: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(open_, "token")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _shared_ids(usable: DataFrame, copies: DataFrame) -> DataFrame:
+    """a, b: classes that rows of one doc_id lie in, each with the least of them."""
+    often = written(usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"), "jaccard-repeated")
+    rows = sized_join(usable.select("row", "doc_id"), often, ["doc_id"], "left_semi", 16)
+    rows = rows.join(copies.select("row", "doc"), "row", "left").select("doc_id", F.coalesce("doc", "row").alias("b"))
+    least = rows.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("most")).filter("a <> most")
+    return written(rows.join(least, "doc_id").filter("a <> b").select("a", "b").distinct(), "jaccard-same-id")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     Texts are lower-cased in A-Z and cut at white space; a document's set has the hashes
@@ -218,41 +228,46 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     link if num/den of their sets' union is common to both; component_id is the smallest
     doc_id that links reach, the document's own included. A null text, or one without
     words, has no shingles and no links. Rows with null doc_id stand alone, with a null
-    component_id. Rows that repeat a doc_id with the same text are one document; with
-    different texts they share the links of one of these. Other columns are ignored;
-    empty input gives no rows.
+    component_id. Rows of one doc_id are one document, which has the links of all their
+    texts. ``row`` may name a column that numbers the rows; without it they are numbered by
+    their place in their files. Other columns are ignored; empty input gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n_shingles long, digest binary, large array<long>, beyond array<long>, small array<long>"
+    docs = docs if row else numbered_rows(docs)
+    docs = docs.select(F.col(row or "_row").cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
+    schema = "row long, doc_id long, n_shingles long, digest binary, large array<long>, beyond array<long>, small array<long>"
     signed = written(docs.mapInArrow(lambda b: _signatures(b, n, num, den), schema), "jaccard-signatures")
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("members")), "jaccard-classes")
-    several = classes.filter("members > 1").select("digest", "doc")
-    copies = sized_join(usable.select("digest", "doc_id"), several, ["digest"], "inner", 60).filter("doc_id <> doc")
-    copies = written(copies.groupBy("doc_id").agg(F.min("doc").alias("doc")), "jaccard-copies")
-    reps = sized_join(usable.select("doc_id", F.col("n_shingles").alias("n"), "large", "beyond", "small"), copies.select("doc_id"), ["doc_id"], "left_anti", 24)
-    reps = reps.withColumnRenamed("doc_id", "doc")
+    # Equal sets are one class; the least row number stands for it.
+    classes = written(usable.groupBy("digest").agg(F.min("row").alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")), "jaccard-classes")
+    several = classes.filter("members > 1").select("digest", "doc", "least")
+    copies = written(sized_join(usable.select("digest", "row"), several, ["digest"], "inner", 70).drop("digest"), "jaccard-copies")
+    reps = sized_join(usable.select("row", F.col("n_shingles").alias("n"), "large", "beyond", "small"), copies.filter("row <> doc").select("row"), ["row"], "left_anti", 24)
+    reps = reps.withColumnRenamed("row", "doc")
     first = written(_postings(reps, num, den), "jaccard-first")
     held = first.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     first = first.join(held, "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("order0"))
     first = written(first, "jaccard-members")
-    texts = sized_join(docs, first.select(F.col("doc").alias("doc_id")), ["doc_id"], "left_semi", 24)
+    texts = sized_join(docs.select("row", "text"), first.select(F.col("doc").alias("row")), ["row"], "left_semi", 24)
     orders = ", ".join(f"order{k} array<long>" for k in range(1, len(ORDERS) + 1))
-    whole = texts.mapInArrow(lambda b: _full_sets(b, n, num, den), f"doc long, tokens array<long>, {orders}").dropDuplicates(["doc"])
+    whole = texts.mapInArrow(lambda b: _full_sets(b, n, num, den), f"doc long, tokens array<long>, {orders}")
     sets = written(whole.join(first, "doc"), "jaccard-sets")
     postings = written(_ranked(sets, num, den), "jaccard-postings")
-    members = written(postings.select("doc").distinct(), "jaccard-docs")
+    same = None if row == "doc_id" else _shared_ids(usable, copies)
+    members = postings.select("doc") if same is None else postings.select("doc").unionByName(same.select(F.explode(F.array("a", "b")).alias("doc")))
+    members = written(members.distinct(), "jaccard-docs")
     possible = _possible(num, den)
     head = F.struct("score", (-F.col("doc")).alias("minus"), F.col("n").alias("n2"), F.col("at").alias("at2"))
 
     # Each document with the most central one that it can link with by a token.
     pairs = _headed(postings, head, possible).groupBy("doc").agg(F.max("head").alias("head"))
-    links = written(_verified(pairs.select((-F.col("head.minus")).alias("a"), F.col("doc").alias("b")), sets, num, den), "jaccard-links")
+    links = _verified(pairs.select((-F.col("head.minus")).alias("a"), F.col("doc").alias("b")), sets, num, den)
+    links = written(links if same is None else links.unionByName(same), "jaccard-links")
     comp = connected(links, members.withColumn("comp", F.col("doc")))
-    # The head of each token with its documents in other components.
-    apart = _apart(postings, comp)
+    # The head of each token with its documents in other components. Written before it is
+    # dealt by token again, so that a token that many share is summed up first.
+    apart = written(_apart(postings, comp), "jaccard-apart")
     pairs = _headed(apart, F.struct("score", (-F.col("doc")).alias("minus"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("comp").alias("comp2")), possible).filter("comp <> head.comp2")
     links = written(links.unionByName(_verified(pairs.select((-F.col("head.minus")).alias("a"), F.col("doc").alias("b")).distinct(), sets, num, den)), "jaccard-links")
     comp = connected(links, comp)
@@ -263,7 +278,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     links = written(links.unionByName(_verified(pairs, sets, num, den)), "jaccard-links")
     comp = connected(links, comp)
 
-    found = comp.filter("comp <> doc")
-    rows = signed.select("doc_id", "n_shingles").join(copies.withColumnRenamed("doc", "rep"), "doc_id", "left").withColumn("doc", F.coalesce("rep", "doc_id"))
-    rows = rows.join(found, "doc", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("comp", "doc").alias("component_id"))
+    # The least doc_id of each component; that of a class alone is in ``copies``.
+    named = comp.join(classes.select("doc", "least"), "doc")
+    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("doc", "component_id")
+    rows = signed.select("row", "doc_id", "n_shingles").join(copies.withColumnRenamed("doc", "rep"), "row", "left").withColumn("doc", F.coalesce("rep", "row"))
+    rows = rows.join(named, "doc", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"))

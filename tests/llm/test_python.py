@@ -176,6 +176,15 @@ def test_jaccard_edges(spark, edges, nothing):
     assert jj.jaccard_classes(nothing).count() == 0
 
 
+def test_jaccard_of_one_id_with_several_texts(spark):
+    """A document has the links of all rows that repeat its doc_id."""
+    a, b, c = text(11, 80), text(12, 80), text(13, 80)
+    docs = [(7, a), (2, b), (9, a + " x"), (9, b + " x"), (9, b + " x"), (5, c), (5, None), (4, c + " y"), (4, text(14, 70)), (None, a)]
+    rows = jj.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 5, 80).collect()
+    got = sorted(((r["doc_id"], r["component_id"]) for r in rows), key=str)
+    assert got == sorted([(7, 2), (2, 2), (9, 2), (9, 2), (9, 2), (5, 4), (5, 5), (4, 4), (4, 4), (None, None)], key=str)
+
+
 def test_jaccard_repeated_copies(spark):
     """Rows that repeat a document which is a copy of another come out once each."""
     docs = [(1, text(8, 80)), (5, text(8, 80)), (5, text(8, 80)), (6, text(8, 80) + " x"), (6, text(8, 80) + " x")]
