@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +23,23 @@ WHITE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE_CLASS}]+"
 #: A side of a join is broadcast up to this many bytes (rows times a row width).
 BROADCAST_BYTES = 16 << 20
+#: Rows that a Python worker is sent at once. Texts of some kilobytes make megabytes of
+#: these, on the executor's side (outside its heap) and on the worker's.
+ARROW_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir,
-    or where that is unset (tests, one machine) a temporary folder that is then
-    set as checkpoint folder."""
+    or where that is unset and all run on one machine (tests) a temporary folder
+    that is then set as checkpoint folder. A cluster without that setting is an error:
+    a folder of the driver's would be another one on each executor."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -55,10 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost
-    executor costs no recomputation of what stands before it."""
+    executor costs no recomputation of what stands before it. Python workers that take
+    part are sent small batches."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, key = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +88,16 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, width
     return left.join(right, on, how)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (or bytes) have ``most`` bytes or a row more."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in itertools.pairwise(cuts):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with _row: a number for each row that no other has, the same whenever it
     is evaluated, from the row's file and its place there. Anything but files as they

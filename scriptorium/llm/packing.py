@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, sized_join, written
+from .common import by_bytes, ship, sized_join, written
 
 LENGTH = 2048
 #: Open windows per partition.
@@ -91,7 +91,7 @@ class OpenWindows:
 def _pack_partition(batches: Iterator[pa.RecordBatch], length: int, most: int, vocabulary: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     encode, windows, part = encoder(vocabulary), OpenWindows(length, most), pyspark.TaskContext.get().partitionId()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("window", pa.int64()), ("offset", pa.int64())])
-    for batch in batches:
+    for batch in by_bytes(batches):
         rows: list[tuple] = []
         held = 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -101,7 +101,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], length: int, most: int, v
                 number, offset = windows.place(len(piece))
                 rows.append((doc_id, start, len(piece), piece.tobytes(), len(ids), part, number, offset))
             held += len(ids)
-            if held > 2_000_000:
+            if held > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 rows, held = [], 0
         if rows:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import by_bytes, ship, written
 
 #: Labelled documents that the chain is fitted on at most.
 TRAINING_ROWS = 8000
@@ -114,7 +114,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], r
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(written(chosen, "chain-labels")), "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             held = [[w.decode("latin-1") for w in sorted(distinct_words(t))] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(y) for y in ys), pa.array(held, pa.list_(pa.string()))], names=["doc_id", *ys, "words"])
 
@@ -148,11 +148,12 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     place = {w: i for i, w in enumerate(chain.words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             x = np.zeros((b.num_rows, len(place)))
             for i, t in enumerate(b.column("text")):
                 x[i, [place[w] for w in distinct_words(t.as_py()) & place.keys()]] = 1
             p = chain.probabilities(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *(f"p_{c}" for c in chain.categories)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.categories))
+    rated = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.categories))
+    return written(rated, "chain-scores")
