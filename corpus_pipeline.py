@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of rows whose five-word shingles link at 0.8 the one with the smallest doc_id (null
     last) stays, of several with that the first."""
     rows = numbered_rows(docs)
-    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=80, den=100)
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=80, den=100, row="doc_id")
     linked = written(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-copies")
     members = written(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "near-members")
     members = written(sized_join(rows.select("_row", "doc_id"), members, ["_row"], "inner", 24), "near-members")
