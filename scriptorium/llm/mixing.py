@@ -13,8 +13,6 @@ from .common import filled, sized_join, words_of, written
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: Seeds that a source chooses from.
-DRAWS = 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -49,34 +47,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
 
 
 def draw_key(doc_id: Column, text: Column) -> Column:
-    """What a document's draws depend on: its doc_id, or its text where that is null."""
+    """What a document's draw depends on: its doc_id, or its text where that is null."""
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(text)))
 
 
-def uniform(key: Column, draw: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends only on the seed, the draw's number and the key."""
-    mixed = F.md5(F.concat(F.lit(seed + ":"), draw.cast("string"), F.lit(":"), key))
+def uniform(key: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends only on the seed and the key."""
+    mixed = F.md5(F.concat(F.lit(seed + ":"), key))
     return F.conv(F.substring(mixed, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def best_draws(rows: DataFrame, targets: DataFrame, seed: str, draws: int = DRAWS) -> DataFrame:
-    """The targets with rate, and draw: of ``draws`` seeds the one whose copies bring the
-    source nearest its target, the first on ties. rows: source, size, key.
-
-    Each is a sum per source, so a source with a third of all rows costs no more than
-    others."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("rate", rate)
-    safe = targets.select(_source().alias("at"), "rate")
-    rows = sized_join(rows.select(_source().alias("at"), "size", "key"), safe, ["at"], "inner", 200)
-    fraction = F.col("rate") - F.floor("rate")
-    sums = rows.groupBy("at").agg(*[F.sum(F.when(uniform(F.col("key"), F.lit(k), seed) < fraction, F.col("size")).otherwise(0)).alias(f"d{k}") for k in range(draws)])
-    joined = targets.withColumn("at", _source()).join(sums, "at")
-    miss = lambda k: F.abs((F.floor("rate") * F.col("source_size") + F.col(f"d{k}")).cast("double") - F.col("target"))
-    nearest = F.array_min(F.array(*[F.struct(miss(k).alias("miss"), F.lit(k).alias("k")) for k in range(draws)]))
-    return joined.select("at", "source_size", "target", "rate", nearest["k"].alias("draw"))
-
-
 def _source() -> Column:
     """The source as a key that null can join by."""
     return F.struct(F.col("source").isNotNull().alias("has"), filled("source").alias("name"))
@@ -85,14 +65,14 @@ def _source() -> Column:
 def _rated(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
     """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_copies."""
     size, key = F.size(words_of(filled("text"))).cast("long"), draw_key(F.col("doc_id"), filled("text"))
-    thin = written(docs.select("source", size.alias("size"), key.alias("key")), "mix-sizes")
-    targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    chosen = written(best_draws(thin, written(targets, "mix-targets"), seed), "mix-draws")
-    chosen = chosen.select(F.col("at").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"), F.col("draw").alias("_mix_draw"))
+    sizes = docs.select("source", size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, cap)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = targets.select(_source().alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), rate.alias("_mix_rate"))
     rows = docs.withColumns({"_mix_size": size, "_mix_key": key, "_mix_source": _source()})
-    rows = sized_join(rows, chosen, ["_mix_source"], "inner", 200)
+    rows = sized_join(rows, written(rates, "mix-rates"), ["_mix_source"], "inner", 200)
     whole = F.floor("_mix_rate")
-    extra = (uniform(F.col("_mix_key"), F.col("_mix_draw"), seed) < F.col("_mix_rate") - whole).cast("long")
+    extra = (uniform(F.col("_mix_key"), seed) < F.col("_mix_rate") - whole).cast("long")
     return rows.withColumn("_mix_copies", whole + extra)
 
 
@@ -100,10 +80,12 @@ def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
     """The columns of ``docs`` and size, source_size, target, copies.
 
     copies is floor(rate) plus one with the probability of the rate's fraction, where
-    rate = target / source_size. Of a few seeds each source takes the one that brings it
-    nearest its target. A null text has size 0; sources without words have
-    target 0 and no copies. A document with a null doc_id draws by its text. Rows that
-    repeat a document draw alike. Columns of ``docs`` with the names added here are
+    rate = target / source_size: one draw for each document, from a hash of the seed and
+    its doc_id. So a source comes the nearer to its target the more documents it has; of
+    sizes s and with the fraction f, its words spread by sqrt(f (1 - f) sum of s^2). A null
+    text has size 0; sources without words have
+    target 0 and no copies. A document with a null doc_id draws by its text. Rows of one
+    doc_id draw alike. Columns of ``docs`` with the names added here are
     replaced. Empty input gives no rows.
     """
     new = ("size", "source_size", "target", "copies")
@@ -113,6 +95,6 @@ def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, with all their columns: each stands as often as it is
-    taken."""
+    taken. Nulls, repeated rows and empty input are as in ``mix_rates``."""
     rows = _rated(docs, weights, cap, seed).filter("_mix_copies > 0")
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -218,16 +218,11 @@ SQL = {
                         ELSE (r.weight * (f.total - f.cut))::DOUBLE / (f.weights - f.used)::DOUBLE END AS target
             FROM r LEFT JOIN first f ON true),
         j AS (
-            SELECT d.doc_id, d.size, t.source, t.source_size, t.target,
+            SELECT d.doc_id, d.size, t.source_size, t.target,
                    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate,
                    coalesce(d.doc_id::VARCHAR, 'text:' || md5(coalesce(d.text, ''))) AS key
-            FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
-        u AS (
-            SELECT j.*, k, floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || k || ':' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END AS copies
-            FROM j, range(16) draws(k)),
-        best AS (
-            SELECT source, k FROM (SELECT source, k, sum(size * copies)::DOUBLE AS taken, max(target) AS target FROM u GROUP BY source, k)
-            QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), k) = 1)
-        SELECT u.doc_id, u.size, u.source_size, u.target, (u.size * u.copies)::BIGINT AS taken
-        FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source AND u.k = best.k""",
+            FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+        SELECT doc_id, size, source_size, target,
+               (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM j""",
 }

@@ -328,11 +328,30 @@ def test_mixing_edges(spark, edges, nothing):
     assert mx.mixed(nothing).count() == 0 and mx.mix_rates(nothing).count() == 0
 
 
-def test_mixing_comes_near_targets(spark):
+def test_mixing_draws_once_with_the_fraction_as_probability(spark):
     rows = [(k, "w " * (k % 50 + 1), f"s{k % 5}") for k in range(20000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mx.mix_rates(df).groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
-    assert all(abs(r["n"] - r["t"]) < 0.03 * r["t"] for r in got)
+    got = mx.mix_rates(df).collect()
+    by = defaultdict(list)
+    for r in got:
+        rate = r["target"] / r["source_size"]
+        u = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r["copies"] == int(rate) + (u < rate - int(rate))
+        by[r["source"]].append(r)
+    for mine in by.values():
+        rate, n = mine[0]["target"] / mine[0]["source_size"], len(mine)
+        f = rate - int(rate)
+        extra = sum(r["copies"] - int(rate) for r in mine)
+        assert abs(extra - f * n) <= 4 * (f * (1 - f) * n) ** 0.5 + 1e-9
+        spread = (f * (1 - f) * sum(r["size"] ** 2 for r in mine)) ** 0.5
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 4 * spread + 1e-6
+    # Draws of different sizes are alike: no document is favoured by its length.
+    split = [r for r in got if 0 < (r["target"] / r["source_size"]) % 1 < 1]
+    for half in (lambda r: r["size"] <= 25, lambda r: r["size"] > 25):
+        part = [r for r in split if half(r)]
+        f = [r["target"] / r["source_size"] % 1 for r in part]
+        extra = sum(r["copies"] - int(r["target"] / r["source_size"]) for r in part)
+        assert abs(extra - sum(f)) <= 4 * sum(x * (1 - x) for x in f) ** 0.5
 
 
 def test_sized_join_beyond_the_limit(spark):

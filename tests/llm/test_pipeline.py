@@ -48,9 +48,7 @@ def brute_mix(docs):
     for s, ds in by.items():
         total = sum(sizes[d] for d in ds)
         rate = targets[s] / total if total else 0
-        draw = lambda k, d: int(hashlib.md5(f"mix-1:{k}:{d}".encode()).hexdigest()[:13], 16) / 2**52 < rate - int(rate)
-        k = min(range(16), key=lambda k: (abs(sum(sizes[d] * (int(rate) + draw(k, d)) for d in ds) - targets[s]), k))
-        out |= {d: int(rate) + draw(k, d) for d in ds}
+        out |= {d: int(rate) + (int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / 2**52 < rate - int(rate)) for d in ds}
     return out
 
 
