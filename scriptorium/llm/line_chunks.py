@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, filled, let, sized_join, written
 
-#: Factors of the hashes of this line and those before it; all odd, so each counts.
-ROLL = (1, 31, 961, 29791)
-#: A chunk ends where the rolling hash is a multiple of this.
-DIVISOR = 4
+#: Factors of the hashes of this line and those before it, and a prime that their sum is
+#: taken modulo, so that every bit of every line counts.
+ROLL = (1, 31)
+PRIME = 2147483647
+#: A chunk ends where the rolling hash is a multiple of this and the line before's is not.
+DIVISOR = 2
 #: Lines with a word that make a chunk count as multi-line.
 MIN_LINES = 2
 
@@ -27,11 +29,15 @@ def line_hash(line: Column) -> Column:
 
 def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
     """Array of struct(no, n_lines, multi, body): the chunks of a text, which joined by
-    line feeds give the text back."""
+    line feeds give the text back. A line that follows one whose rolling hash is a multiple
+    ends no chunk, so that blocks of equal lines, whose hashes are equal too, are not cut
+    at each line."""
 
     def ends(h: Column) -> Column:
         rolled = lambda i: sum((F.coalesce(F.get(h, i - j), F.lit(0)) * k for j, k in enumerate(ROLL)), F.lit(0))
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolled(i) % divisor == 0) | (i == F.size(h) - 1))
+        at = F.sequence(F.lit(0), F.size(h) - 1)
+        marks = lambda m: F.filter(at, lambda i: (F.get(m, i) & ~F.coalesce(F.get(m, i - 1), F.lit(False))) | (i == F.size(h) - 1))
+        return let(F.transform(at, lambda i: rolled(i) % PRIME % divisor == 0), marks)
 
     def cut(lines: Column, e: Column) -> Column:
         first = lambda k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
@@ -42,13 +48,13 @@ def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """key: doc_id and a hash of the text, so that a null doc_id, or one with several
+    """_chunk_key: doc_id and a hash of the text, so that a null doc_id, or one with several
     texts, still tells documents apart."""
-    return docs.withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(filled("text")).alias("hash")))
+    return docs.withColumn("_chunk_key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(filled("text")).alias("hash")))
 
 
 def _occurrences(docs: DataFrame, divisor: int) -> DataFrame:
-    rows = docs.select("key", F.explode(F.filter(chunks_of(F.col("text"), divisor), lambda c: c["multi"])).alias("c"))
+    rows = docs.select(F.col("_chunk_key").alias("key"), F.explode(F.filter(chunks_of(F.col("text"), divisor), lambda c: c["multi"])).alias("c"))
     return rows.select("key", "c.no", "c.n_lines", "c.body", F.unhex(F.md5("c.body")).alias("h"))
 
 
@@ -80,18 +86,18 @@ def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     are never removed. Of equal chunks the one in the document with the smallest doc_id
     stays (null first), within a document the first. Rows that repeat both doc_id and
     text are one document and keep or lose a chunk together. A null text stays null with
-    one empty line; an empty text likewise. Columns of ``docs`` with the names added here
-    are replaced.
+    one empty line; an empty text likewise. Columns of ``docs`` with these four names
+    are replaced, all others stay; names that begin with _chunk are taken.
     """
-    new = ["n_lines", "n_chunks", "removed_chunks", "removed_lines", "key", "gone", "gone_lines", "parts"]
+    new = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     rows = _keyed(docs.drop(*[c for c in new if c in docs.columns]))
-    gone = written(removed_chunks(docs, divisor), "chunks-gone")
-    rows = sized_join(rows, gone, ["key"], "left", 120).withColumn("parts", chunks_of(F.col("text"), divisor))
-    left = F.array_join(F.transform(F.filter("parts", lambda c: ~F.array_contains("gone", c["no"])), lambda c: c["body"]), "\n")
+    gone = removed_chunks(docs, divisor).toDF("_chunk_key", "_chunk_gone", "_chunk_lines")
+    rows = sized_join(rows, written(gone, "chunks-gone"), ["_chunk_key"], "left", 120).withColumn("_chunk_parts", chunks_of(F.col("text"), divisor))
+    left = F.array_join(F.transform(F.filter("_chunk_parts", lambda c: ~F.array_contains("_chunk_gone", c["no"])), lambda c: c["body"]), "\n")
     return rows.withColumns({
         "n_lines": F.size(F.split(filled("text"), "\n")).cast("long"),
-        "n_chunks": F.size("parts").cast("long"),
-        "removed_chunks": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce("gone_lines", F.lit(0)).cast("long"),
-        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
-    }).select(*[c for c in docs.columns if c not in new], "n_lines", "n_chunks", "removed_chunks", "removed_lines")
+        "n_chunks": F.size("_chunk_parts").cast("long"),
+        "removed_chunks": F.coalesce(F.size("_chunk_gone"), F.lit(0)).cast("long"),
+        "removed_lines": F.coalesce("_chunk_lines", F.lit(0)).cast("long"),
+        "text": F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(left),
+    }).select(*[c for c in docs.columns if c not in new], *new)

@@ -30,7 +30,7 @@ def pairs_of(text: Column) -> Column:
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
-    rows = keyed.select("key", F.explode(pairs_of(F.col("text"))).alias("p"))
+    rows = keyed.select(F.col("_chunk_key").alias("key"), F.explode(pairs_of(F.col("text"))).alias("p"))
     return rows.select("key", "p.no", "p.end", "p.body", F.unhex(F.md5("p.body")).alias("h"))
 
 
@@ -69,16 +69,17 @@ def dedup_line_runs(docs: DataFrame) -> DataFrame:
     any repeated pair. So every repeated pair stays whole in its first place: the
     document with the smallest doc_id (null first), within a document the first. Rows
     that repeat both doc_id and text are one document. A null text stays null with one
-    empty line. Columns of ``docs`` with the names added here are replaced.
+    empty line. Columns of ``docs`` with these two names are replaced, all others
+    stay; names that begin with _chunk are taken.
     """
-    new = ["n_lines", "removed_lines", "key", "gone"]
+    new = ["n_lines", "removed_lines"]
     rows = _keyed(docs.drop(*[c for c in new if c in docs.columns]))
-    gone = written(removed_lines(_keyed(docs.select("doc_id", "text"))), "runs-gone")
-    rows = sized_join(rows, gone, ["key"], "left", 400)
+    gone = removed_lines(_keyed(docs.select("doc_id", "text"))).toDF("_chunk_key", "_chunk_gone")
+    rows = sized_join(rows, written(gone, "runs-gone"), ["_chunk_key"], "left", 400)
     lines = F.split(filled("text"), "\n")
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_chunk_gone")), lambda i: F.get(x, i)), "\n"))
     return rows.withColumns({
         "n_lines": F.size(lines).cast("long"),
-        "removed_lines": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
-    }).select(*[c for c in docs.columns if c not in new], "n_lines", "removed_lines")
+        "removed_lines": F.coalesce(F.size("_chunk_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(left),
+    }).select(*[c for c in docs.columns if c not in new], *new)

@@ -147,12 +147,12 @@ SQL = {
             FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
         rolled AS (
-            SELECT *, h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)
-                   + 29791 * coalesce(lag(h, 3) OVER w, 0) AS r
+            SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0)) % 2147483647 % 2 = 0 AS mark
             FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        ends AS (SELECT *, mark AND NOT coalesce(lag(mark) OVER w, false) AS last FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         numbered AS (
-            SELECT *, coalesce(sum((r % 4 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
-            FROM rolled),
+            SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
+            FROM ends),
         chunks AS (
             SELECT doc_id, no, count(*) AS n, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= 2 AS multi,
                    string_agg(line, chr(10) ORDER BY i) AS body

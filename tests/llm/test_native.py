@@ -128,7 +128,8 @@ def brute_chunks(t):
     out, now = [], []
     for i, x in enumerate(lines):
         now.append(x)
-        if sum(h[i - j] * k for j, k in enumerate((1, 31, 961, 29791)) if i >= j) % 4 == 0 or i + 1 == len(lines):
+        mark = lambda i: (h[i] + (31 * h[i - 1] if i else 0)) % 2147483647 % 2 == 0
+        if i + 1 == len(lines) or mark(i) and not (i and mark(i - 1)):
             out.append(now)
             now = []
     return out
@@ -151,10 +152,24 @@ def test_line_chunks_brute_force(spark, edges, nothing):
     got = {r["doc_id"]: (r["removed_chunks"], r["text"]) for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and sum(v[0] for v in want.values()) > 20
     out = lc.dedup_line_chunks(edges)
-    assert out.count() == edges.count() and set(out.columns) >= {"doc_id", "text", "kept", "size", "host"}
+    assert out.count() == edges.count() and set(out.columns) == {*edges.columns, "n_lines", "n_chunks", "removed_chunks", "removed_lines"}
+    clash = spark.createDataFrame([(1, "a", 5, "p", "g", 3)], "doc_id long, text string, key int, parts string, gone_lines string, n_chunks int")
+    assert lc.dedup_line_chunks(clash).first().asDict() == {"doc_id": 1, "text": "a", "key": 5, "parts": "p", "gone_lines": "g", "n_lines": 1, "n_chunks": 1, "removed_chunks": 0, "removed_lines": 0}
     assert lc.dedup_line_chunks(nothing).count() == 0
 
 
+def test_blocks_of_equal_lines(spark):
+    """Blocks of equal lines, or of two in turn, are not cut at each line and go from copies."""
+    docs = [(k, "\n".join([f"line {k // 3}"] * 30)) for k in range(30)] + [(100 + k, "\n".join([f"a {k // 3}", "c d"] * 15)) for k in range(30)]
+    got = {r["doc_id"]: r for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        assert got[d]["n_chunks"] <= 16
+        if d % 100 % 3:
+            assert got[d]["removed_lines"] >= 28
+        elif d < 100:
+            assert (got[d]["removed_lines"], got[d]["text"]) == (0, t)
+
+
 def test_insertions_move_few_boundaries():
     a = text(70, 800).split("\n")
     b = a[:40] + ["something new"] + a[40:]
@@ -190,7 +205,7 @@ def test_line_runs_find_short_passages_at_any_offset(spark):
         n, k = divmod(d, 1000)
         assert got[d] == ((n, "\n".join(t.split("\n")[: k + 2] + t.split("\n")[k + 2 + n :])) if k else (0, t))
     short = [r["removed_lines"] for r in lc.dedup_line_chunks(df).collect() if r["doc_id"] % 1000]
-    assert 0 in short
+    assert 0 in short and any(short)
 
 
 def test_line_runs_brute_force(spark, edges, nothing):
