@@ -2,7 +2,8 @@
 
 The field tags words by the shapes of themselves and their neighbours. It is trained
 from a small labelled table and decoded by Viterbi over numpy batches. It adds spans to
-those of the patterns and takes none away.
+those of the patterns and takes none away: secrets (passwords, keys and tokens given a
+value), phone numbers in local form, and what the patterns found in part only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -19,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import by_bytes, ship, written
 
-KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone", "B-secret")
+#: Runs of letters and digits from which on a word's shape is just long; bytes of words
+#: whose shapes are kept; words that are scored at once.
+MANY_RUNS, KEPT_BYTES, BLOCK = 12, 4 << 20, 1 << 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,7 +36,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SIGN = re.compile(r"[0-9@]")
+_GIVEN = re.compile(r"[\w.-]+\s*(?:=>?|:=?)\s*")
+_MAIL = re.compile(r"[^@]@[^@]+[.].")
+_RUN = re.compile(r"([^\W\d_]+)|([0-9]+)")
 
 
 def luhn(digits: str) -> bool:
@@ -75,18 +83,38 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
     """Short word sequences with a label for each word, made by rule from a seed."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    plain = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+
+    def word() -> str:
+        w = "".join(r.choice("abcdefghijklmnopqrstuvwxyzéöñ") for _ in range(r.randint(1, 14)))
+        w = r.choice((w, w, w, w.capitalize(), w.upper()))
+        return w + r.choice(("", "", "", "", "", "", ".", ",", ":", ";", "!!", "?"))
+
     octets = lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
     area, line = lambda: str(r.randint(200, 989)), lambda: f"{r.randint(200, 989)}-{digits(4)}"
-    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 16, 32, 40))))
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 16, 32, 40, 64))))
+
+    local = lambda: r.choice((plain(), f"{plain()}.{digits(2)}", f"{plain()}_{digits(1)}", f"{plain()}.{plain()}", f"{plain()}{digits(3)}", f"{plain()}ö{plain()}"))
+    domain = lambda: r.choice((plain(), plain() + digits(1), f"{plain()}.{plain()}", f"{plain()}{digits(1)}.{plain()}")) + "." + r.choice(("com", "org", "net", "de"))
 
-    local = lambda: r.choice((word(), f"{word()}.{digits(2)}", f"{word()}_{digits(1)}", f"{word()}.{word()}", f"{word()}{digits(3)}"))
-    domain = lambda: r.choice((word(), word() + digits(1), f"{word()}.{word()}", f"{word()}{digits(1)}.{word()}")) + "." + r.choice(("com", "org", "net", "de"))
+    def secret() -> str:
+        v = r.choice((hexes(), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(16, 48)))))
+        return r.choice((v, v, v.upper(), f"{plain()}_{v}"))
+
+    def given() -> list[tuple[str, str]]:
+        """A name and a secret value for it, in several notations."""
+        name, v = r.choice((plain(), f"{plain()}_{plain()}")), secret()
+        name = r.choice((name, name, name.upper()))
+        if r.random() < 0.3:
+            return [(r.choice((f"{name}={v}", f'{name}="{v}"', f"{name}:{v}")), "B-secret")]
+        head = r.choice(([(name, "O"), (r.choice(("=", ":=", "=>")), "O")], [(name + ":", "O")], [(name + "=", "O")]))
+        return [*head, (r.choice((v, f'"{v}"', f"'{v}'", f'"{v}"' + r.choice(("!!", ";", ",")))), "B-secret")]
 
     def tagged(kind: str, text: str) -> list[tuple[str, str]]:
         return [(w, f"{'I' if i and kind in ('card', 'phone') else 'B'}-{kind}") for i, w in enumerate(text.split(" "))]
 
     held = (
+        given, given, given,
         lambda: tagged("email", local() + "@" + domain()),
         lambda: tagged("email", f"<{local()}@{domain()}>"),
         lambda: tagged("email", local() + "@" + domain()),
@@ -100,13 +128,13 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
         lambda: tagged("phone", f"{area()}-{line()}"),
         lambda: tagged("phone", f"{area()}.{line().replace('-', '.')}"),
         lambda: tagged("phone", f"+{r.randint(1, 99)} {digits(3)} {digits(7)}"),
-    )
+    )
     other = (
         lambda: digits(r.randint(1, 3)), lambda: str(r.randint(1500, 2099)), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}",
         lambda: f"v{digits(1)}.{digits(2)}", lambda: f"{r.randint(1900, 2099)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{r.randint(1900, 2099)}",
         lambda: f"${digits(2)}.{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}:{digits(2)}",
-        lambda: f"{digits(2)}-{digits(2)}", lambda: f"password={hexes()}", lambda: hexes(), lambda: f'"{hexes()}"', lambda: f"@{word()}",
-        lambda: f"{digits(1)}.", lambda: f"({r.randint(1900, 2099)})", lambda: f"{word()}{digits(2)}", lambda: f"{digits(3)}%", lambda: digits(r.randint(5, 9)),
+        lambda: f"{digits(2)}-{digits(2)}", lambda: hexes(), lambda: f"@{plain()}", lambda: f"{plain()}={plain()}", lambda: f"{plain()}={digits(2)}",
+        lambda: f"{digits(1)}.", lambda: f"({r.randint(1900, 2099)})", lambda: f"{plain()}{digits(2)}", lambda: r.choice("=|:-*#"), lambda: f"{digits(3)}%", lambda: digits(r.randint(5, 9)),
     )
     table = []
     for _ in range(rows):
@@ -118,6 +146,8 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
                     row[-1] = (row[-1][0] + r.choice(".,;"), row[-1][1])
             else:
                 row.append((r.choice(other)(), "O"))
+                if r.random() < 0.3:  # a name that is given a value of no secret kind
+                    row[-1:] = [(plain(), "O"), ("=", "O"), (r.choice((f'"{plain()}"', plain(), digits(3), f'"{plain()}{digits(2)}"')), "O")]
             row += [(word(), "O") for _ in range(r.randint(1, 3))]
         table.append(row)
     return table
@@ -127,17 +157,24 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
 
 
 def shape(word: str) -> str:
-    """Runs of letters as x, of digits as d and their number (20 for more), other
-    characters as they are; at most 24 signs of it."""
-    out = re.sub(r"[^\W\d_]+", "x", word[:200])
-    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", out)[:60]
-
-
-def features(s: str) -> list[str]:
-    """What the field sees of a word's shape."""
-    loose = re.sub(r"d\d+", "d", s)
-    counts = [int(x) for x in re.findall(r"d(\d+)", s)]
-    return [f"s={s}", f"l={loose}", f"n={min(sum(counts), 20)}", f"r={len(counts)}", f"at={'@' in s}", f"mail={bool(re.search('.@.+[.].', s))}", f"x={'x' in s}", f"core={loose.strip(chr(34) + '.,;:!?<>')}"]
+    """What the field sees of a word, as its features joined by tabs: runs of letters as x,
+    runs of digits as d and their number (20 for more), other characters as they are; the
+    same without numbers; how many digits, runs and changes between letters and digits; the
+    length by powers of two; the case; whether all letters are hexadecimal. All of the word
+    counts; with many runs the first two are just ~."""
+    runs = _RUN.findall(word)
+    digits, letters = sum(len(d) for _, d in runs), "".join(x for x, _ in runs)
+    changes = sum(bool(a[0]) != bool(b[0]) for a, b in zip(runs, runs[1:]))
+    if len(runs) > MANY_RUNS or len(word) - digits - len(letters) > MANY_RUNS:
+        exact = loose = core = "~"
+    else:
+        exact = _RUN.sub(lambda m: "x" if m[1] else f"d{min(len(m[2]), 20)}", word)
+        loose = _RUN.sub(lambda m: "x" if m[1] else "d", word)
+        core = loose.strip("\"'.,;:!?<>")
+    case = "" if not letters else "a" if letters.islower() else "A" if letters.isupper() else "Aa" if letters[0].isupper() and letters[1:].islower() else "aA"
+    hexes = bool(digits and letters) and set(letters.lower()) <= set("abcdef")
+    seen = (f"s={exact}", f"l={loose}", f"core={core}", f"n={min(digits, 20)}", f"r={min(len(runs), MANY_RUNS)}", f"ch={min(changes, 8)}", f"len={len(word).bit_length()}", f"case={case}", f"hex={hexes}", f"at={'@' in word}", f"mail={bool(_MAIL.search(word))}", f"x={bool(letters)}", f"is={'=' in word or ':' in word[1:-1]}")
+    return "\t".join(x.replace("\t", " ") for x in seen)
 
 
 class Field:
@@ -146,21 +183,76 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray) -> None:
         self.index, self.weights, self.moves = index, weights, moves
-        self._rows: dict[str, np.ndarray] = {}
-
-    def rows(self, s: str) -> np.ndarray:
-        """(3, labels): what a word of this shape gives as itself, before, after."""
-        if (x := self._rows.get(s)) is None:
-            if len(self._rows) > 100_000:
-                self._rows.clear()
-            ids = [i for f in features(s) if (i := self.index.get(f)) is not None]
-            x = self._rows[s] = self.weights[ids].sum(axis=0) if ids else np.zeros(self.weights.shape[1:])
-        return x
-
-    def scores(self, shapes: Sequence[str]) -> np.ndarray:
+        #: By how much more than O another label must score to be worth its moves, at best.
+        self.slack = np.array([(moves[:, y, None] + moves[y] - moves[:, 0, None] - moves[0]).max() for y in range(1, len(moves))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
+        self.table, self.held = np.zeros((0, *self.weights.shape[1:])), 0
+        self.ids(["x"])
+
+    def ids(self, words: Sequence[str]) -> np.ndarray:
+        """The rows of ``table`` for the words' shapes; row 0 is a plain word's, which is
+        also what stands before and after a text."""
+        fresh = []
+        for w in set(words):
+            if w in self.known:
+                continue
+            s = shape(w)
+            if s not in self.shapes:
+                self.shapes[s] = len(self.shapes)
+                fresh.append(self.weights[[i for f in s.split("\t") if (i := self.index.get(f)) is not None]].sum(axis=0))
+            self.known[w] = self.shapes[s]
+            self.held += len(w)
+        if fresh:
+            self.table = np.concatenate([self.table, fresh])
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def scores(self, words: Sequence[str]) -> np.ndarray:
         """(words, labels) for a sequence whose ends count as words of plain letters."""
-        r = [self.rows(s) for s in ("x", *shapes, "x")]
-        return np.array([r[i][0] + r[i - 1][1] + r[i + 1][2] for i in range(1, len(r) - 1)])
+        return self._scored(np.concatenate([[0], self.ids(words), [0]]), 1, len(words) + 1)
+
+    def _scored(self, ids: np.ndarray, a: int, b: int) -> np.ndarray:
+        return self.table[ids[a:b], 0] + self.table[ids[a - 1 : b - 1], 1] + self.table[ids[a + 1 : b + 1], 2]
+
+    def decode(self, texts: Sequence[Sequence[str]]) -> dict[int, dict[int, str]]:
+        """For each text (its words) with a label other than O: word number -> label, as
+        Viterbi over the whole text finds them. A word that is O on every best path, because
+        no other label scores enough to make up for O whatever its neighbours are, is set
+        first; what lies between such words is decoded, runs of one length together."""
+        if self.held > KEPT_BYTES:
+            self.forget()
+        starts, parts = [], [np.zeros(1, dtype=np.int32)]
+        at = 1
+        for words in texts:
+            starts.append(at)
+            parts += [self.ids(words), parts[0]]
+            at += len(words) + 1
+        ids, ends = np.concatenate(parts), {x - 1 for x in starts} | {at - 1}
+        open_, rows = [np.empty(0, dtype=np.int64)], [np.empty((0, len(LABELS)))]
+        for a in range(1, at - 1, BLOCK):
+            s = self._scored(ids, a, min(a + BLOCK, at - 1))
+            unsure = (s[:, 1:] - s[:, :1] + self.slack >= -1e-9).any(axis=1)
+            unsure[[x - a for x in ends if a <= x < a + len(s)]] = False
+            open_.append(np.flatnonzero(unsure) + a)
+            rows.append(s[unsure])
+        place, s = np.concatenate(open_), np.concatenate(rows)
+        cuts = np.flatnonzero(np.diff(place) > 1) + 1
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for a, b in zip([0, *cuts], [*cuts, len(place)]):
+            by_length[b - a].append(a)
+        out: dict[int, dict[int, str]] = defaultdict(dict)
+        first = np.array(starts)
+        for n, group in by_length.items():
+            if n:
+                ys = viterbi(s[np.array(group)[:, None] + np.arange(n)], self.moves)
+                for i, j in zip(*np.nonzero(ys)):
+                    x = int(place[group[i] + j])
+                    k = int(np.searchsorted(first, x, side="right")) - 1
+                    out[k][x - starts[k]] = LABELS[ys[i, j]]
+        return out
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -186,8 +278,8 @@ def train(rows: int = 1000, seed: int = 11, steps: int = 80, rate: float = 0.3,
     by_length: dict[int, list] = defaultdict(list)
     index: dict[str, int] = {}
     for row in labelled_table(rows, seed):
-        shapes = ["x", *(shape(w) for w, _ in row), "x"]
-        ids = [[index.setdefault(f, len(index)) for f in features(s)] for s in shapes]
+        shapes = [shape(w) for w in ("x", *(w for w, _ in row), "x")]
+        ids = [[index.setdefault(f, len(index)) for f in s.split("\t")] for s in shapes]
         by_length[len(row)].append((ids, [LABELS.index(y) for _, y in row]))
     k = len(LABELS)
     n_features = len(next(iter(by_length.values()))[0][0][0])
@@ -236,51 +328,54 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """The exact check that a tagged span must pass: a card's number of digits and Luhn
-    sum, an address's parts, a phone number's digits, a mail address's parts."""
-    digits = re.sub("[^0-9]", "", text[:100])
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    if kind == "phone":
-        return 9 <= len(digits) <= 15
+    """The exact check that a tagged span must pass, over all of it: a card's number of
+    digits and Luhn sum, an address's parts, a phone number's digits, a mail address's
+    parts, a secret's 8 letters and digits or more."""
     if kind == "ip":
-        return any(k == "ip" for k, _, _ in base_spans(text[:100]))
-    return bool(re.search(r"[^@]@[^@]+\.[^@]", text[:300]))
+        return any(k == "ip" for k, _, _ in base_spans(text))
+    if kind == "email":
+        return bool(_MAIL.search(text))
+    if kind == "secret":
+        return sum(map(str.isalnum, text)) >= 8
+    digits = re.sub("[^0-9]", "", text)
+    return 9 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
 
 
 def field_spans(texts: Sequence[str], field: Field) -> list[list[tuple[str, int, int]]]:
-    """Spans of each text that the field finds. A word without digit or @ is O from the
-    start, which cuts a text into short runs of other words; a run also ends at a line
-    feed. Runs of one length are decoded together. Punctuation at a span's ends is left
-    out."""
-    runs: dict[int, list] = defaultdict(list)
-    for k, text in enumerate(texts):
-        if not _SIGN.search(text):
-            continue
-        run: list[tuple[int, int, str]] = []
-        for m in _WORD.finditer(text):
-            if run and (not _SIGN.search(m[0]) or "\n" in text[run[-1][1] : m.start()]):
-                runs[len(run)].append((k, run))
-                run = []
-            if _SIGN.search(m[0]):
-                run.append((*m.span(), shape(m[0])))
-        if run:
-            runs[len(run)].append((k, run))
+    """Spans of each text that the field finds. Punctuation at a span's ends is left out,
+    and of a secret the name that it is given to."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for group in runs.values():
-        scores = np.stack([field.scores([s for _, _, s in run]) for _, run in group])
-        for (k, run), ys in zip(group, viterbi(scores, field.moves), strict=True):
-            for i, y in enumerate(ys):
-                name = LABELS[y]
-                if name[0] == "B" or name[0] == "I" and (i == 0 or LABELS[ys[i - 1]][1:] != name[1:]):
-                    j = i
-                    while j + 1 < len(ys) and LABELS[ys[j + 1]] == "I" + name[1:]:
-                        j += 1
-                    whole = texts[k][run[i][0] : run[j][1]]
-                    start = run[i][0] + len(whole) - len(whole.lstrip("\"'<[{,;:."))
-                    end = run[j][1] - len(whole) + len(whole.rstrip("\"'>]},;:.!?"))
-                    if start < end and plausible(name[2:], texts[k][start:end]):
-                        out[k].append((name[2:], start, end))
+    for k, tags in field.decode([_WORD.findall(t) for t in texts]).items():
+        text, spans = texts[k], [m.span() for m in _WORD.finditer(texts[k])]
+        for i in sorted(tags):
+            kind = tags[i][2:]
+            if tags[i][0] == "I" and tags.get(i - 1, "O")[2:] == kind:
+                continue
+            j = i
+            while tags.get(j + 1) == "I-" + kind:
+                j += 1
+            start, end = spans[i][0], spans[j][1]
+            if kind == "secret" and (m := _GIVEN.match(text, start, end)):
+                start = m.end()
+            whole = text[start:end]
+            start += len(whole) - len(whole.lstrip("\"'<[{,;:.#$%&*|!"))
+            end -= len(whole) - len(whole.rstrip("\"'>]},;:.#$%&*|!?"))
+            if start < end and plausible(kind, text[start:end]):
+                out[k].append((kind, start, end))
+    return out
+
+
+def added_spans(base: Sequence[tuple[str, int, int]], more: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of the field's spans those that overlap none of the base, or else only such of their
+    own kind, all of which they contain and exceed."""
+    taken = sorted((a, b, k) for k, a, b in base)
+    starts, reach = [a for a, _, _ in taken], np.maximum.accumulate([b for _, b, _ in taken] or [0])
+    out = []
+    for kind, a, b in more:
+        i, j = int(np.searchsorted(reach, a, side="right")), bisect_left(starts, b)
+        over = [x for x in taken[i:j] if x[1] > a]
+        if all(k == kind and a <= c and d <= b and (c, d) != (a, b) for c, d, k in over):
+            out.append((kind, a, b))
     return out
 
 
@@ -290,33 +385,35 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _tag(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, most=1 << 19):
         texts = [x or "" for x in batch.column("text").to_pylist()]
-        rows: dict[str, list] = {k: [] for k in ("base", "spans", *(f"n_{k}" for k in KINDS))}
+        rows: dict[str, list] = {k: [] for k in ("base", "spans", *(f"n_{k}" for k in BASE_KINDS), "n_secret", "n_spans")}
         for text, more in zip(texts, field_spans(texts, field), strict=True):
             base = base_spans(text)
-            taken = sorted((a, b) for _, a, b in base)
-            added = [x for x in more if all(x[2] <= a or b <= x[1] for a, b in taken)]
+            every = base + added_spans(base, more)
             rows["base"].append(joined(base))
-            rows["spans"].append(joined(base + added))
-            for k in KINDS:
+            rows["spans"].append(joined(every))
+            for k in BASE_KINDS:
                 rows[f"n_{k}"].append(sum(x[0] == k for x in base))
+            rows["n_secret"].append(sum(x[0] == "secret" for x in every))
+            rows["n_spans"].append(len(every))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.string() if k in ("base", "spans") else pa.int64()) for k, v in rows.items())], names=["doc_id", *rows])
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base, spans (both "kind:start:end" joined by commas), n_email, n_ip,
-    n_card, n_phone (of the base), one row per row of ``docs``.
+    n_card, n_phone (of the base), n_secret and n_spans (of all), one row per row of
+    ``docs``.
 
-    The field's spans are added where they overlap no span of the patterns. A null text
-    counts as empty; it and any text without digits and @ has no spans. doc_id may be
-    null or repeat; other columns are ignored.
+    The field's spans are added where they overlap no span of the patterns, or contain
+    such of their own kind and more. A null text counts as empty and has no spans. doc_id
+    may be null or repeat; other columns are ignored; no rows in, no rows out.
     """
     ship(docs.sparkSession)
     field = field or train()
-    field._rows.clear()
-    schema = "doc_id long, base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _tag(b, field), schema)
+    field.forget()
+    schema = "doc_id long, base string, spans string, " + ", ".join(f"n_{k} long" for k in (*BASE_KINDS, "secret", "spans"))
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _tag(b, field), schema), "personal-data")
 
 
 def digest(base: str) -> str:

@@ -67,7 +67,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = personal_data(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_spans")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rated: DataFrame | None = None) -> DataFrame:

@@ -242,7 +242,7 @@ def test_field_on_held_out_rows():
     field = pd_.train()
     found = wanted = right = 0
     for row in pd_.labelled_table(500, seed=77):
-        scores = field.scores([pd_.shape(w) for w, _ in row])[None]
+        scores = field.scores([w for w, _ in row])[None]
         tags = [pd_.LABELS[y] for y in pd_.viterbi(scores, field.moves)[0]]
         found += sum(x != "O" for x in tags)
         wanted += sum(y != "O" for _, y in row)
@@ -262,6 +262,47 @@ def test_viterbi_is_exact():
         assert tuple(y) == max(itertools.product(range(4), repeat=5), key=value)
 
 
+def test_decoding_agrees_with_viterbi_over_whole_texts():
+    """Runs that are decoded alone give the labels of the whole text's best path."""
+    field, r = pd_.train(), random.Random(6)
+    texts = [text(k, r.randint(0, 40)).split() for k in range(40)]
+    for row in pd_.labelled_table(120, seed=5):
+        texts[r.randrange(40)] += [w for w, _ in row]
+    texts += [[], ["1"] * 40, ["4041894974608795"] * 30, ["+1", "(414)", "555-3519"] * 9, ["x=" + "ab1" * 500], ["token", "=", '"' + "a1" * 20 + '"']]
+    got = field.decode(texts)
+    n = 0
+    for k, words in enumerate(texts):
+        plain = [] if not words else [pd_.LABELS[y] for y in pd_.viterbi(field.scores(words)[None], field.moves)[0]]
+        assert [got.get(k, {}).get(i, "O") for i in range(len(words))] == plain
+        n += sum(y != "O" for y in plain)
+    assert n > 150
+
+
+def test_added_spans_on_the_test_tables(spark):
+    """Secrets that the tables plant (a name, =, a quoted value) are found; other added
+    spans are few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    given = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    wanted = {(d, *m.span(1)) for d, t in texts.items() for m in given.finditer(t)}
+    rows = pd_.personal_data(docs).collect()
+    spans = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in rows for x in r["spans"].split(",") if x.startswith("secret:")}
+    assert len(wanted) > 5 and len(wanted & spans) >= 0.9 * len(wanted) and len(spans - wanted) <= 0.1 * len(wanted) + 1
+    more = sum(r["n_spans"] - r["n_secret"] - sum(r[f"n_{k}"] for k in pd_.BASE_KINDS) for r in rows)
+    assert 0 <= more <= 0.1 * sum(r[f"n_{k}"] for r in rows for k in pd_.BASE_KINDS)
+    for r in rows:  # the whole span passes the exact check
+        for x in filter(None, r["spans"].split(",")):
+            kind, a, b = x.split(":")
+            assert pd_.plausible(kind, texts[r["doc_id"]][int(a) : int(b)])
+
+
+def test_spans_that_exceed_the_base():
+    base = [("email", 5, 10), ("ip", 20, 30)]
+    more = [("email", 3, 10), ("email", 5, 10), ("phone", 8, 12), ("ip", 18, 31), ("card", 10, 20), ("ip", 3, 31), ("secret", 30, 40)]
+    assert pd_.added_spans(base, more) == [("email", 3, 10), ("ip", 18, 31), ("card", 10, 20), ("secret", 30, 40)]
+    assert pd_.added_spans([], more[:1]) == more[:1] and pd_.added_spans(base, []) == []
+
+
 def test_personal_data_edges(spark, edges, nothing):
     rows = pd_.personal_data(edges).collect()
     assert len(rows) == edges.count()
