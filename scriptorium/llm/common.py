@@ -98,18 +98,28 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
                 yield batch.slice(a, b - a)
 
 
+def as_files(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` as rows of files: as they are read if they are, written first otherwise
+    (just ``columns``, if given)."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs
+    return written(docs.select(*columns) if columns else docs, "rows")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Rows of files with _file and _at, the place of the row there: the same whenever they
+    are evaluated, and different for any two rows."""
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+
+
 def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row: a number for each row that no other has, the same whenever it
-    is evaluated, from the row's file and its place there. Anything but files as they
-    are read is written first."""
-    spark = docs.sparkSession
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = written(docs, "numbered")
-    file = F.col("_metadata.file_path").alias("_file")
-    paths = sorted(r["_file"] for r in docs.select(file).distinct().collect())
-    files = F.broadcast(spark.createDataFrame(pa.table({"_no": pa.array(range(len(paths)), pa.int64()), "_file": pa.array(paths, pa.string())})))
-    rows = docs.select("*", file, F.col("_metadata.row_index").alias("_row")).join(files, "_file")
-    return rows.select(*docs.columns, (F.shiftleft("_no", 40) + F.col("_row")).alias("_row"))
+    """``docs`` with _row: a number for each row that no other has, from its place in its
+    file. Anything but files as they are read is written first."""
+    docs = as_files(docs)
+    rows = located(docs)
+    paths = sorted(r["_file"] for r in rows.select("_file").distinct().collect())
+    files = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"_no": pa.array(range(len(paths)), pa.int64()), "_file": pa.array(paths, pa.string())})))
+    return rows.join(files, "_file").select(*docs.columns, (F.shiftleft("_no", 40) + F.col("_at")).alias("_row"))
 
 
 def filled(text: Column | str) -> Column:

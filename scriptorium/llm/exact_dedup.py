@@ -2,19 +2,19 @@
 
 A stream of fingerprints updates keyed state that lives on disk (RocksDB) and
 never expires. For each digest the state retains the digest, the identifier of
-the document to keep, and where its content lies. Every hit is then checked on
-its full bytes.
+the document to keep, and where its content lies (a file and the row there). Every hit
+is then checked on its full bytes, which are fetched from there.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, scratch_path, sized_join, squeezed, written
+from .common import as_files, filled, located, scratch_path, sized_join, squeezed, written
 
 #: State on disk; no space taken in advance for each store, and what a batch changed
 #: rather than whole files goes to the checkpoint.
@@ -25,25 +25,26 @@ STATE_CONF = {
 }
 
 
-def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, code points, digest of the text without white space, content locator
-    (file and row key) and the columns of ``carry``, one row per document. Row keys hash the row's number and a mark
-    of this call, so that rows of later calls on the same log never share them."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, code points, digest of the text without white space, content locator (file
+    and the row's place there) and row_key, one row per row of ``docs``, which are files'.
+    Row keys hash the locator and a mark of this call, so that a file which is given again
+    later has rows of its own."""
     text, call = filled("text"), uuid.uuid4().hex
-    return docs.select(
-        F.col("doc_id"),
+    return located(docs).select(
+        F.col("doc_id").cast("long"),
         F.length(text).cast("long").alias("n_points"),
         F.sha2(squeezed(text), 256).alias("text_sha256"),
-        F.input_file_name().alias("file"),
-        F.xxhash64(F.lit(call), F.monotonically_increasing_id()).alias("row_key"),
-        *carry,
+        F.col("_file").alias("file"),
+        F.col("_at").alias("at"),
+        F.xxhash64(F.lit(call), "_file", "_at").alias("row_key"),
     )
 
 
 def _best() -> F.Column:
     """Ordered so that the greatest has most code points, then the smallest doc_id
     (null last), then the smallest row key."""
-    return F.struct("n_points", F.bitwise_not("doc_id").alias("doc"), F.bitwise_not("row_key").alias("row"), "file")
+    return F.struct("n_points", F.bitwise_not("doc_id").alias("doc"), F.bitwise_not("row_key").alias("row"), "file", "at")
 
 
 def update_state(spark: SparkSession, log: str, state: str, bytes_per_batch: int = 64 << 30) -> None:
@@ -73,28 +74,37 @@ def update_state(spark: SparkSession, log: str, state: str, bytes_per_batch: int
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """text_sha256, keep_id, keep_row, keep_file, group_size: the state as a table."""
+    """text_sha256, keep_id, keep_row, keep_file, keep_at, group_size: the state as a table."""
     return spark.read.format("statestore").load(state).select(
         F.col("key.text_sha256"),
         F.bitwise_not("value.max.doc").alias("keep_id"),
         F.bitwise_not("value.max.row").alias("keep_row"),
         F.col("value.max.file").alias("keep_file"),
+        F.col("value.max.at").alias("keep_at"),
         F.col("value.count").alias("group_size"),
     )
 
 
-def _collided(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Digests of hits whose full bytes differ. All bytes of a digest are equal just
-    when the least equals the greatest; both are combined before the shuffle."""
-    rows = docs.select(squeezed(filled("text")).alias("bytes"))
-    rows = rows.select(F.sha2("bytes", 256).alias("text_sha256"), "bytes")
-    rows = sized_join(rows, hits.select("text_sha256"), ["text_sha256"], "left_semi", 100)
-    return rows.groupBy("text_sha256").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a <> b").select("text_sha256")
+def _contents(rows: DataFrame) -> DataFrame:
+    """``rows`` (with file and at) and bytes: the text without white space that lies there."""
+    spark = rows.sparkSession
+    files = [unquote(r["file"]) for r in rows.select("file").distinct().collect()]
+    if not files:
+        return rows.withColumn("bytes", F.lit(""))
+    texts = located(spark.read.schema("text string").parquet(*files)).select(squeezed(filled("text")).alias("bytes"), F.col("_file").alias("file"), F.col("_at").alias("at"))
+    return sized_join(texts, rows, ["file", "at"], "inner", 250)
 
 
-def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def _collided(hits: DataFrame) -> DataFrame:
+    """Digests of which the bytes differ. hits: text_sha256, file, at. All bytes of a digest
+    are equal just when the least equals the greatest; both are combined before the
+    shuffle."""
+    return _contents(hits).groupBy("text_sha256").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a <> b").select("text_sha256")
+
+
+def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = None, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept,
-    text_sha256.
+    text_sha256, and the locator (file, at).
 
     Texts are equal when identical without white space; of equal texts the one with
     most code points stays, then the smallest doc_id. A null text counts as empty,
@@ -102,46 +112,47 @@ def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = Non
     that repeat a document are copies of it: one of them stays. Other columns are
     ignored, whatever their names. No rows in, no rows out.
 
-    ``log`` and ``state`` name folders to go on with; by default both are new ones
-    in the shared folder. Rows of earlier calls come out again with those of this one.
-    Bytes are compared among ``docs``; against texts of earlier calls digests decide.
-    Columns of ``carry`` come out again with their row's decision; all calls on a log name
-    the same.
+    ``docs`` that are not read from files as they are get written first, so that each row
+    has a locator. ``log`` and ``state`` name folders to go on with; by default both are
+    new ones in the shared folder. Rows of earlier calls come out again with those of this
+    one, and their files must still be there: the bytes of each document of this call that
+    hits a digest are compared with those of the digest's other documents of this call and
+    of the one that stays, wherever it lies.
     """
     spark = docs.sparkSession
     log, state = log or scratch_path(spark, "fingerprints"), state or scratch_path(spark, "dedup-state")
-    fingerprints(docs.select("doc_id", "text", *carry), carry).write.mode("append").parquet(log)
-    update_state(spark, log, state)
-    rows = spark.read.parquet(log).select("doc_id", "text_sha256", "row_key", *carry)
-    hits = written(read_state(spark, state).filter("group_size > 1").drop("keep_file"), "dedup-hits")
-    decided = sized_join(rows, hits, ["text_sha256"], "left", 140)
+    own = written(fingerprints(as_files(docs, "doc_id", "text")), "fingerprints-new")
+    own.write.mode("append").parquet(log)
+    update_state(spark, log, state, bytes_per_batch)
+    rows = spark.read.schema(own.schema).parquet(log)
+    hits = written(read_state(spark, state).filter("group_size > 1"), "dedup-hits")
+    decided = sized_join(rows.drop("n_points"), hits.drop("keep_file", "keep_at"), ["text_sha256"], "left", 140)
     one = F.col("group_size").isNull()
     decided = decided.select(
         "doc_id",
         F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (one | (F.col("row_key") == F.col("keep_row"))).alias("kept"),
-        "text_sha256",
-        *carry,
-    )
-    collided = written(_collided(docs, hits), "dedup-collided")
+        "text_sha256", "file", "at",
+    )
+    mine = sized_join(own.select("text_sha256", "file", "at"), hits.select("text_sha256", "keep_file", "keep_at"), ["text_sha256"], "inner", 250)
+    mine = written(mine, "dedup-own-hits")
+    held = mine.select("text_sha256", "file", "at").unionByName(mine.select("text_sha256", F.col("keep_file").alias("file"), F.col("keep_at").alias("at")).distinct()).distinct()
+    collided = written(_collided(written(held, "dedup-held")), "dedup-collided")
     if collided.isEmpty():
         return decided
-    return decided.join(collided, "text_sha256", "left_anti").unionByName(_by_bytes(docs, collided, carry))
+    return decided.join(collided, "text_sha256", "left_anti").unionByName(_by_bytes(rows.join(collided, "text_sha256", "left_semi")))
 
 
-def _by_bytes(docs: DataFrame, collided: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """The same decisions with the bytes themselves as key, for digests that two
-    different texts share."""
-    rows = docs.select("doc_id", F.length(filled("text")).cast("long").alias("n_points"), squeezed(filled("text")).alias("bytes"), F.lit("").alias("file"), *carry)
-    rows = rows.withColumn("text_sha256", F.sha2("bytes", 256)).join(collided, "text_sha256", "left_semi")
-    rows = written(rows.withColumn("row_key", F.monotonically_increasing_id()), "dedup-bytes")
+def _by_bytes(rows: DataFrame) -> DataFrame:
+    """The same decisions with the bytes themselves as key, for fingerprints whose digest
+    two different texts share."""
+    rows = written(_contents(written(rows, "dedup-unclear")), "dedup-bytes")
     best = rows.groupBy("bytes").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(best, "bytes").select(
         "doc_id",
         F.bitwise_not("best.doc").alias("keep_id"),
         "group_size",
         (F.col("row_key") == F.bitwise_not("best.row")).alias("kept"),
-        "text_sha256",
-        *carry,
-    )
+        "text_sha256", "file", "at",
+    )

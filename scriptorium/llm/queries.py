@@ -24,7 +24,7 @@ TOXIC_AT = 0.3
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("file", "at")
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

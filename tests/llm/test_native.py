@@ -10,7 +10,7 @@ from scriptorium.llm import line_chunks as lc
 from scriptorium.llm import line_frequency as lf
 from scriptorium.llm import line_runs as lr
 from scriptorium.llm import mixing as mx
-from scriptorium.llm.common import sized_join
+from scriptorium.llm.common import sized_join, written
 
 from .conftest import SCHEMA, edge_rows, text
 
@@ -43,6 +43,7 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     log, state = f"file://{tmp_path}/log", f"file://{tmp_path}/state"
     one = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     two = spark.createDataFrame([(3, "a  b"), (4, "d")], "doc_id long, text string")
+    one, two = (written(x, "test-docs") for x in (one, two))
     ed.fingerprints(one).write.mode("append").parquet(log)
     ed.update_state(spark, log, state)
     assert ed.read_state(spark, state).filter("group_size > 1").count() == 0
@@ -63,13 +64,32 @@ def test_exact_dedup_of_later_rows(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got if r["kept"]) == [1, 7]
 
 
-def test_exact_dedup_checks_bytes(spark):
-    """With a digest that two texts share, decisions are made on the bytes."""
+def test_exact_dedup_over_several_batches(spark, tmp_path):
+    """A batch for each file of the log gives what one batch gives."""
+    import os
+
+    df = spark.createDataFrame([(k, f"text {k % 37}" + " " * (k % 3)) for k in range(400)], "doc_id long, text string").repartition(6)
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    got = ed.exact_dedup(df, f"file://{tmp_path}/log", f"file://{tmp_path}/state", bytes_per_batch=1).select(columns).collect()
+    assert len(os.listdir(tmp_path / "state" / "commits")) > 3
+    assert Counter(got) == Counter(ed.exact_dedup(df).select(columns).collect())
+
+
+def test_exact_dedup_checks_bytes(spark, monkeypatch, tmp_path):
+    """With a digest that two texts share, decisions are made on the bytes, which are
+    fetched by the locator, those of earlier calls too."""
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a ")], "doc_id long, text string")
-    every = rows.select(F.sha2(F.translate("text", " ", ""), 256).alias("text_sha256")).distinct()
-    assert ed._collided(rows, every).count() == 0
-    by_bytes = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in ed._by_bytes(rows, every).collect()}
-    assert by_bytes == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
+    short = lambda text, _: F.when(text.isNotNull(), "same")
+    want = {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
+    plain = ed.exact_dedup(rows)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in plain.collect()} == want
+    monkeypatch.setattr(ed.F, "sha2", short)
+    once = ed.exact_dedup(rows)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in once.collect()} == want
+    log, state = f"file://{tmp_path}/log", f"file://{tmp_path}/state"
+    ed.exact_dedup(rows.filter("doc_id = 1"), log, state)
+    later = ed.exact_dedup(rows.filter("doc_id > 1"), log, state)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in later.collect()} == want
 
 
 # line frequency
