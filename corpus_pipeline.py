@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import numbered_rows, sized_join, table, written
+from scriptorium.llm.common import as_files, located, numbered_rows, sized_join, table, written
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import jaccard_classes
 from scriptorium.llm.mixing import mixed
@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts are equal but for white space one stays."""
-    rows = numbered_rows(docs)
-    return _without(rows, exact_dedup(rows, carry=["_row"]).filter(~F.col("kept")), "dropped-copies")
+    docs = as_files(docs)
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("at").alias("_at"))
+    return sized_join(located(docs), written(dropped, "dropped-copies"), ["_file", "_at"], "left_anti", 200).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by their source's rate."""
+    """Documents are repeated or left out by their source's rate; null texts have no words,
+    a null source is one of its own, rows without a doc_id draw by their text."""
     return mixed(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; a null text is its end id alone."""
     return pack(docs)
 
 
@@ -67,6 +69,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents, each stage's rows written before the next. An
+    empty table gives no rows; columns of any other name go with their rows up to packing."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
