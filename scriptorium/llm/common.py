@@ -64,16 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and a lost
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder (or added to the one at ``path``): lineage ends there, and a lost
     executor costs no recomputation of what stands before it. Python workers that take
     part are sent small batches."""
     spark = df.sparkSession
-    path, key = scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, key = path or scratch_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
     try:
-        df.write.parquet(path)
+        df.write.mode("append").parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

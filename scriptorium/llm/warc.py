@@ -2,7 +2,9 @@
 
 Each archive starts with a skippable frame that holds a dictionary trained on the
 archive's own records; each record follows as a frame of its own, so that records can
-be read alone. Archives are written under the shared folder and renamed when whole.
+be read alone. Archives are written under names that no other attempt has and renamed
+when whole. The manifest in their folder, a table that Spark commits, lists those of the
+tasks that counted; readers go by it, so what a repeated or lost task left is not read.
 """
 
 from __future__ import annotations
@@ -98,20 +100,15 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _put(folder: str, name: str, content: bytes) -> str:
-    """Write under another name and rename, so that a task that runs twice, or dies, never
-    leaves half a file under the final name."""
+    """Write under another name and rename, so that a task that dies never leaves half a
+    file under the final name."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
+    with store.open_output_stream(f"{path}/.{name}", compression=None) as f:
         f.write(content)
-    try:
-        store.move(part, f"{path}/{name}")
-    except OSError:
-        store.delete_file(f"{path}/{name}")
-        store.move(part, f"{path}/{name}")
+    store.move(f"{path}/.{name}", f"{path}/{name}")
     return f"{folder}/{name}"
 
 
@@ -120,7 +117,7 @@ def _write_partition(batches: Iterator[pa.RecordBatch], folder: str, archive_byt
 
     def close() -> pa.RecordBatch:
         content = format_archive(records)
-        path = _put(folder, f"part-{part:06d}-{number:04d}.warc.zst", content)
+        path = _put(folder, f"part-{part:06d}-{number:04d}-{uuid.uuid4().hex}.warc.zst", content)
         return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([len(content)], pa.int64())})
 
     for batch in batches:
@@ -147,7 +144,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
     """Write ``pages`` (page_id, url, html) as archives; the folder, and a row for each
-    archive with its path, records and bytes.
+    archive with its path, records and bytes, which is the folder's manifest (for a folder
+    that is given, with what it lists already).
 
     A null html is an empty payload; a null url leaves the target header out; a null
     page_id its header, and never takes the response's part from a page with an id. Rows
@@ -158,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     folder = folder or scratch_path(pages.sparkSession, "warc")
     rows = with_revisits(pages.select("page_id", "url", "html"))
     made = rows.mapInArrow(lambda b: _write_partition(b, folder, archive_bytes), "path string, records long, bytes long")
-    return folder, written(made, "warc-manifest")
+    return folder, written(made, "warc-manifest", f"{folder}/_manifest")
 
 
 def _read_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +189,12 @@ def _batch(rows: dict[str, list]) -> pa.RecordBatch:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, record_type, payload (null for revisits), payload_bytes,
-    payload_digest, refers_to of each record of the archives in ``folder``; payloads are
-    checked against their digests."""
+    payload_digest, refers_to of each record of the archives in the manifest of ``folder``;
+    payloads are checked against their digests."""
     ship(spark)
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    name = F.substring_index("path", "/", -1).alias("name")
+    listed = spark.read.schema("path string").parquet(f"{folder}/_manifest").select(name)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(name, "content")
+    files = sized_join(files, listed, ["name"], "left_semi", 100).select("content")
     return files.mapInArrow(_read_partition, schema)

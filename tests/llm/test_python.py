@@ -72,6 +72,15 @@ def test_packing_wastes_little_and_merges_leftovers(spark, tokenizer):
     check_pieces(pk.pack(spark.createDataFrame(with_specials, "doc_id long, text string")).collect(), with_specials, tokenizer)
 
 
+def test_both_encoders_agree(spark, tokenizer):
+    """The faster encoder gives the tokenizer's ids for texts in Latin script."""
+    encode, r = pk.encoder(pk.default_vocabulary()), random.Random(8)
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["".join(chr(r.choice((r.randint(1, 0x24F), r.randint(9, 126), 32, 10))) for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    for t in texts:
+        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_open_windows_are_bounded():
     r, w, fill = random.Random(1), pk.OpenWindows(100, 4), Counter()
     for _ in range(5000):
@@ -97,9 +106,21 @@ def test_archives(spark, tmp_path):
         assert (by[k, "revisit"]["refers_to"], by[k, "revisit"]["payload_bytes"], by[k, "revisit"]["payload"]) == (3, len(body), None)
     assert {r["record_type"] for r in got if r["page_id"] in (1, 2, 7, 8, 10, 11)} == {"response"}
     assert by[5, "revisit"]["url"] in ("http://a%20b/%0A", "again") and bytes(by[10, "response"]["payload"]).decode() == rows[8][2]
+    # What another attempt of a task left behind is not in the manifest and not read.
+    import glob
+    import shutil
+
+    left = sorted(glob.glob(f"{tmp_path}/w/*.warc.zst"))
+    shutil.copy(left[0], left[0].replace(".warc.zst", "0.warc.zst"))
+    assert warc.read_archives(spark, folder).count() == len(rows)
+    # A second run into the same folder adds to it.
+    more = spark.createDataFrame([(99, "u", "z" * 300, "clash")], pages.schema)
+    warc.write_archives(more, folder)
+    assert warc.read_archives(spark, folder).count() == len(rows) + 1
+    assert not glob.glob(f"{tmp_path}/w/.part*.zst")
     empty = pages.limit(0)
     folder, manifest = warc.write_archives(empty, f"file://{tmp_path}/none")
-    assert manifest.count() == 0
+    assert manifest.count() == 0 == warc.read_archives(spark, folder).count()
 
 
 def test_archive_layout():
@@ -344,14 +365,61 @@ def test_chain_on_held_out_documents(spark):
         assert hits > 0.97 * sum(r[2 + k] is not None for r in fresh)
 
 
-def test_later_models_see_out_of_fold_probabilities():
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 2, (400, 5)).astype(float)
-    y1 = (x[:, 0] > 0).astype(float)
-    y2 = ((x[:, 0] + x[:, 1]) == 2).astype(float)
-    chain = tx.fit_chain(x, np.stack([y1, y2], 1), np.arange(400) % 4, ("a", "b"), [b"w"] * 5)
-    p = chain.probabilities(x)
-    assert (((p > 0.5) == np.stack([y1, y2], 1)).mean(axis=0) > 0.98).all()
+def plain_logistic(x, y):
+    """The same penalised likelihood by many small steps along its gradient."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    held = np.append(np.full(x.shape[1] - 1, 0.5), 1e-6)
+    w = np.zeros(x.shape[1])
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + 0.5)
+    v, t = w.copy(), 1.0
+    for _ in range(60000):
+        g = x.T @ (1 / (1 + np.exp(-(x @ v))) - y) + held * v
+        new, s = v - step * g, (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, w, t = new + (t - 1) / s * (new - w), new, s
+        if np.abs(g).max() < 1e-9:
+            break
+    return w
+
+
+def test_chain_against_brute_force():
+    """Each later model is fitted on what models of the other folds say of a document. The
+    words mark single documents, so models that had seen it would say something else."""
+    rng = np.random.default_rng(3)
+    n = 120
+    x = np.hstack([rng.integers(0, 2, (n, 4)), np.eye(n)[:, ::2]]).astype(float)
+    y1 = (rng.random(n) < 0.3 + 0.4 * x[:, 0]).astype(float)
+    y2 = np.where(rng.random(n) < 0.15, 1 - y1, y1)
+    folds, known = np.arange(n) % 4, np.arange(n) % 11 != 0
+    labels = np.stack([y1, np.where(known, y2, np.nan)], 1)
+    chain = tx.fit_chain(x, labels, folds, ("a", "b"), [b"w"] * x.shape[1])
+    out, inside = np.zeros(n), None
+    for f in range(4):
+        w = plain_logistic(x[folds != f], y1[folds != f])
+        out[folds == f] = 1 / (1 + np.exp(-(x[folds == f] @ w[:-1] + w[-1])))
+    w1 = plain_logistic(x, y1)
+    inside = 1 / (1 + np.exp(-(x @ w1[:-1] + w1[-1])))
+    second = lambda p: plain_logistic(np.hstack([x, np.log(p / (1 - p))[:, None]])[known], y2[known])
+    right, wrong = second(out), second(inside)
+    assert np.abs(chain.weights[0] - w1).max() < 1e-4 and np.abs(chain.weights[1] - right).max() < 1e-3
+    assert np.abs(right - wrong).max() > 0.1  # in-fold probabilities would fail this test
+    p1 = 1 / (1 + np.exp(-(x @ w1[:-1] + w1[-1])))
+    z = np.hstack([x, np.log(p1 / (1 - p1))[:, None], np.ones((n, 1))]) @ right
+    assert np.abs(chain.probabilities(x) - np.stack([p1, 1 / (1 + np.exp(-z))], 1)).max() < 1e-3
+
+
+def test_scores_against_brute_force(spark):
+    """score over a table, with empty and null texts, against the chain applied by hand."""
+    words = ("alpha", "beta", "gamma^", "delta")
+    chain = tx.Chain(("a", "b"), tuple(w.encode() for w in words), [np.array([1.0, -2.0, 0.5, 0.0, -0.3]), np.array([0.2, 0.1, -1.0, 2.0, 0.7, 0.4])])
+    texts = [None, "", "Alpha beta", "alpha, ALPHA gammaray", "delta " * 5000 + "beta", "éclair alphabet"]
+    held = [set(), set(), {"alpha", "beta"}, {"alpha", "gamma^"}, {"delta", "beta"}, set()]
+    got = {r["doc_id"]: (r["p_a"], r["p_b"]) for r in tx.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for k, h in enumerate(held):
+        x = [float(w in h) for w in words]
+        za = sum(a * b for a, b in zip(x, (1.0, -2.0, 0.5, 0.0))) - 0.3
+        pa_ = 1 / (1 + np.exp(-za))
+        zb = sum(a * b for a, b in zip(x, (0.2, 0.1, -1.0, 2.0))) + 0.7 * za + 0.4
+        assert np.allclose(got[k], (pa_, 1 / (1 + np.exp(-zb))))
 
 
 def test_toxicity_edges(spark, edges, nothing):
