@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..profile import Profile
-from ..sources.stage import once
+from ..sources.stage import kept, once, ship, waits
 
 #: (prompt, schema) -> JSON text. Raises RetryLater when asked to come back.
 Client = Callable[[str, dict], str]
@@ -40,14 +40,17 @@ def prompt(text: F.Column, profile: Profile) -> F.Column:
 def ask(client: Client, text: str, schema: dict, attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> dict[str, str]:
     """Retried after 1, 2, 4 and 8 seconds while the service is busy; the answer must
     have exactly the schema's keys, all strings."""
-    for k in range(attempts):
+    busy: RetryLater | None = None
+    for seconds in waits(attempts):
+        if seconds:
+            pause(seconds)
         try:
             answer = json.loads(client(text, schema))
             break
-        except RetryLater:
-            if k + 1 == attempts:
-                raise
-            pause(2**k)
+        except RetryLater as e:
+            busy = e
+    else:
+        raise busy or RetryLater
     if answer.keys() != schema["properties"].keys() or not all(isinstance(v, str) for v in answer.values()):
         raise ValueError("the answer does not follow the schema")
     return answer
@@ -80,8 +83,9 @@ def model_fields(text: DataFrame, profile: Profile, client: Client, cache_path:
                     error = str(e)
                 yield pd.DataFrame({"key": [key], "answer": [answer], "error": [error]})
 
+    ship(spark)
     got = wanted.mapInPandas(run, "key string, answer string, error string")
-    got = once(got, cache_path) if cache_path else got.persist()
+    got = once(got, cache_path) if cache_path else kept(got, "model-answers")
     if cache_path:
         got.filter("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(cache_path)
         answers = spark.read.parquet(cache_path)

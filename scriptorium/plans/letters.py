@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import fields, match, model_fields, pages, tables
 from ..profile import HEBREW, Profile
-from .report import report_rows
+from ..sources import fetch, pdf
+from ..sources.stage import kept
+from .report import letterhead_rows, outbox, render_html, report_rows
 
 
 @dataclass
 class Batch:
-    """What a run gives; lazy but for what its stages persist."""
+    """What a run gives; lazy but for what is written once because several parts read it."""
 
     matched: DataFrame
     lines: DataFrame
@@ -46,7 +48,8 @@ def run_letters(page_text: DataFrame, cells: DataFrame, master: DataFrame, profi
         raise ValueError(f"unknown method {method!r}")
     marked = pages.header_pages(page_text, profile).select("doc_id", "page_no")
     lines, errors = tables.budget_lines(cells.join(marked, ["doc_id", "page_no"], "left_semi").select("doc_id", "table_no", "row_no", "col_no", "text"), profile)
-    matched = match.tracked_codes(lines, master)
+    lines = kept(lines, "letter-lines")
+    matched = kept(match.tracked_codes(lines, master), "letters-matched")
     text = pages.document_text(page_text.join(matched.select("doc_id"), "doc_id", "left_semi"))
     failed = []
     if method == "parse":
@@ -56,9 +59,25 @@ def run_letters(page_text: DataFrame, cells: DataFrame, master: DataFrame, profi
         found, failed = fields.with_links(found, text, profile), [more]
     own = lambda df: df.join(matched.select("doc_id"), "doc_id", "left_semi")
     history = tables.history_cells(own(history_tables(page_text, cells, profile)))
-    return Batch(matched, own(lines), found, history, report_rows(found, own(lines), history), reduce(DataFrame.unionByName, failed, errors))
+    report = report_rows(found, own(lines), history, letterhead_rows(text, profile.letters))
+    return Batch(matched, own(lines), found, history, report, reduce(DataFrame.unionByName, failed, errors))
 
 
 def slugs(letters: DataFrame) -> DataFrame:
     """doc_id, slug from doc_id, url."""
     return letters.select("doc_id", t.url_slug(F.col("url")).alias("slug"))
+
+
+def run_batch(urls: DataFrame, master: DataFrame, cache_path: str, recipients: list[str], subject: str, profile: Profile = HEBREW, opener=fetch.get, parser: pdf.Parser = pdf.parse_pdf, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From URLs (url) to (files, messages, errors): letters are fetched into the cache,
+    scanned, matched, summed up and rendered. files: doc_id, file, html; messages: the
+    outbox; errors: doc_id, stage, message of every stage. A letter's doc_id is its key in
+    the cache; ``more`` goes to run_letters and, as fetch_options, to fetch_missing."""
+    options = more.pop("fetch_options", {})
+    doc_id = t.url_cache_key(F.col("url")).alias("doc_id")
+    failed = fetch.fetch_missing(urls, cache_path, opener, **options).select(doc_id, "stage", "message")
+    scanned = kept(pdf.scan(fetch.cached(urls, cache_path).select(doc_id, "content").dropDuplicates(["doc_id"]), parser), "letters-scanned")
+    batch = run_letters(pdf.page_text(scanned), pdf.cells(scanned), master, profile, **more)
+    names = slugs(urls.select(doc_id, "url").dropDuplicates(["doc_id"]))
+    files = kept(render_html(batch.report, names, more.get("method", "parse")), "letters-rendered")
+    return files, outbox(files, recipients, subject), reduce(DataFrame.unionByName, [failed, pdf.errors(scanned), batch.errors])

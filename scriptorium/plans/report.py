@@ -8,24 +8,34 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
-def report_rows(fields: DataFrame, lines: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """doc_id, section, row_no, label, value: the fields, the budget lines with their
-    columns from right to left, then the history."""
+def letterhead_rows(text: DataFrame, letters: str) -> DataFrame:
+    """doc_id, section, row_no, label, value: the first lines of each letter that have a
+    letter. text: doc_id, readable."""
+    lines = text.select("doc_id", F.posexplode(t.letterhead(F.col("readable"), letters)).alias("row_no", "value"))
+    return lines.select("doc_id", F.lit("letterhead").alias("section"), "row_no", F.lit("").alias("label"), "value")
+
+
+def report_rows(fields: DataFrame, lines: DataFrame, history: DataFrame | None = None, head: DataFrame | None = None) -> DataFrame:
+    """doc_id, section, row_no, label, value: the letterhead (as of letterhead_rows), the
+    fields, the budget lines with their columns from right to left, then the history, of
+    which row 0 holds the headings."""
     out = fields.select("doc_id", F.lit("field").alias("section"), F.col("field_no").alias("row_no"), F.col("field").alias("label"), "value")
     money = [t.format_thousands(F.col(c)) for c in ("delta", "to", "from")]
     out = out.unionByName(lines.select("doc_id", F.lit("budget").alias("section"), F.col("line_no").alias("row_no"), F.col("number").alias("label"), F.concat_ws(" | ", "name", *money).alias("value")))
     if history is not None:
+        heads = history.groupBy("doc_id", "col_no").agg(F.min_by("header", "row_no").alias("value")).select("doc_id", F.lit(0).alias("row_no"), "col_no", "value")
+        history = heads.unionByName(history.select("doc_id", "row_no", "col_no", "value"))
         cells = F.struct((-F.col("col_no")).alias("at"), "value")
         rows = history.groupBy("doc_id", "row_no").agg(F.min_by("value", "col_no").alias("label"), F.sort_array(F.collect_list(cells)).alias("c"))
         rows = rows.select("doc_id", F.lit("history").alias("section"), "row_no", "label", F.array_join(F.transform("c", lambda x: x["value"]), " | ").alias("value"))
         out = out.unionByName(rows)
-    return out
+    return out if head is None else head.unionByName(out)
 
 
 def render_html(rows: DataFrame, names: DataFrame, method: str = "parse") -> DataFrame:
     """doc_id, file, html: one page per letter. names: doc_id, slug; files are named by
     slug and doc_id, as slugs may repeat."""
-    order = F.when(F.col("section") == "field", 0).when(F.col("section") == "budget", 1).otherwise(2)
+    order = F.array_position(F.array(*map(F.lit, ("letterhead", "field", "budget", "history"))), F.col("section"))
     line = F.concat(F.lit("<tr><th>"), t.escape_lines(F.col("label")), F.lit("</th><td>"), t.escape_lines(F.col("value")), F.lit("</td></tr>"))
     grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "row_no", line.alias("line")))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
@@ -35,10 +45,15 @@ def render_html(rows: DataFrame, names: DataFrame, method: str = "parse") -> Dat
 
 
 def outbox(files: DataFrame, recipients: list[str], subject: str) -> DataFrame:
-    """A message per recipient with the number of its attachments; none without any.
-    Sending is left to whoever reads the table."""
-    counted = files.agg(F.count(F.lit(1)).alias("attachments"), F.sort_array(F.collect_list("file")).alias("files")).filter("attachments > 0")
-    return counted.select(F.explode(F.array(*map(F.lit, recipients))).alias("recipient"), F.lit(subject).alias("subject"), "attachments", "files")
+    """A message per recipient with the number of its attachments (which ``attachments``
+    lists); none without any. Sending is left to whoever reads the table."""
+    counted = files.agg(F.count(F.lit(1)).alias("attachments")).filter("attachments > 0")
+    return counted.select(F.explode(F.array(*map(F.lit, recipients))).alias("recipient"), F.lit(subject).alias("subject"), "attachments")
+
+
+def attachments(files: DataFrame, recipients: list[str]) -> DataFrame:
+    """recipient, file: what goes with each message, a row per file."""
+    return files.select(F.explode(F.array(*map(F.lit, recipients))).alias("recipient"), "file")
 
 
 def comparison_rows(comparison: DataFrame) -> DataFrame:

@@ -7,14 +7,19 @@ from the source columns, or from the operator's meaning, on its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as t
 from .operators import compare, fields, match, pages, tables
+from .plans.letters import run_batch
+from .plans.report import letterhead_rows
 from .plans.report import report_rows as report
 from .profile import LATIN
+from .sources.stage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,7 +164,7 @@ def url_slug(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey * 977 >= 1000000 THEN (p_partkey * 977)::VARCHAR ELSE lpad((p_partkey * 977)::VARCHAR, 6, '0') END AS code,
-        '-' || lpad(p_partkey::VARCHAR, 5, '0') AS negative FROM part WHERE p_partkey < 10000""")
+        '-' || CASE WHEN p_partkey >= 100000 THEN p_partkey::VARCHAR ELSE lpad(p_partkey::VARCHAR, 5, '0') END AS negative FROM part""")
 def zero_pad_code(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.zero_pad_code((F.col("p_partkey") * 977).cast("string")).alias("code"), t.zero_pad_code(F.concat(F.lit("-"), F.col("p_partkey").cast("string"))).alias("negative"))
 
@@ -232,10 +237,12 @@ def narrative_pages(spark, sf_dir):
     return pages.narrative_pages(_pages(spark, sf_dir), LATIN).select("doc_id", "page_no")
 
 
-@query("""SELECT conv_id AS doc_id, md5(string_agg(rtrim(text, chr(10)) || CASE WHEN turn % 3 = 1 THEN chr(10) || 'Budget  Office  -  Letters' ELSE '' END, chr(10) ORDER BY turn)) AS readable
+@query("""SELECT conv_id AS doc_id, md5(string_agg(array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: reverse(x)), chr(10))
+        || CASE WHEN turn % 3 = 1 THEN chr(10) || reverse('Budget  Office  -  Letters') ELSE '' END, chr(10) ORDER BY turn)) AS raw,
+        md5(string_agg(rtrim(text, chr(10)) || CASE WHEN turn % 3 = 1 THEN chr(10) || 'Budget  Office  -  Letters' ELSE '' END, chr(10) ORDER BY turn)) AS readable
     FROM conversations GROUP BY conv_id""")
 def document_text(spark, sf_dir):
-    return pages.document_text(_pages(spark, sf_dir)).select("doc_id", F.md5("readable").alias("readable"))
+    return pages.document_text(_pages(spark, sf_dir)).select("doc_id", F.md5("raw").alias("raw"), F.md5("readable").alias("readable"))
 
 
 @query("SELECT conv_id AS doc_id, min(turn) AS page_no FROM conversations WHERE contains(text, ' a ') GROUP BY conv_id")
@@ -271,17 +278,25 @@ _R = """n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_li
         CASE WHEN l_tax > 0.02 OR l_discount = 0 THEN NULL ELSE floor(l_quantity)::BIGINT END AS change FROM n)"""
 
 
-@query(f"""WITH {_R} SELECT doc_id, table_no, row_no, col_no, text FROM (
-        SELECT doc_id, table_no, row_no, 0 AS col_no, CASE WHEN leaf THEN (part + 10000)::VARCHAR ELSE '1234' END AS text FROM r
-        UNION ALL SELECT doc_id, table_no, row_no, 2, coalesce(change::VARCHAR, '') FROM r)""")
+_HEADS = "(VALUES (0, 'code'), (1, 'sum'), (2, ''), (3, 'eman meti')) h(col_no, text)"
+_GRID = f"""{_R}, t AS (SELECT DISTINCT doc_id, table_no FROM r),
+    grid AS (SELECT doc_id, table_no, 0 AS row_no, col_no, text FROM t, {_HEADS}
+        UNION ALL SELECT doc_id, table_no, row_no, 0, CASE WHEN leaf THEN (part + 10000)::VARCHAR ELSE '1234' END FROM r
+        UNION ALL SELECT doc_id, table_no, row_no, 1, CASE WHEN pair THEN format('{{:,}}', price) || chr(10) || (2 * price) ELSE '' END FROM r
+        UNION ALL SELECT doc_id, table_no, row_no, 2, coalesce(change::VARCHAR, '') FROM r
+        UNION ALL SELECT doc_id, table_no, row_no, 3, reverse('part ' || part) || chr(10) || '===' FROM r)"""
+
+
+@query(f"""WITH {_GRID} SELECT * FROM grid""")
 def cells_clean(spark, sf_dir):
-    return tables.clean_cells(_cells(spark, sf_dir)).filter("row_no > 0 AND col_no IN (0, 2)")
+    return tables.clean_cells(_cells(spark, sf_dir))
 
 
-@query(f"""WITH {_R} SELECT doc_id, table_no, col_name, count(*) AS n FROM r, (VALUES ('code'), ('sum'), ('col2'), ('eman meti')) c(col_name) GROUP BY ALL""")
+@query(f"""WITH {_GRID} SELECT doc_id, table_no, row_no, CASE WHEN h.text = '' THEN 'col' || h.col_no ELSE h.text END AS col_name, g.text
+    FROM grid g JOIN {_HEADS} ON h.col_no = g.col_no WHERE row_no > 0""")
 def promote_header(spark, sf_dir):
     rows = tables.promote_header(tables.clean_cells(_cells(spark, sf_dir)))
-    return rows.groupBy("doc_id", "table_no", "col_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("doc_id", "table_no", "row_no", "col_name", "text")
 
 
 def _logical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,14 +386,18 @@ def union_by_name(spark, sf_dir):
         CASE WHEN c = 0 THEN lpad(o_custkey::VARCHAR, 6, '0') WHEN c = 1 THEN format('{:,.0f}', floor(o_totalprice) * r) WHEN c = 2 THEN '-' || format('{:,.0f}', floor(o_totalprice)) ELSE 'none' END AS value
     FROM orders, range(1, 3) x(r), range(0, 4) y(c)""")
 def history_cells(spark, sf_dir):
+    rows = _history(spark, sf_dir)
+    return rows.select("doc_id", _long("row_no").alias("row_no"), _long("col_no").alias("col_no"), "header", "value")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     price = F.floor("o_totalprice").cast("long")
     cell = lambda r, c, x: F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), x.alias("text"))
     grid = [cell(0, c, F.lit("edoc" if c == 0 else f"{c} raey\n--")) for c in range(4)]
     for r in (1, 2):
         grid += [cell(r, 0, F.reverse(_code("o_custkey"))), cell(r, 1, F.reverse(F.format_number(price * r, 0))), cell(r, 2, F.concat(F.reverse(F.format_number(price, 0)), F.lit("-"))), cell(r, 3, F.lit(" enon "))]
-    rows = tables.history_cells(o.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(*grid))))
-    return rows.select("doc_id", _long("row_no").alias("row_no"), _long("col_no").alias("col_no"), "header", "value")
+    return tables.history_cells(o.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(*grid))))
 
 
 # Letter texts: made from orders
@@ -487,10 +506,12 @@ def _two_methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return own, other.withColumn("value", changed)
 
 
-@query("""SELECT o_orderkey AS doc_id, field, NOT (field = 'manpower' OR (field = 'gist' AND o_orderkey % 5 = 0)) AS matched
-    FROM orders, (VALUES ('date'), ('requests'), ('programs'), ('gist'), ('breakdown'), ('links'), ('coalition'), ('manpower')) f(field)""")
+@query(f"""WITH w AS ({_WIDE}), long AS ({_LONG})
+    SELECT doc_id, field, value AS parse, CASE WHEN field = 'gist' AND doc_id % 5 = 0 THEN '' WHEN field = 'date' AND doc_id % 2 = 0 THEN reverse(value)
+            WHEN field = 'manpower' THEN 'maybe' ELSE '  ' || replace(value, ' ', chr(10) || ' ') || ' ' END AS llm,
+        NOT (field = 'manpower' OR (field = 'gist' AND doc_id % 5 = 0)) AS matched FROM long""")
 def field_comparison(spark, sf_dir):
-    return compare.field_comparison(*_two_methods(spark, sf_dir)).select("doc_id", "field", "matched")
+    return compare.field_comparison(*_two_methods(spark, sf_dir)).select("doc_id", "field", "parse", "llm", "matched")
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 6 ELSE 7 END::BIGINT AS matched, 8::BIGINT AS fields FROM orders")
@@ -498,13 +519,58 @@ def match_tally(spark, sf_dir):
     return compare.match_tally(compare.field_comparison(*_two_methods(spark, sf_dir)))
 
 
+_HISTORY = """SELECT o_orderkey AS doc_id, 'history', r::BIGINT, CASE WHEN r = 0 THEN 'code' ELSE lpad(o_custkey::VARCHAR, 6, '0') END,
+        CASE WHEN r = 0 THEN 'year 3 | year 2 | year 1 | code' ELSE 'none | -' || format('{:,}', floor(o_totalprice)::BIGINT) || ' | ' || format('{:,}', floor(o_totalprice)::BIGINT * r) || ' | ' || lpad(o_custkey::VARCHAR, 6, '0') END
+    FROM orders, range(0, 3) x(r)"""
+
+
 @query(f"""WITH {_LINES}, w AS ({_WIDE}), long AS ({_LONG})
     SELECT doc_id, 'field' AS section, field_no AS row_no, field AS label, value FROM long
     UNION ALL SELECT doc_id, 'budget', line_no, number, name || ' | ' || format('{{:,.0f}}', delta) || ' | ' || format('{{:,.0f}}', "to") || ' | ' || format('{{:,.0f}}', "from" + 0.0)
-    FROM lines WHERE doc_id IN (SELECT o_orderkey FROM orders)""")
+    FROM lines WHERE doc_id IN (SELECT o_orderkey FROM orders)
+    UNION ALL {_HISTORY}
+    UNION ALL SELECT o_orderkey, 'letterhead', k::BIGINT, '', CASE k WHEN 0 THEN 'Request date: ' || reverse(strftime(o_orderdate, '%d/%m/%Y'))
+            WHEN 1 THEN 'Request no ' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((o_orderkey % 100)::VARCHAR, 2, '0')
+            ELSE 'Request no ' || lpad((o_orderkey % 7)::VARCHAR, 3, '0') || '-10' END FROM orders, range(0, 3) x(k)""")
 def report_rows(spark, sf_dir):
-    long = fields.fields_long(fields.request_fields(_letters(spark, sf_dir), LATIN), LATIN)
+    letters = _letters(spark, sf_dir)
+    long = fields.fields_long(fields.request_fields(letters, LATIN), LATIN)
     lines, _ = tables.budget_lines(_cells(spark, sf_dir), LATIN)
     lines = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_semi")
     lines = lines.withColumn("from", F.col("from") + F.lit(0.0))
-    return report(long, lines).withColumn("row_no", _long("row_no"))
+    return report(long, lines, _history(spark, sf_dir), letterhead_rows(letters, LATIN.letters)).withColumn("row_no", _long("row_no"))
+
+
+# From URLs to the outbox, with letters that stand-ins for the web and for PDF give
+
+
+def _opened(url: str) -> bytes:
+    """Every 50th letter cannot be had."""
+    k = int(url.rsplit("_", 1)[1].removesuffix(".pdf"))
+    if k % 50 == 0:
+        raise ValueError(f"no letter {k}")
+    return str(k).encode()
+
+
+def _parsed(content: bytes):
+    """Every 50th cannot be read, every 50th has no table with a change."""
+    k = int(content)
+    if k % 50 == 1:
+        raise ValueError(f"no PDF in letter {k}")
+    text = f"{LATIN.page_marker}\nGist: pay {k} Regards"
+    yield "\n".join(x[::-1] for x in text.split("\n")), [[["code", "sum"], [f"{10000 + k % 3000}", "5\n7" if k % 50 != 2 else "5"]]]
+
+
+@query("""WITH u AS (SELECT c_custkey AS k, 'https://letters.example/letter_' || c_custkey || '.pdf' AS url FROM customer),
+    d AS (SELECT k, url, sha256(url) || '.pdf' AS doc_id FROM u)
+    SELECT doc_id, 'report' AS stage, k || '_' || doc_id || '_summary_parse.html' AS message FROM d WHERE k % 50 > 2 AND k % 3000 < 1500
+    UNION ALL SELECT doc_id, CASE k % 50 WHEN 0 THEN 'fetch' WHEN 1 THEN 'scan' ELSE 'combine' END,
+        CASE k % 50 WHEN 0 THEN 'no letter ' || k WHEN 1 THEN 'no PDF in letter ' || k ELSE 'no data table with a delta column' END FROM d WHERE k % 50 <= 2
+    UNION ALL SELECT 'one@example.org', 'outbox', count(*)::VARCHAR FROM d WHERE k % 50 > 2 AND k % 3000 < 1500""")
+def letters_end_to_end(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    urls = keys.select(F.format_string("https://letters.example/letter_%d.pdf", "c_custkey").alias("url"))
+    master = spark.range(1500).select(F.lpad((F.col("id") + 10000).cast("string"), 6, "0").alias("code"), F.lit("").alias("name"))
+    files, messages, errors = run_batch(urls, master, f"{shared_folder(spark)}/letters-{uuid.uuid4().hex}", ["one@example.org"], "letters", LATIN, _opened, _parsed)
+    out = files.select("doc_id", F.lit("report").alias("stage"), F.col("file").alias("message"))
+    return out.unionByName(errors).unionByName(messages.select(F.col("recipient").alias("doc_id"), F.lit("outbox").alias("stage"), F.col("attachments").cast("string").alias("message")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_cache_key
 from ..operators.match import cache_misses
-from .stage import once
+from .stage import once, ship, waits
 
 
 def get(url: str) -> bytes:
@@ -21,17 +21,20 @@ def get(url: str) -> bytes:
         return response.read()
 
 
-def download(url: str, opener: Callable[[str], bytes] = get, attempts: int = 4, pause: Callable[[float], None] = time.sleep) -> bytes:
-    """Retried on connection errors and timeouts, after 1, 2 and 4 seconds."""
-    last: Exception | None = None
-    for k in range(attempts):
+def tried(url: str, opener: Callable[[str], bytes] = get, attempts: int = 4, pause: Callable[[float], None] = time.sleep) -> tuple[bytes | None, str | None]:
+    """(content, None), or (None, what went wrong). Lost connections and timeouts are worth
+    another attempt, after 1, 2 and 4 seconds; other faults are not."""
+    faults: list[str] = []
+    for seconds in waits(attempts):
+        if seconds:
+            pause(seconds)
         try:
-            return opener(url)
-        except (urllib.error.URLError, TimeoutError) as e:
-            last = e
-            if k + 1 < attempts:
-                pause(2**k)
-    raise RuntimeError(f"no download of {url} after {attempts} attempts: {last}")
+            return opener(url), None
+        except (urllib.error.URLError, TimeoutError) as fault:
+            faults.append(repr(fault))
+        except Exception as fault:  # one letter's failure is a row, not a failed job
+            return None, str(fault)
+    return None, f"{url}: {len(faults)} attempts, at last {faults[-1]}"
 
 
 def fetch(urls: DataFrame, opener: Callable[[str], bytes] = get, attempts: int = 4, pause: Callable[[float], None] = time.sleep, hosts: int = 64) -> DataFrame:
@@ -41,13 +44,10 @@ def fetch(urls: DataFrame, opener: Callable[[str], bytes] = get, attempts: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, url in zip(batch["key"], batch["url"], strict=True):
-                content = error = None
-                try:
-                    content = download(url, opener, attempts, pause)
-                except Exception as e:  # one letter's failure is a row, not a failed job
-                    error = str(e)
+                content, error = tried(url, opener, attempts, pause)
                 yield pd.DataFrame({"key": [key], "url": [url], "content": [content], "error": [error]})
 
+    ship(urls.sparkSession)
     dealt = urls.select("key", "url").repartition(hosts, F.try_parse_url("url", F.lit("HOST")))
     return dealt.mapInPandas(run, "key string, url string, content binary, error string")
 

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .stage import ship
+
 #: Fixed value: vertical rules this close are one.
 TABLE_SETTINGS = {"snap_x_tolerance": 10}
 #: content -> pages of (text or None, tables of rows of cells)
@@ -44,6 +46,7 @@ def scan(files: DataFrame, parser: Parser = parse_pdf) -> DataFrame:
                     rows = [(doc_id, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["doc_id", "page_no", "raw_text", "tables", "error"]).astype({"page_no": "Int32"})
 
+    ship(files.sparkSession)
     return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_no int, raw_text string, tables array<array<array<string>>>, error string")
 
 
@@ -54,7 +57,7 @@ def page_text(scanned: DataFrame) -> DataFrame:
 def cells(scanned: DataFrame) -> DataFrame:
     """doc_id, page_no, table_no (through the letter), row_no, col_no, text."""
     rows = scanned.filter("error IS NULL").selectExpr("doc_id", "page_no", "posexplode(tables) AS (page_table, rows)")
-    rows = rows.selectExpr("doc_id", "page_no", "page_no * 1000 + page_table AS table_no", "posexplode(rows) AS (row_no, texts)")
+    rows = rows.selectExpr("doc_id", "page_no", "cast(page_no AS bigint) * 1000000 + page_table AS table_no", "posexplode(rows) AS (row_no, texts)")
     return rows.selectExpr("doc_id", "page_no", "table_no", "row_no", "posexplode(texts) AS (col_no, text)")
 
 

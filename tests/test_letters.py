@@ -134,6 +134,9 @@ def test_whole_batch(spark, tmp_path):
     assert [r["value"] for r in batch.fields.orderBy("field_no").collect()] == WANT
     assert [tuple(r)[1:] for r in batch.history.orderBy("row_no", "col_no").collect()] == [(1, 0, "code", "45211"), (1, 1, "2020", "1,000-")]
     assert batch.errors.isEmpty() and batch.report.filter("section = 'budget'").count() == 1
+    assert [tuple(r)[2:] for r in batch.report.filter("section = 'history'").orderBy("row_no").collect()] == [(0, "code", "2020 | code"), (1, "45211", "1,000- | 45211")]
+    head = batch.report.filter("section = 'letterhead'").orderBy("row_no").collect()
+    assert len(head) == 3 and head[0]["value"] == letter().split("\n")[0].strip()
     names = letters.slugs(spark.createDataFrame([("a", "http://x/y/letter_12.pdf")], "doc_id string, url string"))
     html = render_html(batch.report, names)
     row = html.first()

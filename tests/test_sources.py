@@ -26,14 +26,18 @@ def test_download_retries():
             raise x
         return x
 
-    assert fetch.download("u", opener, pause=waits.append) == b"ok" and waits == [1, 2]
+    assert fetch.tried("u", opener, pause=waits.append) == (b"ok", None) and waits == [1, 2]
 
     def down(url):
         raise TimeoutError
 
-    with pytest.raises(RuntimeError):
-        fetch.download("u", down, pause=waits.append)
-    assert waits == [1, 2, 1, 2, 4]
+    content, error = fetch.tried("u", down, pause=waits.append)
+    assert content is None and error.startswith("u: 4 attempts") and waits == [1, 2, 1, 2, 4]
+
+    def broken(url):
+        raise ValueError("no such letter")
+
+    assert fetch.tried("u", broken, pause=waits.append) == (None, "no such letter") and len(waits) == 5
 
 
 def test_fetch_and_cache(spark, tmp_path):
