@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import itertools
-import re
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import shared_folder, ship  # noqa: F401  ship is for the operators
+
 #: The six characters of [\x20\x09-\x0D], in code point order.
 WHITE = "\t\n\x0b\x0c\r "
 #: The same as a Java pattern class body.
@@ -28,38 +26,6 @@ BROADCAST_BYTES = 16 << 20
 ARROW_ROWS = 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir,
-    or where that is unset and all run on one machine (tests) a temporary folder
-    that is then set as checkpoint folder. A cluster without that setting is an error:
-    a folder of the driver's would be another one on each executor."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each context, so that their Python
-    workers can import it wherever the driver found it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_scriptorium_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="scriptorium-")) / "scriptorium.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(path))
-    sc._scriptorium_shipped = True
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
