@@ -108,3 +108,21 @@ def test_stages_decide_on_rows(spark, tmp_path):
         # Alone, this stage drops copies too.
         alone = mine(cp.drop_near_copies(spark, frame, str(tmp_path)))
         assert alone == Counter([(1, a), (1, b), (6, ""), (7, bad), (7, c.replace(" ", "  ", 1)), (8, text(905, 60)), (8, text(906, 60))])
+
+
+def test_pipeline_on_edge_tables(spark, edges, nothing, tmp_path):
+    """Nulls in any column, long and empty texts, repeated rows, clashing columns; no rows."""
+    for name, docs in (("edges", edges), ("nothing", nothing)):
+        docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("file", "at", "row", "doc", "p_toxic", "target"))})
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, None, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        columns, n = now.columns, now.count()
+        for stage, f in cp.STAGES[:4]:
+            now = cp.written(f(spark, now, f"{tmp_path}/{name}"), "test-stage")
+            assert now.columns == columns and (now.count() <= n or stage.startswith("mixing")), stage
+            if stage == "exact dedup":
+                texts = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in now.collect()]
+                assert len(texts) == len(set(texts))
+        packed = cp.STAGES[4][1](spark, now, f"{tmp_path}/{name}")
+        assert packed.filter("start = 0").count() == now.count() and (n or now.count() == 0)
