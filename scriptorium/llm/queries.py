@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import CLUSTERS, DIMENSIONS, ROUNDS, cluster_vectors
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_classes
@@ -12,15 +13,19 @@ from .kd_shards import kd_shards
 from .line_chunks import dedup_line_chunks
 from .line_frequency import line_verdicts
 from .line_runs import dedup_line_runs
+from .merkle import merkle_manifest
 from .mixing import mix_rates
 from .packing import pack
 from .personal_data import personal_data
+from .quality import quality
 from .toxicity import score, train_chain
 from .warc import read_archives, write_archives
 
 SHARDS = 40
 #: Documents are rejected from this probability on.
 TOXIC_AT = 0.3
+#: Documents are predicted to be good from this score on.
+GOOD_AT = 0.3
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"), (F.col("p_toxic") < TOXIC_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op6_line_runs, op7_mixing, op8_jaccard_join, op9_personal_data, op10_toxicity)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("predicted", (F.col("score") >= GOOD_AT).cast("int"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_frequency, op3_packing, op4_warc, op5_kd_shards, op6_line_chunks, op6_line_runs, op7_mixing, op8_jaccard_join, op9_personal_data, op10_toxicity, op11_merkle, op12_quality, op13_centroids)}
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -226,3 +244,75 @@ SQL = {
                (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM j""",
 }
+
+_BYTES = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_HEAD = " || ".join(_BYTES.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+#: crc32 of ASCII text, bit by bit: the first of a character's eight steps takes it in.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+#: levels of a tree of nodes (tree, i, h), and for each node the joined siblings by level.
+SQL["op11_merkle"] = f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD} || {_BYTES.format("text")}) AS leaf,
+               sha256({_HEAD} || {_BYTES.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lowered
+        FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+    nodes(tree, level, i, h) AS (
+        SELECT tree, 0, i, leaf FROM placed
+        UNION ALL
+        SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, i // 8),
+    tops AS (SELECT tree, level AS top, h AS subroot FROM nodes QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY encode(tree)) - 1 AS k FROM tops),
+    upper(level, i, h) AS (
+        SELECT 0, k, subroot FROM ordered
+        UNION ALL
+        SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+        FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, i // 8),
+    steps AS (
+        SELECT p.tree, p.i, n.level, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < p.i // (8 ** n.level)::BIGINT), '') AS before,
+               coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > p.i // (8 ** n.level)::BIGINT), '') AS after
+        FROM (SELECT tree, i FROM placed) p JOIN ordered o ON o.tree = p.tree
+        JOIN nodes n ON n.tree = p.tree AND n.level < o.top AND n.i // 8 = p.i // (8 ** (n.level + 1))::BIGINT
+        GROUP BY p.tree, p.i, n.level
+        UNION ALL
+        SELECT p.tree, p.i, o.top + u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < o.k // (8 ** u.level)::BIGINT), ''),
+               coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > o.k // (8 ** u.level)::BIGINT), '')
+        FROM (SELECT tree, i FROM placed) p JOIN ordered o ON o.tree = p.tree
+        JOIN upper u ON u.level < (SELECT max(level) FROM upper) AND u.i // 8 = o.k // (8 ** (u.level + 1))::BIGINT
+        GROUP BY p.tree, p.i, o.top, u.level),
+    folds(tree, i, level, h) AS (
+        SELECT tree, i, 0, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN lowered ELSE leaf END FROM placed
+        UNION ALL
+        SELECT f.tree, f.i, f.level + 1, sha256(s.before || f.h || s.after)
+        FROM folds f JOIN steps s ON s.tree = f.tree AND s.i = f.i AND s.level = f.level),
+    folded AS (SELECT tree, i, h FROM folds QUALIFY row_number() OVER (PARTITION BY tree, i ORDER BY level DESC) = 1),
+    proofs AS (SELECT tree, i, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM steps GROUP BY tree, i),
+    root AS (SELECT h AS root FROM upper ORDER BY level DESC LIMIT 1)
+    SELECT p.doc_id, p.leaf, o.subroot, root.root, coalesce(proofs.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+    FROM placed p JOIN ordered o ON o.tree = p.tree JOIN folded f ON f.tree = p.tree AND f.i = p.i
+    LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.i = p.i CROSS JOIN root"""
+
+#: Components as one row each; the rounds one after the other.
+_NEAREST = """
+    d{k} AS (SELECT v.id, c.no, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{k} c ON c.i = v.i GROUP BY v.id, c.no),
+    a{k} AS (SELECT id, no, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, no) = 1)"""
+_MOVED = """
+    m{k} AS (SELECT a.no, v.i, sum(v.x)::BIGINT AS s, count(*) AS n FROM a{k} a JOIN v ON v.id = a.id GROUP BY a.no, v.i),
+    c{n} AS (SELECT c.no, c.i, coalesce((s - ((s % m.n) + m.n) % m.n) // m.n, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.no = c.no AND m.i = c.i)"""
+_LLOYD = ",".join([_NEAREST.format(k=k) + "," + _MOVED.format(k=k, n=k + 1) for k in range(ROUNDS)] + [_NEAREST.format(k=ROUNDS)])
+
+SQL["op13_centroids"] = f"""
+    WITH q AS (
+        SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}),
+    v AS (SELECT id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM q),
+    f AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS no, q FROM q QUALIFY no < {CLUSTERS}),
+    c0 AS (SELECT no, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM f),
+    {_LLOYD},
+    named AS (SELECT no, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY no)
+    SELECT q.vec_id, a.no::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.no)::BIGINT AS cluster_inertia,
+           sum(a.d) OVER ()::BIGINT AS inertia, named.centroid_sha256
+    FROM q JOIN a{ROUNDS} a ON a.id = q.id JOIN named ON named.no = a.no"""
