@@ -77,7 +77,8 @@ def run_batch(urls: DataFrame, master: DataFrame, cache_path: str, recipients: l
     doc_id = t.url_cache_key(F.col("url")).alias("doc_id")
     failed = fetch.fetch_missing(urls, cache_path, opener, **options).select(doc_id, "stage", "message")
     scanned = kept(pdf.scan(fetch.cached(urls, cache_path).select(doc_id, "content").dropDuplicates(["doc_id"]), parser), "letters-scanned")
-    batch = run_letters(pdf.page_text(scanned), pdf.cells(scanned), master, profile, **more)
+    text, cells = kept(pdf.page_text(scanned), "letters-text"), kept(pdf.cells(scanned), "letters-cells")
+    batch = run_letters(text, cells, master, profile, **more)
     names = slugs(urls.select(doc_id, "url").dropDuplicates(["doc_id"]))
     files = kept(render_html(batch.report, names, more.get("method", "parse")), "letters-rendered")
     return files, outbox(files, recipients, subject), reduce(DataFrame.unionByName, [failed, pdf.errors(scanned), batch.errors])

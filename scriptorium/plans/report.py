@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.bidi import display_order
 
 
 def letterhead_rows(text: DataFrame, letters: str) -> DataFrame:
@@ -32,14 +33,23 @@ def report_rows(fields: DataFrame, lines: DataFrame, history: DataFrame | None =
     return out if head is None else head.unionByName(out)
 
 
-def render_html(rows: DataFrame, names: DataFrame, method: str = "parse") -> DataFrame:
+def _page(body: Column, visual: bool) -> Column:
+    """A table as a page. ``visual``: its texts are in display order already."""
+    head = '<html dir="ltr" style="unicode-bidi: bidi-override"><body><table>' if visual else '<html dir="auto"><body><table>'
+    return F.concat(F.lit(head + "\n"), body, F.lit("\n</table></body></html>"))
+
+
+def render_html(rows: DataFrame, names: DataFrame, method: str = "parse", visual: bool = False) -> DataFrame:
     """doc_id, file, html: one page per letter. names: doc_id, slug; files are named by
-    slug and doc_id, as slugs may repeat."""
+    slug and doc_id, as slugs may repeat. ``visual`` puts every text into display order, for
+    readers that don't arrange right-to-left text themselves."""
+    if visual:
+        rows = rows.withColumns({c: display_order(F.col(c)) for c in ("label", "value")})
     order = F.array_position(F.array(*map(F.lit, ("letterhead", "field", "budget", "history"))), F.col("section"))
     line = F.concat(F.lit("<tr><th>"), t.escape_lines(F.col("label")), F.lit("</th><td>"), t.escape_lines(F.col("value")), F.lit("</td></tr>"))
     grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "row_no", line.alias("line")))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
-    html = F.concat(F.lit('<html dir="auto"><body><table>\n'), body, F.lit("\n</table></body></html>"))
+    html = _page(body, visual)
     file = F.concat("slug", F.lit("_"), F.col("doc_id").cast("string"), F.lit(f"_summary_{method}.html"))
     return grouped.join(names, "doc_id").select("doc_id", file.alias("file"), html.alias("html"))
 
@@ -66,32 +76,19 @@ def comparison_rows(comparison: DataFrame) -> DataFrame:
     return rows.unionByName(tally)
 
 
-def render_comparison(comparison: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, file, html of each letter's comparison."""
+def render_comparison(comparison: DataFrame, names: DataFrame, visual: bool = False) -> DataFrame:
+    """doc_id, file, html of each letter's comparison; ``visual`` as for summaries."""
+    shown = comparison_rows(comparison)
+    if visual:
+        shown = shown.withColumns({c: display_order(F.col(c)) for c in ("label", "value")})
     mark = F.when(F.col("matched"), F.lit("&#10003;")).otherwise(F.lit("&#10007;"))
     cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     line = F.concat(F.lit("<tr>"), cell(mark), cell(t.escape_lines(F.col("value"))), cell(t.escape_lines(F.col("label"))), F.lit("</tr>"))
-    rows = comparison_rows(comparison).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("label") == "").alias("last"), "label", line.alias("line")))).alias("r"))
-    html = F.concat(F.lit('<html dir="auto"><body><table>\n'), F.array_join(F.col("r.line"), "\n"), F.lit("\n</table></body></html>"))
+    rows = shown.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("label") == "").alias("last"), "label", line.alias("line")))).alias("r"))
+    html = _page(F.array_join(F.col("r.line"), "\n"), visual)
     return rows.join(names, "doc_id").select("doc_id", F.concat("slug", F.lit("_"), F.col("doc_id").cast("string"), F.lit("_comparison.html")).alias("file"), html.alias("html"))
 
 
-def display_order(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns in display order by the bidirectional algorithm, for renderers without it.
-    Needs python-bidi, which is optional; without it texts stay in logical order."""
-    try:
-        from bidi.algorithm import get_display
-    except ImportError:
-        return df
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def shown(x: pd.Series) -> pd.Series:
-        return x.map(get_display, na_action="ignore")
-
-    return df.withColumns({c: shown(F.col(c)) for c in columns})
-
-
 def mirrored(df: DataFrame) -> DataFrame:
     """The columns from right to left."""
     return df.select(*reversed(df.columns))

@@ -14,12 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import compare, fields, match, pages, tables
+from .functions.bidi import display_order
+from .operators import compare, fields, layout, match, pages, tables
 from .plans.letters import run_batch
 from .plans.report import letterhead_rows
 from .plans.report import report_rows as report
 from .profile import LATIN
-from .sources.stage import shared_folder
+from .sources.stage import kept, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -400,6 +401,66 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.history_cells(o.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(*grid))))
 
 
+# Pages as they are drawn: the same cells, ruled, with their words where they stand
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces and segments. Columns are 100 wide, rows 40 high, tables 4000 apart. Nothing
+    stands quite where it should, by an amount that depends on the letter; level rules are
+    drawn in two pieces with a gap, upright ones row by row, and left out between a pair and
+    the empty cell right of it, which makes these one."""
+    cells = _cells(spark, sf_dir).withColumn("page_no", F.lit(1))
+    off = lambda by: (F.abs(F.hash("doc_id", F.lit(by), "table_no", "row_no")) % 5 - 2) / 4
+    left, top = F.col("col_no") * 100.0, F.col("table_no") * 4000.0 + F.col("row_no") * 40.0
+    words = cells.select("doc_id", "page_no", "table_no", "row_no", "col_no", F.posexplode(F.split("text", "\n")).alias("j", "line"))
+    words = words.select("*", F.posexplode(F.split(F.trim("line"), " ")).alias("k", "text"))
+    x, y = left + 5 + F.col("k") * 45 + off(1), top + 8 + F.col("j") * 13 + off(2) + F.col("k") * 0.25
+    pieces = words.select("doc_id", "page_no", x.alias("x0"), (x + 40).alias("x1"), y.alias("top"), (y + 10).alias("bottom"), "text")
+    segment = lambda x0, x1, y0, y1: F.struct(*[v.cast("double").alias(n) for n, v in (("x0", x0), ("x1", x1), ("top", y0), ("bottom", y1))])
+    at = W.partitionBy("doc_id", "table_no", "row_no")
+    rows = cells.withColumn("pair", F.max(F.col("text").contains("\n") & (F.col("col_no") == 1)).over(at) & (F.col("row_no") > 0)).filter("col_no = 0")
+    y0, y1 = top + off(3), top + 40 + off(4)
+    level = lambda y: [segment(F.lit(-1.0), F.lit(150.0), y, y), segment(F.lit(152.0), F.lit(401.0), y, y)]
+    upright = [segment(F.lit(v) + off(v), F.lit(v) + off(v), top, top + 40) for v in (0, 100, 200, 300, 400)]
+    ruled = F.filter(F.array(*level(y0), *level(y1), *upright), lambda s: ~(F.col("pair") & (F.abs(s["x0"] - 200) < 5) & (s["x0"] == s["x1"])))
+    return kept(pieces, "drawn-pieces"), kept(rows.select("doc_id", "page_no", F.inline(ruled)), "drawn-rules")
+
+
+@query(f"""WITH {_GRID}, p AS (SELECT doc_id, table_no, row_no, pair FROM r)
+    SELECT g.doc_id, (1000000 + g.table_no)::BIGINT AS table_no, g.row_no::BIGINT AS row_no, g.col_no::BIGINT AS col_no,
+        CASE WHEN g.col_no = 2 AND coalesce(p.pair, false) THEN NULL ELSE g.text END AS text
+    FROM grid g LEFT JOIN p ON p.doc_id = g.doc_id AND p.table_no = g.table_no AND p.row_no = g.row_no""")
+def ruled_tables(spark, sf_dir):
+    rows = layout.ruled_tables(*_drawn(spark, sf_dir))
+    return rows.select("doc_id", "table_no", _long("row_no").alias("row_no"), _long("col_no").alias("col_no"), "text")
+
+
+@query(f"""WITH {_GRID}, w AS (
+        SELECT doc_id, table_no, row_no, col_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM grid),
+    l AS (SELECT doc_id, table_no, row_no, j, string_agg(line, ' ' ORDER BY col_no) FILTER (line <> '') AS line FROM w GROUP BY ALL)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY table_no, row_no, j)) AS raw FROM l WHERE line IS NOT NULL GROUP BY doc_id""")
+def reading_order(spark, sf_dir):
+    return layout.page_text(_drawn(spark, sf_dir)[0]).select("doc_id", F.md5("raw_text").alias("raw"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS kind, strftime(o_orderdate, '%d/%m/%Y') AS day, format('{:,}', floor(o_totalprice)::BIGINT) AS sum, lower(o_orderpriority) AS p FROM orders)
+    SELECT k AS doc_id, CASE kind WHEN 0 THEN '!(' || k || ') ' || sum || ' ' || reverse('תקציב') || chr(10) || day || ' :' || reverse('תאריך')
+        WHEN 1 THEN '(' || substr(p, 3) || '-' || substr(p, 1, 1) || ') ' || k || ' ' || reverse('תכנית')
+        WHEN 2 THEN 'sum ' || day || ') ' || k || '-' || reverse('אב') || ')'
+        ELSE 'letter ' || k || ', ' || p END AS shown FROM o""")
+def display_lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k, day, total, p = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.format_number(F.floor("o_totalprice").cast("long"), 0), F.lower("o_orderpriority")
+    kind = F.col("o_orderkey") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit("תקציב "), total, F.lit(" ("), k, F.lit(")!\nתאריך: "), day))
+        .when(kind == 1, F.concat(F.lit("תכנית "), k, F.lit(" ("), p, F.lit(")")))
+        .when(kind == 2, F.concat(F.lit("sum אב-"), k, F.lit(" ("), day, F.lit(")")))
+        .otherwise(F.concat(F.lit("letter "), k, F.lit(", "), p))
+    )
+    return o.select(F.col("o_orderkey").alias("doc_id"), display_order(text).alias("shown"))
+
+
 # Letter texts: made from orders
 
 
@@ -557,8 +618,11 @@ def _parsed(content: bytes):
     k = int(content)
     if k % 50 == 1:
         raise ValueError(f"no PDF in letter {k}")
-    text = f"{LATIN.page_marker}\nGist: pay {k} Regards"
-    yield "\n".join(x[::-1] for x in text.split("\n")), [[["code", "sum"], [f"{10000 + k % 3000}", "5\n7" if k % 50 != 2 else "5"]]]
+    lines = [f"{LATIN.page_marker}", f"Gist: pay {k} Regards"]
+    words = [(w[::-1], 400 - 60 * j - 50, 400 - 60 * j, 20 * i, 20 * i + 10) for i, line in enumerate(lines) for j, w in enumerate(line.split())]
+    cells = [("code", 0, 0), ("sum", 100, 0), (f"{10000 + k % 3000}", 0, 40), ("5", 100, 40)] + [("7", 100, 55)] * (k % 50 != 2)
+    words += [(w, 5 + x, 55 + x, 105 + y, 115 + y) for w, x, y in cells]
+    yield words, [(0, 200, y, y) for y in (100, 140, 180)] + [(x, x, 100, 180) for x in (0, 100, 200)]
 
 
 @query("""WITH u AS (SELECT c_custkey AS k, 'https://letters.example/letter_' || c_custkey || '.pdf' AS url FROM customer),

@@ -2,7 +2,7 @@ import json
 
 from scriptorium.operators.compare import field_comparison
 from scriptorium.plans.agents import ModelAgent, RuleAgent
-from scriptorium.plans.report import comparison_rows, display_order, mirrored, render_comparison
+from scriptorium.plans.report import comparison_rows, mirrored, render_comparison
 from scriptorium.profile import LATIN
 
 
@@ -18,4 +18,3 @@ def test_two_agents_side_by_side(spark):
     page = render_comparison(pair, names).first()
     assert page["file"] == "7_a_comparison.html" and "pay &lt;1&gt; | pay &lt;1&gt;" in page["html"]
     assert mirrored(rows).columns == ["matched", "value", "label", "doc_id"]
-    assert display_order(rows, "value").columns == rows.columns

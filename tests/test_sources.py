@@ -63,16 +63,19 @@ def test_fetch_and_cache(spark, tmp_path):
 
 def test_pdf_scan(spark):
     def parser(content):
-        if content == b"bad":
+        if content != b"ok":
+            yield [("seen", 0, 1, 0, 1)], []
             raise ValueError("no header")
-        yield "text", [[["h", None], ["1", "2"]]]
-        yield None, []
-
-    files = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "doc_id string, content binary")
-    scanned = pdf.scan(files, parser)
-    assert {tuple(r) for r in pdf.page_text(scanned).collect()} == {("a", 0, "text"), ("a", 1, None)}
-    assert {(r["row_no"], r["col_no"], r["text"]) for r in pdf.cells(scanned).collect()} == {(0, 0, "h"), (0, 1, None), (1, 0, "1"), (1, 1, "2")}
-    assert [tuple(r) for r in pdf.errors(scanned).collect()] == [("b", "scan", "no header")]
+        grid = [(0, 100, y, y) for y in (0, 20, 40)] + [(x, x, 0, 40) for x in (0, 50, 100)]
+        yield [("h", 5, 9, 4, 14), ("1", 5, 9, 24, 34), ("2", 55, 59, 24, 34)], grid
+        yield [], []
+
+    files = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad")), ("c", bytearray())], "doc_id string, content binary")
+    scanned = pdf.scan(files, parser, rows_at_once=3)
+    assert {tuple(r) for r in pdf.page_text(scanned).collect()} == {("a", 0, "h\n1 2"), ("a", 1, None)}
+    assert {(r["row_no"], r["col_no"], r["text"]) for r in pdf.cells(scanned).collect()} == {(0, 0, "h"), (0, 1, ""), (1, 0, "1"), (1, 1, "2")}
+    assert {tuple(r) for r in pdf.errors(scanned).collect()} == {("b", "scan", "no header"), ("c", "scan", "no header")}
+    assert [r["message"] for r in pdf.errors(pdf.scan(files.limit(1), lambda c: iter(()))).collect()] == ["no pages"]
 
 
 def test_master(spark, tmp_path):
