@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..profile import Profile
+from ..sources.stage import kept
 
 _TABLE = ["doc_id", "table_no"]
 
@@ -81,45 +82,73 @@ def is_leaf(text: Column) -> Column:
     return t.strip_ws(text).rlike(r"\A[0-9]{5,6}\z")
 
 
-def _chosen(cells: DataFrame, profile: Profile) -> DataFrame:
-    """The logical cells of all tables with what was chosen for their letter: code_col,
-    money_base, change_col, name_col, and the row's number where the row is kept.
+def _table_rows(cells: DataFrame) -> DataFrame:
+    """doc_id, table_no, row_no, cells: each row of a table as an array in column order of
+    col_no, text and pair (its two numbers)."""
+    # Texts are stripped before they are gathered, once; only two lines that start like
+    # numbers are parsed.
+    rows = clean_cells(cells).groupBy(*_TABLE, "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("cells"))
+    stacked = r"(?U)\A\s*[-,0-9][^\n]*\n\s*[-,0-9][^\n]*\z"
+    return rows.withColumn("cells", F.transform("cells", lambda c: F.struct(c["col_no"], c["text"], F.when(c["text"].rlike(stacked), pair_of(c["text"])).alias("pair"))))
+
+
+def _table_columns(rows: DataFrame) -> DataFrame:
+    """doc_id, table_no, single (a table of one row, which is data), names (of all columns,
+    by number), stacked (columns with a pair), columns (name and place of what they become,
+    in order), data (whether one of these ends in delta). Distinct patterns of columns are
+    all that is gathered of a table's rows."""
+    held, pairs = F.col("cells.col_no"), F.transform(F.filter("cells", lambda c: c["pair"].isNotNull()), lambda c: c["col_no"])
+    first = F.col("row_no") == 0
+    info = rows.groupBy(*_TABLE).agg(
+        F.max(F.when(first, F.transform("cells", lambda c: F.struct(c["col_no"], c["text"])))).alias("head"), F.max(F.when(first, pairs)).alias("head_pairs"),
+        (F.max("row_no") == 0).alias("single"), F.collect_set(F.when(~first, held)).alias("held"), F.collect_set(F.when(~first, pairs)).alias("pairs"),
+    )
+    own = lambda lone, sets: F.array_sort(F.array_distinct(F.when(F.col("single"), lone).otherwise(F.flatten(sets))))
+    info = info.withColumns({"held": own(F.col("head.col_no"), F.col("held")), "stacked": own(F.col("head_pairs"), F.col("pairs")), "head": F.map_from_entries(F.coalesce("head", F.array().cast("array<struct<col_no:int,text:string>>")))})
+    number = lambda c: c.cast("string")
+    name = lambda c: F.when(F.col("single"), number(c)).otherwise(F.coalesce(F.nullif(F.try_element_at("head", c), F.lit("")), F.concat(F.lit("col"), number(c))))
+    info = info.withColumn("names", F.map_from_arrays("held", F.transform("held", name)))
+    columns = F.flatten(F.transform("held", lambda c: _parts_of(F.array_contains("stacked", c), c, F.element_at("names", c))))
+    info = info.withColumn("columns", columns)
+    return info.select(*_TABLE, "single", "names", "stacked", "columns", F.exists("columns", lambda c: c["name"].endswith("delta")).alias("data"))
 
-    Cells are dealt by letter once; every choice is a window within a letter, so nothing
-    moves again.
-    """
-    rows = split_stacked(promote_header(clean_cells(cells.repartition("doc_id"))))
-    doc, column, row = W.partitionBy("doc_id"), W.partitionBy("doc_id", "col_name"), W.partitionBy("doc_id", "table_no", "row_no")
-    base, row_base = W.partitionBy("doc_id", "base"), W.partitionBy("doc_id", "table_no", "row_no", "base")
-    # Texts are stripped by now. Digits alone decide about codes; only what starts like a
-    # number is parsed.
-    text = F.col("text")
-    number = F.when(text.rlike(r"\A[-,0-9]"), t.parse_number(text))
-    rows = rows.withColumns({"data": F.max(F.col("col_name").endswith("delta")).over(W.partitionBy(*_TABLE)), "value": number, "amount": F.coalesce("num", F.when(text != "", text.try_cast("double"))), "digits": F.when(text.rlike(r"\A[0-9]{1,6}\z"), F.length(text))})
-    # One number, negated so that the first position is the greatest.
-    place = F.when(F.col("data"), -(F.shiftleft(F.col("table_no").cast("long"), 30) + F.col("col_pos.col_no") * 4 + F.col("col_pos.part")))
-    rows = rows.withColumns({
-        "at": F.max(place).over(column),
-        "code_score": F.count(F.when(F.col("data"), F.col("digits"))).over(column),
-    })
-    best = lambda name, score, ok: F.max_by(F.when(ok, F.col(name)), F.when(ok, F.struct(score, "at"))).over(doc)
-    rows = rows.withColumn("code_col", best("col_name", "code_score", F.col("data") & (F.col("code_score") > 0)))
-    code = F.when(F.col("data") & (F.col("col_name") == F.col("code_col")) & (F.col("digits") >= 5), t.zero_pad_code(text))
-    # Money pairs: candidates are columns of the letter, scores count kept rows. Rows are
-    # put in order once for both windows that follow.
-    is_from, is_to = F.col("col_name").endswith(" from"), F.col("col_name").endswith(" to")
-    half = F.col("data") & (is_from | is_to)
-    rows = rows.withColumn("base", F.when(half, F.regexp_replace("col_name", " (from|to)$", "")))
-    rows = rows.sortWithinPartitions("doc_id", "table_no", "row_no", "base").withColumn("number", F.max(code).over(row))
-    rows = rows.withColumn("whole", F.count(F.when(half & F.col("number").isNotNull(), F.col("amount"))).over(row_base) == 2)
-    rows = rows.withColumns({"paired": F.max(half & is_from).over(base) & F.max(half & is_to).over(base), "money_score": F.count_if(half & is_from & F.col("whole")).over(base)})
-    rows = rows.withColumn("money_base", best("base", "money_score", half & is_from & F.col("paired")))
-    free = F.col("data") & (F.col("col_name") != F.col("code_col")) & ~F.col("col_name").rlike(" (from|to|delta)$")
-    single = F.col("number").isNotNull() & F.col("value").isNotNull()
-    rows = rows.withColumn("change_score", F.count_if(free & F.coalesce(single, F.lit(False))).over(column))
-    wanted = "".join(profile.name_header.split())
-    named = F.col("data") & (t.drop_ws(F.reverse("col_name")) == wanted)
-    return rows.withColumns({"change_col": best("col_name", "change_score", free & (F.col("change_score") > 0)), "name_col": F.max_by(F.when(named, F.col("col_name")), F.when(named, F.col("at"))).over(doc)})
+
+def _parts_of(stacked: Column, col_no: Column, name: Column, plain: dict | None = None, halves: tuple = ({}, {}, {})) -> Column:
+    """The logical columns of a column, with further values: itself, or from, to and delta."""
+    part = lambda k, suffix, more: F.struct(F.concat(name, F.lit(suffix)).alias("name"), (col_no * 4 + k).alias("at"), *[v.alias(n) for n, v in more.items()])
+    return F.when(stacked, F.array(*[part(k, s, halves[k]) for k, s in enumerate((" from", " to", " delta"))])).otherwise(F.array(part(0, "", plain or {})))
+
+
+def _logical_rows(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """doc_id, table_no, row_no, parts (name, at, text, amount, digits) of the data tables; of
+    columns of a table that come to the same name the last one's value. Amounts are those of
+    halves."""
+    rows = rows.join(info.filter("data").select(*_TABLE, "single", "names", "stacked"), _TABLE).filter("single OR row_no > 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    half = lambda v: {"text": none("string"), "amount": v, "digits": none("int")}
+
+    def parts(c: Column) -> Column:
+        digits = F.when(c["text"].rlike(r"\A[0-9]{1,6}\z"), F.length(c["text"]))
+        name = F.element_at("names", c["col_no"])
+        amount = F.when((name.endswith(" from") | name.endswith(" to")) & (c["text"] != ""), c["text"].try_cast("double"))
+        plain = {"text": c["text"], "amount": amount, "digits": digits}
+        top, bottom = F.get(c["pair"], F.lit(0)), F.get(c["pair"], F.lit(1))
+        return _parts_of(F.array_contains("stacked", c["col_no"]), c["col_no"], name, plain, (half(top), half(bottom), half(bottom - top)))
+
+    rows = rows.select(*_TABLE, "row_no", F.flatten(F.transform("cells", parts)).alias("parts"))
+    last = F.filter("parts", lambda p, i: ~F.exists(F.slice("parts", i + 2, F.size("parts")), lambda q: q["name"] == p["name"]))
+    return rows.withColumn("parts", F.when(F.size(F.array_distinct("parts.name")) < F.size("parts"), last).otherwise(F.col("parts")))
+
+
+def _best(names: DataFrame, scores: DataFrame, least: int) -> DataFrame:
+    """doc_id, best: of names (doc_id, name, at) the one with the highest score (doc_id,
+    name, score; 0 without), the first on ties."""
+    scored = names.join(scores, ["doc_id", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    return scored.filter(F.col("score") >= least).groupBy("doc_id").agg(F.max_by("name", F.struct("score", "at")).alias("best"))
+
+
+def _named(parts: Column, name: Column, value: str) -> Column:
+    return F.get(F.filter(parts, lambda p: p["name"] == name), F.lit(0))[value]
 
 
 def budget_lines(cells: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
@@ -127,21 +156,48 @@ def budget_lines(cells: DataFrame, profile: Profile) -> tuple[DataFrame, DataFra
 
     lines: doc_id, line_no, number, from, to, delta, name. errors: doc_id, stage, message
     for letters without a data table or without a column of codes; these have no lines.
+
+    Which columns hold codes, money, changes and names is decided by counts per letter and
+    column name, which are combined before every shuffle, and joined back to rows: nothing
+    gathers the cells of a letter. Only the lines themselves are numbered by letter.
     """
-    rows = _chosen(cells, profile)
-    pick = lambda cond, value: F.max(F.when(cond, value))
-    col = F.col("col_name")
-    wide = rows.filter("data AND number IS NOT NULL").groupBy("doc_id", "table_no", "row_no", "number").agg(
-        pick(col == F.concat("money_base", F.lit(" from")), F.col("amount")).alias("frm"),
-        pick(col == F.concat("money_base", F.lit(" to")), F.col("amount")).alias("till"),
-        pick(col == F.col("change_col"), F.col("value")).alias("change"),
-        F.max(F.col("change_col").isNotNull()).alias("has_change"),
-        pick(col == F.col("name_col"), F.col("text")).alias("raw_name"),
+    rows = kept(_table_rows(cells), "table-rows")
+    info = kept(_table_columns(rows), "table-columns")
+    parts = kept(_logical_rows(rows, info), "logical-rows")
+    # Positions are negated, so that the first is the greatest.
+    place = -(F.shiftleft(F.col("table_no").cast("long"), 30) + F.col("c.at"))
+    names = info.filter("data").select("*", F.explode("columns").alias("c")).groupBy("doc_id", F.col("c.name").alias("name")).agg(F.max(place).alias("at"))
+    names = kept(names, "column-names")
+    count = lambda df, found: df.select("doc_id", F.explode(found).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("score"))
+    hits = F.transform(F.filter("parts", lambda p: p["digits"].isNotNull()), lambda p: p["name"])
+    codes = kept(_best(names, count(parts, hits), 1).withColumnRenamed("best", "code_col"), "code-columns")
+    code = F.filter("parts", lambda p: (p["name"] == F.col("code_col")) & (p["digits"] >= 5))
+    leaves = parts.join(codes, "doc_id").withColumn("number", t.zero_pad_code(F.get(code, F.lit(0))["text"])).filter("number IS NOT NULL")
+    leaves = kept(leaves, "leaf-rows")
+    # Of kept rows: pairs of which both halves are numbers; numbers in columns of their own.
+    ends = lambda p, suffix: p["name"].endswith(suffix) & p["amount"].isNotNull()
+    base = lambda suffix: F.transform(F.filter("parts", lambda p: ends(p, suffix)), lambda p: F.substring(p["name"], 1, F.length(p["name"]) - len(suffix)))
+    free = lambda c: ~c.rlike(" (from|to|delta)$")
+    number = lambda text: F.when(text.rlike(r"\A[-,0-9]"), t.parse_number(text))
+    single = F.transform(F.filter("parts", lambda p: (p["name"] != F.col("code_col")) & free(p["name"]) & number(p["text"]).isNotNull()), lambda p: p["name"])
+    cut = lambda suffix: names.filter(F.col("name").endswith(suffix)).select("doc_id", F.substring("name", F.lit(1), F.length("name") - len(suffix)).alias("name"), "at")
+    bases = cut(" from").join(cut(" to").select("doc_id", "name"), ["doc_id", "name"], "left_semi")
+    money = _best(bases, count(leaves, F.array_intersect(base(" from"), base(" to"))), 0).withColumnRenamed("best", "money_base")
+    others = names.join(codes, "doc_id").filter((F.col("name") != F.col("code_col")) & free(F.col("name"))).select("doc_id", "name", "at")
+    change = _best(others, count(leaves, single), 1).withColumnRenamed("best", "change_col")
+    wanted = "".join(profile.name_header.split())
+    titled = names.filter(t.drop_ws(F.reverse("name")) == wanted).groupBy("doc_id").agg(F.max_by("name", "at").alias("name_col"))
+    chosen = codes.select("doc_id").join(money, "doc_id", "left").join(change, "doc_id", "left").join(titled, "doc_id", "left")
+    wide = leaves.join(kept(chosen, "chosen-columns"), "doc_id").select(
+        "doc_id", "table_no", "row_no", "number",
+        _named(F.col("parts"), F.concat("money_base", F.lit(" from")), "amount").alias("frm"), _named(F.col("parts"), F.concat("money_base", F.lit(" to")), "amount").alias("till"),
+        number(_named(F.col("parts"), F.col("change_col"), "text")).alias("change"), F.col("change_col").isNotNull().alias("has_change"),
+        _named(F.col("parts"), F.col("name_col"), "text").alias("raw_name"),
     )
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("table_no", "row_no"))
     lines = reserve_fill(wide).select("doc_id", order.alias("line_no"), "number", F.col("frm").alias("from"), F.col("till").alias("to"), "delta", t.clean_name(F.col("raw_name")).alias("name"))
-    state = rows.groupBy("doc_id").agg(F.max("data").alias("data"), F.max("code_col").alias("code"))
-    message = F.when(~F.col("data"), "no data table with a delta column").when(F.col("code").isNull(), "no column of budget codes")
+    state = info.groupBy("doc_id").agg(F.max("data").alias("data")).join(codes, "doc_id", "left")
+    message = F.when(~F.col("data"), "no data table with a delta column").when(F.col("code_col").isNull(), "no column of budget codes")
     errors = state.select("doc_id", F.lit("combine").alias("stage"), message.alias("message")).filter("message IS NOT NULL")
     return lines, errors
 
