@@ -64,28 +64,45 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
                 yield batch.slice(a, b - a)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def as_files(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` as rows of files: as they are read if they are, written first otherwise
-    (just ``columns``, if given)."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+    """``docs`` as rows of Parquet files: as they are read if they are, written first
+    otherwise (just ``columns``, if given)."""
+    plan = docs._jdf.queryExecution().analyzed()
+    kind = lambda x: x.getClass().getSimpleName()
+    if kind(plan) == "LogicalRelation" and kind(plan.relation()) == "HadoopFsRelation" and kind(plan.relation().fileFormat()) == "ParquetFileFormat":
         return docs
     return written(docs.select(*columns) if columns else docs, "rows")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Rows of files with _file and _at, the place of the row there: the same whenever they
-    are evaluated, and different for any two rows."""
-    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+def located(docs: DataFrame, file: str = "_file", at: str = "_at") -> DataFrame:
+    """Rows of Parquet files with their file, and their place there: the same whenever they
+    are evaluated, and different for any two rows. The two names must be free."""
+    place = docs.metadataColumn("_metadata")
+    return docs.select(*columns_of(docs), place["file_path"].alias(file), place["row_index"].alias(at))
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row: a number for each row that no other has, from its place in its
-    file. Anything but files as they are read is written first."""
+def numbered_rows(docs: DataFrame, row: str = "_row") -> DataFrame:
+    """``docs`` with ``row``, a free name: a number for each row that no other has, from its
+    place in its file. Anything but Parquet files as they are read is written first."""
     docs = as_files(docs)
-    rows = located(docs)
-    paths = sorted(r["_file"] for r in rows.select("_file").distinct().collect())
-    files = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"_no": pa.array(range(len(paths)), pa.int64()), "_file": pa.array(paths, pa.string())})))
-    return rows.join(files, "_file").select(*docs.columns, (F.shiftleft("_no", 40) + F.col("_at")).alias("_row"))
+    file, at, no = (free_name(docs, c) for c in ("_file", "_at", "_no"))
+    rows = located(docs, file, at)
+    paths = sorted(r[0] for r in rows.select(file).distinct().collect())
+    files = F.broadcast(docs.sparkSession.createDataFrame(pa.table({no: pa.array(range(len(paths)), pa.int64()), file: pa.array(paths, pa.string())})))
+    return rows.join(files, file).select(*columns_of(docs), (F.shiftleft(no, 40) + F.col(at)).alias(row))
 
 
 def filled(text: Column | str) -> Column:

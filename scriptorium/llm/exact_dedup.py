@@ -8,13 +8,13 @@ is then checked on its full bytes, which are fetched from there.
 
 from __future__ import annotations
 
-import uuid
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_files, filled, located, scratch_path, sized_join, squeezed, written
+from .common import as_files, filled, free_name, located, scratch_path, sized_join, squeezed, written
 
 #: State on disk; no space taken in advance for each store, and what a batch changed
 #: rather than whole files goes to the checkpoint.
@@ -27,20 +27,40 @@ STATE_CONF = {
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, code points, digest of the text without white space, content locator (file
-    and the row's place there) and row_key, one row per row of ``docs``, which are files'.
-    Row keys hash the locator and a mark of this call, so that a file which is given again
-    later has rows of its own."""
-    text, call = filled("text"), uuid.uuid4().hex
-    return located(docs).select(
+    and the row's place there) and row_key, a hash of the locator, one row per row of
+    ``docs``, which are files'."""
+    text = filled("text")
+    file, at = free_name(docs, "_file"), free_name(docs, "_at")
+    return located(docs, file, at).select(
         F.col("doc_id").cast("long"),
         F.length(text).cast("long").alias("n_points"),
         F.sha2(squeezed(text), 256).alias("text_sha256"),
-        F.col("_file").alias("file"),
-        F.col("_at").alias("at"),
-        F.xxhash64(F.lit(call), "_file", "_at").alias("row_key"),
+        F.col(file).alias("file"),
+        F.col(at).alias("at"),
+        F.xxhash64(file, at).alias("row_key"),
     )
 
 
+def _call_of(own: DataFrame) -> str:
+    """A name for the call that brings these fingerprints: a digest of the rows in any
+    order, so that a repeat has the same."""
+    sums = own.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), "doc_id", "n_points", "text_sha256").cast("decimal(38,0)")) for k in (1, 2)]).first()
+    return "c" + "_".join(str(v or 0).replace("-", "m") for v in sums)
+
+
+def _logged(own: DataFrame, log: str) -> DataFrame:
+    """``own`` in the log, row_key hashing the call too: as an earlier
+    attempt of the same call left them if that came to its end, else written in place of
+    what it left."""
+    spark, call = own.sparkSession, _call_of(own)
+    folder = f"{log.rstrip('/')}/call={call}"
+    rows = own.withColumn("row_key", F.xxhash64(F.lit(call), "file", "at"))
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def _best() -> F.Column:
     """Ordered so that the greatest has most code points, then the smallest doc_id
     (null last), then the smallest row key."""
@@ -88,7 +108,8 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
 def _contents(rows: DataFrame) -> DataFrame:
     """``rows`` (with file and at) and bytes: the text without white space that lies there."""
     spark = rows.sparkSession
-    files = [unquote(r["file"]) for r in rows.select("file").distinct().collect()]
+    # Names as they are, not as patterns.
+    files = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(r["file"])) for r in rows.select("file").distinct().collect()]
     if not files:
         return rows.withColumn("bytes", F.lit(""))
     texts = located(spark.read.schema("text string").parquet(*files)).select(squeezed(filled("text")).alias("bytes"), F.col("_file").alias("file"), F.col("_at").alias("at"))
@@ -114,17 +135,18 @@ def exact_dedup(docs: DataFrame, log: str | None = None, state: str | None = Non
 
     ``docs`` that are not read from files as they are get written first, so that each row
     has a locator. ``log`` and ``state`` name folders to go on with; by default both are
-    new ones in the shared folder. Rows of earlier calls come out again with those of this
+    new ones in the shared folder. A call that failed is repeated with the same rows and
+    folders, and takes up what it left; the same rows in any later call are that call again,
+    and not counted twice. Rows of earlier calls come out with those of this
     one, and their files must still be there: the bytes of each document of this call that
     hits a digest are compared with those of the digest's other documents of this call and
     of the one that stays, wherever it lies.
     """
     spark = docs.sparkSession
     log, state = log or scratch_path(spark, "fingerprints"), state or scratch_path(spark, "dedup-state")
-    own = written(fingerprints(as_files(docs, "doc_id", "text")), "fingerprints-new")
-    own.write.mode("append").parquet(log)
+    own = _logged(written(fingerprints(as_files(docs, "doc_id", "text")), "fingerprints-new"), log)
     update_state(spark, log, state, bytes_per_batch)
-    rows = spark.read.schema(own.schema).parquet(log)
+    rows = spark.read.schema(own.schema).parquet(log).select(*own.columns)
     hits = written(read_state(spark, state).filter("group_size > 1"), "dedup-hits")
     decided = sized_join(rows.drop("n_points"), hits.drop("keep_file", "keep_at"), ["text_sha256"], "left", 140)
     one = F.col("group_size").isNull()

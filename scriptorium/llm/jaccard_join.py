@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, numbered_rows, ship, sized_join, written
+from .common import by_bytes, free_name, numbered_rows, ship, sized_join, written
 
 #: Sets below this size are compared over the whole token space instead.
 SMALL = 64
@@ -234,8 +234,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs if row else numbered_rows(docs)
-    docs = docs.select(F.col(row or "_row").cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
+    place = row or free_name(docs, "_row")
+    docs = docs if row else numbered_rows(docs, place)
+    docs = docs.select(F.col(place).cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
     schema = "row long, doc_id long, n_shingles long, digest binary, large array<long>, beyond array<long>, small array<long>"
     signed = written(docs.mapInArrow(lambda b: _signatures(b, n, num, den), schema), "jaccard-signatures")
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filled, sized_join, words_of, written
+from .common import columns_of, filled, sized_join, words_of, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -90,11 +90,11 @@ def mix_rates(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
     """
     new = ("size", "source_size", "target", "copies")
     rows = _rated(docs, weights, cap, seed)
-    return rows.select(*[c for c in docs.columns if c not in new], *[F.col(f"_mix_{c}").alias(c) for c in new])
+    return rows.select(*columns_of(docs.drop(*new)), *[F.col(f"_mix_{c}").alias(c) for c in new])
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, with all their columns: each stands as often as it is
     taken. Nulls, repeated rows and empty input are as in ``mix_rates``."""
     rows = _rated(docs, weights, cap, seed).filter("_mix_copies > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*columns_of(docs))

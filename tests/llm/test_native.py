@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import exact_dedup as ed
@@ -11,6 +12,7 @@ from scriptorium.llm import line_frequency as lf
 from scriptorium.llm import line_runs as lr
 from scriptorium.llm import mixing as mx
 from scriptorium.llm.common import sized_join, written
+from scriptorium.llm.jaccard_join import jaccard_classes
 
 from .conftest import SCHEMA, edge_rows, text
 
@@ -75,6 +77,47 @@ def test_exact_dedup_over_several_batches(spark, tmp_path):
     assert Counter(got) == Counter(ed.exact_dedup(df).select(columns).collect())
 
 
+def test_a_failed_call_is_taken_up(spark, tmp_path, monkeypatch):
+    """Repeated with the same rows after a failure between the log and the state, or within
+    the log, it gives what one call gives; so does a call that is made twice."""
+    rows = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (3, "c"), (None, None)], "doc_id long, text string").repartition(2)
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    want = Counter(ed.exact_dedup(rows).select(columns).collect())
+    update = ed.update_state
+
+    def fails(*args):
+        raise RuntimeError("lost")
+
+    for k, broken in enumerate((False, True)):
+        log, state = f"file://{tmp_path}/log{k}", f"file://{tmp_path}/state{k}"
+        monkeypatch.setattr(ed, "update_state", fails)
+        with pytest.raises(RuntimeError):
+            ed.exact_dedup(rows, log, state)
+        monkeypatch.setattr(ed, "update_state", update)
+        if broken:
+            next((tmp_path / f"log{k}").glob("call=*/_SUCCESS")).unlink()
+        for _ in range(2):
+            assert Counter(ed.exact_dedup(rows, log, state).select(columns).collect()) == want
+    more = ed.exact_dedup(spark.createDataFrame([(9, "c ")], rows.schema), log, state)
+    assert Counter(r["group_size"] for r in more.collect()) == {2: 2, 3: 3, 1: 1}
+
+
+def test_locators_clash_with_no_column_format_or_path(spark, tmp_path):
+    """Columns named like a locator's, files of other formats, names that look like
+    patterns: through the operators that tell rows by their place."""
+    rows = spark.createDataFrame([(1, "a b c"), (2, "a  b c"), (3, "x"), (4, None)], "doc_id long, text string")
+    for name in ("_file", "_at", "_row", "_no", "_metadata", "__row", "file", "at", "row", "a.b"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    want = {(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)}
+    for kind, frame in (("parquet", rows), ("parquet", rows.drop("_metadata")), ("json", rows), ("orc", rows), ("csv", rows)):
+        path = f"{tmp_path}/x[1]{{a,b}} {kind}{len(frame.columns)}"
+        frame.coalesce(1).write.format(kind).option("header", True).save(path)
+        escaped = "".join("\\" + c if c in "[]{}," else c for c in path)
+        docs = spark.read.format(kind).schema(frame.schema).option("header", True).load(escaped)
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in ed.exact_dedup(docs).collect()} == want, kind
+        assert {(r["doc_id"], r["component_id"]) for r in jaccard_classes(docs).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}, kind
+
+
 def test_exact_dedup_checks_bytes(spark, monkeypatch, tmp_path):
     """With a digest that two texts share, decisions are made on the bytes, which are
     fetched by the locator, those of earlier calls too."""

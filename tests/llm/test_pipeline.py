@@ -113,7 +113,7 @@ def test_stages_decide_on_rows(spark, tmp_path):
 def test_pipeline_on_edge_tables(spark, edges, nothing, tmp_path):
     """Nulls in any column, long and empty texts, repeated rows, clashing columns; no rows."""
     for name, docs in (("edges", edges), ("nothing", nothing)):
-        docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("file", "at", "row", "doc", "p_toxic", "target"))})
+        docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("file", "at", "row", "doc", "p_toxic", "target", "_file", "_at", "_row", "_no", "_metadata", "a.b"))})
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(0, None, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
