@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import as_files, located, numbered_rows, sized_join, table, written
+from scriptorium.llm.common import as_files, columns_of, free_name, located, numbered_rows, sized_join, table, written
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import jaccard_classes
 from scriptorium.llm.mixing import mixed
@@ -13,36 +13,39 @@ from scriptorium.llm.packing import pack
 from scriptorium.llm.queries import TOXIC_AT, toxicity
 
 
-def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """``rows`` but for those whose _row is in ``dropped``."""
-    return sized_join(rows, written(dropped.select("_row"), name), ["_row"], "left_anti", 16).drop("_row")
+def _without(rows: DataFrame, row: str, dropped: DataFrame, name: str) -> DataFrame:
+    """``rows`` but for those whose ``row`` is in ``dropped``, without that column."""
+    return sized_join(rows, written(dropped.select(row), name), [row], "left_anti", 16).drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
-    rows = numbered_rows(docs)
-    rated = toxicity(docs, table(spark, sf_dir, "labels"), rows.select(F.col("_row").alias("doc_id"), "text"))
-    return _without(rows, rated.filter(F.col("p_toxic") >= TOXIC_AT).withColumnRenamed("doc_id", "_row"), "dropped-toxic")
+    row = free_name(docs, "_row")
+    rows = numbered_rows(docs, row)
+    rated = toxicity(docs, table(spark, sf_dir, "labels"), rows.select(F.col(row).alias("doc_id"), "text"))
+    return _without(rows, row, rated.filter(F.col("p_toxic") >= TOXIC_AT).select(F.col("doc_id").alias(row)), "dropped-toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts are equal but for white space one stays."""
     docs = as_files(docs)
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("at").alias("_at"))
-    return sized_join(located(docs), written(dropped, "dropped-copies"), ["_file", "_at"], "left_anti", 200).select(*docs.columns)
+    place = [free_name(docs, "_file"), free_name(docs, "_at")]
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(*[F.col(c).alias(n) for c, n in zip(("file", "at"), place, strict=True)])
+    return sized_join(located(docs, *place), written(dropped, "dropped-copies"), place, "left_anti", 200).select(*columns_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose five-word shingles link at 0.8 the one with the smallest doc_id (null
     last) stays, of several with that the first."""
-    rows = numbered_rows(docs)
-    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, num=80, den=100, row="doc_id")
+    row = free_name(docs, "_row")
+    rows = numbered_rows(docs, row)
+    classes = jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), n=5, num=80, den=100, row="doc_id")
     linked = written(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-copies")
     members = written(linked.unionByName(linked.select(F.col("component_id").alias("_row"), "component_id").distinct()), "near-members")
-    members = written(sized_join(rows.select("_row", "doc_id"), members, ["_row"], "inner", 24), "near-members")
+    members = written(sized_join(rows.select(F.col(row).alias("_row"), "doc_id"), members, ["_row"], "inner", 24), "near-members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row"))["_row"].alias("stays"))
     dropped = sized_join(members, written(best, "near-best"), ["component_id"], "inner", 24).filter("_row <> stays")
-    return _without(rows, dropped, "dropped-near-copies")
+    return _without(rows, row, dropped.select(F.col("_row").alias(row)), "dropped-near-copies")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
