@@ -76,7 +76,7 @@ def run_batch(urls: DataFrame, master: DataFrame, cache_path: str, recipients: l
     options = more.pop("fetch_options", {})
     doc_id = t.url_cache_key(F.col("url")).alias("doc_id")
     failed = fetch.fetch_missing(urls, cache_path, opener, **options).select(doc_id, "stage", "message")
-    scanned = kept(pdf.scan(fetch.cached(urls, cache_path).select(doc_id, "content").dropDuplicates(["doc_id"]), parser), "letters-scanned")
+    scanned = kept(pdf.scan(fetch.cached(urls, cache_path).select(doc_id, "content"), parser), "letters-scanned")
     text, cells = kept(pdf.page_text(scanned), "letters-text"), kept(pdf.cells(scanned), "letters-cells")
     batch = run_letters(text, cells, master, profile, **more)
     names = slugs(urls.select(doc_id, "url").dropDuplicates(["doc_id"]))

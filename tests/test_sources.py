@@ -61,6 +61,51 @@ def test_fetch_and_cache(spark, tmp_path):
     assert fetch.fetch_missing(urls, path, never, pause=lambda s: None).count() == 1
 
 
+def test_cache_of_runs_at_the_same_time(spark, tmp_path):
+    """Both miss a letter and add it; the first entry counts, in every later read, and
+    an unfinished run is not seen."""
+    path = str(tmp_path / "cache")
+    urls = spark.createDataFrame([("http://a/1",), ("http://a/2",), ("http://a/2",)], "url string")
+
+    def slow(url):  # while this run fetches, another begins and ends
+        return b"late"
+
+    cache = fetch.cache_table(spark, path)
+    missed = fetch.cache_misses(urls, cache).collect()
+    assert len(missed) == 2
+    assert fetch.fetch_missing(urls, path, lambda url: b"early").count() == 0
+    fetch.add_to_cache(spark.createDataFrame([(r["key"], r["url"], bytearray(slow(r["url"]))) for r in missed], "key string, url string, content binary"), path)
+    (tmp_path / "cache" / "run=lost" / "_temporary" / "0").mkdir(parents=True)
+    assert fetch.cache_table(spark, path).count() == 4
+    assert sorted((r["url"], bytes(r["content"])) for r in fetch.cached(urls, path).collect()) == [("http://a/1", b"early"), ("http://a/2", b"early")]
+    assert fetch.cache_misses(urls, fetch.cache_table(spark, path)).isEmpty()
+
+
+def test_the_cache_stays_where_it_lies(spark, tmp_path):
+    """No exchange above a scan of the cache, neither for what misses nor for what is read."""
+    path = str(tmp_path / "cache")
+    urls = spark.createDataFrame([(f"http://a/{k}",) for k in range(50)], "url string")
+    fetch.fetch_missing(urls, path, str.encode)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (fetch.cache_misses(urls, fetch.cache_table(spark, path)), fetch.cached(urls, path)):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+            scans = [k for k, x in enumerate(lines) if "FileScan parquet" in x]
+            assert scans
+            for k in scans:
+                above, now = [], depth(lines[k])
+                for x in reversed(lines[:k]):
+                    if depth(x) < now:
+                        above.append(x)
+                        now = depth(x)
+                joins = [n for n, x in enumerate(above) if "Join" in x]
+                assert not any("Exchange" in x for x in above[: joins[0]]), "\n".join(lines)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pdf_scan(spark):
     def parser(content):
         if content != b"ok":
