@@ -56,6 +56,28 @@ def ask(client: Client, text: str, schema: dict, attempts: int = 5, pause: Calla
     return answer
 
 
+def checked_answers(answers: DataFrame, wanted: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(values, errors) of answers (with a column answer, JSON text; other columns stay).
+    values has m, a map with just the wanted names; errors has message. An answer must be an
+    object with these names, each once, no others, and text under each."""
+    names = F.array(*map(F.lit, wanted))
+    keys, whole = F.json_object_keys("answer"), F.try_parse_json("answer")
+    listed = lambda what, xs: F.when(F.size(xs) > 0, F.concat(F.lit(what), F.array_join(xs, ", ")))
+    told = [F.when(F.schema_of_variant(F.try_element_at("_typed", F.lit(name))) != "STRING", F.lit(name)) for name in wanted]
+    again = F.filter(F.array_distinct("_keys"), lambda k: F.size(F.filter("_keys", lambda x: x == k)) > 1)
+    fault = F.coalesce(
+        listed("repeated: ", again),
+        F.when(F.col("_whole").isNull(), "no JSON"),
+        F.when(F.col("_keys").isNull(), "no object"),
+        listed("missing: ", F.array_except(names, F.col("_keys"))),
+        listed("unknown: ", F.array_except(F.col("_keys"), names)),
+        listed("no text: ", F.array_compact(F.array(*told))),
+    )
+    rows = answers.withColumns({"_keys": keys, "_whole": whole, "_typed": F.from_json("answer", "map<string,variant>")}).withColumn("message", fault).drop("_keys", "_whole", "_typed")
+    values = rows.filter("message IS NULL").withColumn("m", F.from_json("answer", "map<string,string>")).drop("message")
+    return values, rows.filter("message IS NOT NULL")
+
+
 def model_fields(text: DataFrame, profile: Profile, client: Client, cache_path: str | None = None, attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
     """(long fields, errors) from text(doc_id, readable). Answers are kept by the prompt's
     hash at ``cache_path``, so that a rerun asks, and pays, only for what is new; equal
@@ -91,7 +113,8 @@ def model_fields(text: DataFrame, profile: Profile, client: Client, cache_path:
         answers = spark.read.parquet(cache_path)
     else:
         answers = got.filter("answer IS NOT NULL").select("key", "answer")
-    parsed = asked.select("doc_id", "key").join(answers, "key").withColumn("m", F.from_json("answer", "map<string,string>"))
+    parsed, unfit = checked_answers(asked.select("doc_id", "key").join(answers, "key"), profile.fields)
     entries = F.array(*[F.struct(F.lit(k).alias("field_no"), F.lit(f).alias("field"), F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias("value")) for k, f in enumerate(profile.fields)])
     errors = asked.select("doc_id", "key").join(got.filter("error IS NOT NULL"), "key").select("doc_id", F.lit("model").alias("stage"), F.col("error").alias("message"))
+    errors = errors.unionByName(unfit.select("doc_id", F.lit("model").alias("stage"), "message"))
     return parsed.select("doc_id", F.lit("llm").alias("method"), F.inline(entries)), errors

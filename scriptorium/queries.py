@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions.bidi import display_order
-from .operators import compare, fields, layout, match, pages, tables
+from .operators import compare, fields, layout, match, model_fields, pages, schedule, tables
 from .plans.letters import run_batch
 from .plans.report import letterhead_rows
 from .plans.report import report_rows as report
 from .profile import LATIN
+from .sources.master import in_file_order, master_table
 from .sources.stage import kept, shared_folder
 
 
@@ -95,6 +96,48 @@ def cache_misses(spark, sf_dir):
     return match.cache_misses(urls, cache)
 
 
+@query("""SELECT lpad((p_partkey % 500)::VARCHAR, 6, '0') AS code, arg_max(p_name, file_order) AS name
+    FROM (SELECT *, row_number() OVER () AS file_order FROM part) GROUP BY p_partkey % 500""")
+def master_order(spark, sf_dir):
+    """Of a code's rows the last in the file."""
+    rows = in_file_order(table(spark, sf_dir, "part"), "place")
+    return master_table(rows.withColumn("key", F.col("p_partkey") % 500), "key", "p_name", "place")[0]
+
+
+# Asking a model: prompts made from documents, answers from events
+
+
+@query(f"""WITH q AS (
+        SELECT doc_id, 1 AS attempt, (least(length(coalesce(text, '')), 20000) * 42 + 99) // 100 AS tokens FROM documents
+        UNION ALL SELECT doc_id, 2, (least(length(coalesce(text, '')), 20000) * 42 + 99) // 100 FROM documents WHERE doc_id % 10 = 3
+        UNION ALL SELECT doc_id, 3, (least(length(coalesce(text, '')), 20000) * 42 + 99) // 100 FROM documents WHERE doc_id % 50 = 3),
+    b AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY attempt, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+    SELECT doc_id, attempt::BIGINT AS attempt, tokens::BIGINT AS tokens, before::BIGINT AS before, (before // {schedule.BUDGET - 8400})::BIGINT AS minute FROM b""")
+def token_minutes(spark, sf_dir):
+    """A tenth of the letters have to be asked again, a fifth of these once more."""
+    first = table(spark, sf_dir, "documents").select("doc_id", schedule.tokens_of(t.cap_text(F.coalesce("text", F.lit("")), 20000)).alias("tokens"))
+    again = F.expr("CASE WHEN doc_id % 50 = 3 THEN 3 WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END")
+    queue = first.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), again.cast("long"))).alias("attempt"), "tokens")
+    return schedule.minutes(queue, 8400)
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 1 THEN 'missing: user' WHEN 2 THEN 'unknown: more' WHEN 3 THEN 'no text: user' WHEN 4 THEN 'repeated: type' WHEN 5 THEN 'no JSON'
+        WHEN 6 THEN 'no object' WHEN 7 THEN 'no text: it''s "k"' WHEN 8 THEN 'no JSON' END AS message,
+        CASE WHEN event_id % 9 = 0 THEN event_type || ' ' || user_id || ' ' || props END AS value FROM events""")
+def strict_answers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = lambda k, v: F.concat(F.lit(f'"{k}": '), F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
+    kind, user, more = text("type", F.col("event_type")), text("user", F.col("user_id").cast("string")), text('it\'s \\"k\\"', F.col("props"))
+    body = lambda *parts: F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    user_no, more_null = F.concat(F.lit('"user": '), F.col("user_id").cast("string")), F.lit('"it\'s \\"k\\"": null')
+    forms = [body(kind, user, more), body(kind, more), body(kind, user, more, F.lit('"more": []')), body(kind, user_no, more), body(kind, user, more, kind),
+        F.concat(F.lit("{"), kind), F.lit("[1, 2]"), body(kind, user, more_null), F.lit("")]
+    answers = e.select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 9 + 1).cast("int")).alias("answer"))
+    values, errors = model_fields.checked_answers(answers, ("type", "user", 'it\'s "k"'))
+    value = F.concat_ws(" ", *[F.col("m")[k] for k in ("type", "user", 'it\'s "k"')])
+    return errors.select("event_id", "message", F.lit(None).cast("string").alias("value")).unionByName(values.select("event_id", F.lit(None).cast("string").alias("message"), value.alias("value")))
+
+
 # Scalars
 
 

@@ -135,6 +135,23 @@ def test_master(spark, tmp_path):
         master.load_master(spark, str(tmp_path / "none.xlsx"))
 
 
+def test_master_of_several_files_in_any_pieces(spark, tmp_path):
+    """The last row wins, by file name and place, though files are cut into small pieces
+    and large ones are read first."""
+    rows = [[(k % 40, f"{f}-{k}") for k in range(n)] for f, n in enumerate((30, 900, 35))]
+    for f, own in enumerate(rows):
+        (tmp_path / f"m{f}.csv").write_text(f"{master.KEY},{master.NAME}\n" + "".join(f"{a},{b}\n" for a, b in own))
+    want = {str(a).zfill(6): b for own in rows for a, b in own}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            good, bad = master.load_master(spark, f"{tmp_path}/*.csv")
+            assert {r["code"]: r["name"] for r in good.collect()} == want and bad.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_config(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"mailing_list": [], "notifier": {"email": "a@b.example", "password": "hunter2"}, "programs": [{"key": "1", "name": "a"}, {"key": "1", "name": "b"}]}))
