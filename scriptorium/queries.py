@@ -17,7 +17,7 @@ from .functions import text as t
 from .functions.bidi import display_order
 from .operators import compare, fields, layout, match, model_fields, pages, schedule, tables
 from .plans.letters import run_batch
-from .plans.report import letterhead_rows
+from .plans.report import comparison_rows, letterhead_rows
 from .plans.report import report_rows as report
 from .profile import LATIN
 from .sources.master import in_file_order, master_table
@@ -623,6 +623,16 @@ def match_tally(spark, sf_dir):
     return compare.match_tally(compare.field_comparison(*_two_methods(spark, sf_dir)))
 
 
+@query(f"""WITH w AS ({_WIDE}), long AS ({_LONG}),
+    c AS (SELECT doc_id, field, value AS parse, CASE WHEN field = 'gist' AND doc_id % 5 = 0 THEN '' WHEN field = 'date' AND doc_id % 2 = 0 THEN reverse(value)
+            WHEN field = 'manpower' THEN 'maybe' ELSE '  ' || replace(value, ' ', chr(10) || ' ') || ' ' END AS llm,
+        NOT (field = 'manpower' OR (field = 'gist' AND doc_id % 5 = 0)) AS matched FROM long)
+    SELECT doc_id, field AS label, llm || ' | ' || parse AS value, matched FROM c
+    UNION ALL SELECT doc_id, '', count(*) FILTER (matched) || ' of ' || count(*), bool_and(matched) FROM c GROUP BY doc_id""")
+def comparison_report(spark, sf_dir):
+    return comparison_rows(compare.field_comparison(*_two_methods(spark, sf_dir)))
+
+
 _HISTORY = """SELECT o_orderkey AS doc_id, 'history', r::BIGINT, CASE WHEN r = 0 THEN 'code' ELSE lpad(o_custkey::VARCHAR, 6, '0') END,
         CASE WHEN r = 0 THEN 'year 3 | year 2 | year 1 | code' ELSE 'none | -' || format('{:,}', floor(o_totalprice)::BIGINT) || ' | ' || format('{:,}', floor(o_totalprice)::BIGINT * r) || ' | ' || lpad(o_custkey::VARCHAR, 6, '0') END
     FROM orders, range(0, 3) x(r)"""
