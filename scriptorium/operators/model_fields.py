@@ -26,15 +26,26 @@ def answer_schema(profile: Profile) -> dict:
     return {"type": "object", "properties": {f: {"type": "string"} for f in profile.fields}, "required": list(profile.fields), "additionalProperties": False}
 
 
-def prompt(text: F.Column, profile: Profile) -> F.Column:
-    """Numbers put right, the letter cut at the input cap, the rules in front."""
-    rules = (
-        f"Extract these fields from the budget request letter below: {', '.join(profile.fields)}.\n"
-        f"A field that the letter does not hold is an empty string. The first field is the date after '{profile.date_label}' as DD/MM/YYYY. "
-        f"Request numbers look like NNN-NN, joined by commas, followed by ' | {profile.committee_label}: ' and the committee's number. "
-        f"The last two fields are '{profile.yes}' or '{profile.no}'.\n\n"
+def rules_of(profile: Profile) -> dict[str, str]:
+    """What to give for each field; links to decisions are found by rule."""
+    either = f"just '{profile.yes}' or '{profile.no}'"
+    told = (
+        f"the date after '{profile.date_label}' on the pages with tables, as DD/MM/YYYY",
+        f"the numbers alone (NNN-NN) of all requests, joined by commas, without '{profile.request_label}', then ' | {profile.committee_label}: ' and the committee's number",
+        f"the six-digit codes of the programmes that head a paragraph in the part that begins with '{profile.breakdown_starts[0]}', all of them, joined by commas; none from tables",
+        f"the short paragraph after '{profile.gist[0]}', and no more",
+        f"the whole text after '{profile.breakdown_starts[0]}', with the headings of programmes and what is said of them",
+        "an empty string",
+        f"{either}, by what the letter says outright; a letter that says it holds no such funds is '{profile.no}'",
+        either,
     )
-    return F.concat(F.lit(rules), t.cap_text(t.unreverse_numbers(F.coalesce(text, F.lit(""))), profile.input_cap))
+    return dict(zip(profile.fields, told, strict=True))
+
+
+def prompt(text: F.Column, profile: Profile) -> F.Column:
+    """Numbers put right, the letter cut at the input cap, a rule for each field in front."""
+    rules = "Extract these fields from the budget request letter below. A field that the letter does not hold is an empty string.\n" + "".join(f"- {field}: {rule}.\n" for field, rule in rules_of(profile).items())
+    return F.concat(F.lit(rules + "\n"), t.cap_text(t.unreverse_numbers(F.coalesce(text, F.lit(""))), profile.input_cap))
 
 
 def ask(client: Client, text: str, schema: dict, attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> dict[str, str]:

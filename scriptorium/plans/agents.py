@@ -17,8 +17,9 @@ class Agent(Protocol):
     name: str
     method: str
 
-    def extract(self, text: DataFrame) -> DataFrame:
-        """Long fields from text(doc_id, raw, readable)."""
+    def extract(self, text: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Long fields from text(doc_id, raw, readable), and doc_id, stage, message of what
+        went wrong."""
         ...
 
     def render(self, rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ class RuleAgent:
     name: str = "rules"
     method: str = "parse"
 
-    def extract(self, text: DataFrame) -> DataFrame:
-        return fields.fields_long(fields.request_fields(text, self.profile), self.profile, self.method)
+    def extract(self, text: DataFrame) -> tuple[DataFrame, DataFrame]:
+        none = text.sparkSession.createDataFrame([], "doc_id string, stage string, message string")
+        return fields.fields_long(fields.request_fields(text, self.profile), self.profile, self.method), none
 
     def render(self, rows: DataFrame, names: DataFrame) -> DataFrame:
         return render_html(rows, names, self.method)
@@ -47,9 +49,9 @@ class ModelAgent:
     name: str = "model"
     method: str = "llm"
 
-    def extract(self, text: DataFrame) -> DataFrame:
-        found, _ = model_fields(text, self.profile, self.client, self.answers)
-        return fields.with_links(found, text, self.profile)
+    def extract(self, text: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found, errors = model_fields(text, self.profile, self.client, self.answers)
+        return fields.with_links(found, text, self.profile), errors
 
     def render(self, rows: DataFrame, names: DataFrame) -> DataFrame:
         return render_html(rows, names, self.method)

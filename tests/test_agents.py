@@ -2,7 +2,7 @@ import json
 
 from scriptorium.operators.compare import field_comparison
 from scriptorium.plans.agents import ModelAgent, RuleAgent
-from scriptorium.plans.report import comparison_rows, mirrored, render_comparison
+from scriptorium.plans.report import comparison_rows, mirrored, render_comparison, render_html
 from scriptorium.profile import LATIN
 
 
@@ -10,7 +10,9 @@ def test_two_agents_side_by_side(spark):
     text = spark.createDataFrame([("a", "http://x/dec1.", "Gist: pay <1> Regards\nchange in manpower")], "doc_id string, raw string, readable string")
     rules = RuleAgent(LATIN)
     model = ModelAgent(lambda prompt, schema: json.dumps({k: "pay <1>" if k == "gist" else "no" for k in schema["required"]}), LATIN)
-    pair = field_comparison(rules.extract(text), model.extract(text))
+    (one, none), (two, errors) = rules.extract(text), model.extract(text)
+    assert none.isEmpty() and errors.isEmpty()
+    pair = field_comparison(one, two)
     assert {r["field"] for r in pair.filter("matched").collect()} == {"gist", "links", "coalition"}
     rows = comparison_rows(pair)
     assert rows.count() == 9 and rows.filter("label = ''").first()["value"] == "3 of 8"
@@ -18,3 +20,23 @@ def test_two_agents_side_by_side(spark):
     page = render_comparison(pair, names).first()
     assert page["file"] == "7_a_comparison.html" and "pay &lt;1&gt; | pay &lt;1&gt;" in page["html"]
     assert mirrored(rows).columns == ["matched", "value", "label", "doc_id"]
+
+
+def test_a_model_that_answers_amiss_leaves_errors(spark):
+    text = spark.createDataFrame([("a", "", "one"), ("b", "", "two")], "doc_id string, raw string, readable string")
+
+    def client(prompt, schema):
+        assert all(f"- {field}: " in prompt for field in schema["required"])
+        return json.dumps(dict.fromkeys(schema["required"], "v") if prompt.endswith("one") else {"date": 1})
+
+    found, errors = ModelAgent(client, LATIN).extract(text)
+    assert {r["doc_id"] for r in found.filter("value = 'v'").collect()} == {"a"}
+    assert [(r["doc_id"], r["stage"]) for r in errors.collect()] == [("b", "model")]
+
+
+def test_pages_for_readers_without_bidi(spark):
+    rows = spark.createDataFrame([("a", "field", 0, "תאריך", "אב 12 (x)")], "doc_id string, section string, row_no int, label string, value string")
+    names = spark.createDataFrame([("a", "7")], "doc_id string, slug string")
+    page = render_html(rows, names, visual=True).first()["html"]
+    assert "ךיראת" in page and "(x) 12 בא" in page and "bidi-override" in page
+    assert "תאריך" in render_html(rows, names).first()["html"]
