@@ -1,0 +1,104 @@
+import datetime
+import itertools
+import json
+import random
+
+import pytest
+
+from scriptorium.operators import pages
+from scriptorium.profile import LATIN
+from scriptorium.sources import rest
+from scriptorium.streaming.pages import SCHEMA, stream_letters
+
+START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+
+
+def page(doc, no, of, text, minute=0):
+    return doc, no, of, text, START + datetime.timedelta(minutes=minute)
+
+
+def arrive(spark, folder, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run(spark, tmp_path, **more):
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream_letters(spark, source, sink, state, "total", LATIN, 1, **more).awaitTermination()
+    schema = "doc_id string, complete boolean, raw string, readable string, header_pages long, first_page int"
+    return {r["doc_id"]: r for r in spark.read.schema(schema).parquet(sink).collect()}, spark.read.schema(schema).parquet(sink).count()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_order_of_pages_gives_the_batch(spark, tmp_path, seed):
+    r = random.Random(seed)
+    marker = LATIN.page_marker[::-1]
+    text = lambda: r.choice((None, "", "x\ny", "latot 5", marker, f"a\n{marker}\nlatot"))
+    rows = [page(f"d{d}", no, n, text()) for d, n in enumerate((1, 2, 3, 5, 1)) for no in range(n)]
+    r.shuffle(rows)
+    for part in itertools.batched(rows, 4):
+        arrive(spark, str(tmp_path / "in"), list(part))
+    got, n = run(spark, tmp_path)
+    assert n == len(got) == 5 and all(x["complete"] for x in got.values())
+    batch = spark.createDataFrame(rows, SCHEMA)
+    assert {d: (x["raw"], x["readable"]) for d, x in got.items()} == {x["doc_id"]: (x["raw"], x["readable"]) for x in pages.document_text(batch).collect()}
+    assert {(d, x["first_page"]) for d, x in got.items() if x["first_page"] is not None} == {(x["doc_id"], x["page_no"]) for x in pages.first_page_with(batch, "total").collect()}
+    assert sum(x["header_pages"] for x in got.values()) == pages.header_pages(batch, LATIN).count()
+
+
+def test_late_repeated_and_lost_pages(spark, tmp_path):
+    source = str(tmp_path / "in")
+    arrive(spark, source, [page("whole", 0, 2, "a"), page("lost", 0, 2, "b"), page(None, 0, 1, "c"), page("whole", None, 2, "c"), page("unknown", 0, None, "u")])
+    got, n = run(spark, tmp_path, hold_s=3600, late="10 minutes")
+    assert n == 0
+    arrive(spark, source, [page("whole", 1, 2, "z", 5)])
+    got, n = run(spark, tmp_path, hold_s=3600, late="10 minutes")
+    assert n == 1 and got["whole"]["raw"] == "a\nz" and got["whole"]["complete"]
+    # A repeat releases nothing; the hold of the others ends; what is late is dropped.
+    arrive(spark, source, [page("whole", 1, 2, "other", 6), page("new", 0, 2, "n", 200)])
+    run(spark, tmp_path, hold_s=3600, late="10 minutes")
+    arrive(spark, source, [page("lost", 1, 2, "late", 20), page("new", 1, 2, "m", 201)])
+    got, n = run(spark, tmp_path, hold_s=3600, late="10 minutes")
+    assert {d: (x["raw"], x["complete"]) for d, x in got.items()} == {"whole": ("a\nz", True), "lost": ("b", False), "unknown": ("u", False), "new": ("n\nm", True)}
+    assert n == 4
+
+
+def test_last_page():
+    for n, size in itertools.product((0, 1, 2, 3, 7, 8, 9, 100), (1, 5)):
+        asked = []
+
+        def transport(url, body):
+            asked.append(body["PageNumber"])
+            return [{}] * size if body["PageNumber"] <= n else []
+
+        assert rest.last_page(transport, "u", 1) == ((n, size) if n else (1, 0))
+        assert len(asked) == len(set(asked)) <= 16
+
+
+def test_listing_as_a_stream(spark, tmp_path):
+    """Items are added to the last page and after it; a batch that fails is read again;
+    each letter comes once."""
+    listing = tmp_path / "listing.json"
+
+    def transport(url, body):
+        return json.loads(listing.read_text()).get(str(body["PageNumber"]), [])
+
+    def listed(*sizes):
+        listing.write_text(json.dumps({k: [{"ReportUrl": f"{k}/{i}"} for i in range(n)] for k, n in enumerate(sizes, 1)}))
+
+    def go(fails=False):
+        rows = rest.stream_reports(spark, "http://x", transport)
+        if fails:
+            rows = rows.selectExpr("page_number", "if(page_number = 3, raise_error('killed'), ReportUrl) as ReportUrl")
+        rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return sorted(r["ReportUrl"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    every = lambda *sizes: sorted(f"{k}/{i}" for k, n in enumerate(sizes, 1) for i in range(n))
+    listed(3, 1)
+    assert go() == every(3, 1)
+    assert go() == every(3, 1)
+    listed(3, 3, 2)
+    with pytest.raises(Exception, match="killed"):
+        go(fails=True)
+    listed(3, 3, 3, 1)  # more has come since the batch was planned
+    go()
+    assert go() == every(3, 3, 3, 1)
