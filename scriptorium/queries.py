@@ -22,6 +22,7 @@ from .plans.report import report_rows as report
 from .profile import LATIN
 from .sources.master import in_file_order, master_table
 from .sources.stage import kept, shared_folder
+from .streaming.pages import stream_letters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -294,6 +295,24 @@ def first_matching_page(spark, sf_dir):
     return pages.first_page_with(_pages(spark, sf_dir), " a ").select("doc_id", "page_no")
 
 
+@query("""SELECT conv_id::VARCHAR AS doc_id, true AS complete,
+        md5(string_agg(array_to_string(list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: reverse(x)), chr(10))
+        || CASE WHEN turn % 3 = 1 THEN chr(10) || reverse('Budget  Office  -  Letters') ELSE '' END, chr(10) ORDER BY turn)) AS raw,
+        count(*) FILTER (turn % 3 = 1) AS header_pages, min(turn) FILTER (contains(text, ' a ')) AS first_page
+    FROM conversations GROUP BY conv_id""")
+def arriving_letters(spark, sf_dir):
+    """Pages in files that mix letters, taken a few at a time, give what a batch gives."""
+    own = _pages(spark, sf_dir).withColumn("n_pages", F.count(F.lit(1)).over(W.partitionBy("doc_id")).cast("int"))
+    arrived = F.timestamp_seconds(1700000000 + F.col("page_no") % 600)
+    arriving = own.select(F.col("doc_id").cast("string"), F.col("page_no").cast("int"), "n_pages", "raw_text", arrived.alias("arrived"))
+    base = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    files = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    arriving.repartition(files, F.xxhash64("doc_id", "page_no")).write.parquet(f"{base}/pages")
+    stream_letters(spark, f"{base}/pages", f"{base}/letters", f"{base}/state", " a ", LATIN, files // 3).awaitTermination()
+    rows = spark.read.schema("doc_id string, complete boolean, raw string, header_pages long, first_page int").parquet(f"{base}/letters/batch=*")
+    return rows.withColumn("raw", F.md5("raw"))
+
+
 # Cells: an order is a letter with two tables
 
 
