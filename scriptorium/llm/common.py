@@ -94,15 +94,53 @@ def located(docs: DataFrame, file: str = "_file", at: str = "_at") -> DataFrame:
     return docs.select(*columns_of(docs), place["file_path"].alias(file), place["row_index"].alias(at))
 
 
+def file_numbers(docs: DataFrame, no: str, file: str) -> DataFrame:
+    """The names of the files that ``docs`` is read from, numbered in their order; to be
+    broadcast, as a file listing is held whole by any reader."""
+    paths = sorted(r[0] for r in docs.select(docs.metadataColumn("_metadata")["file_path"].alias(file)).distinct().collect())
+    return F.broadcast(docs.sparkSession.createDataFrame(pa.table({no: pa.array(range(len(paths)), pa.int64()), file: pa.array(paths, pa.string())})))
+
+
 def numbered_rows(docs: DataFrame, row: str = "_row") -> DataFrame:
     """``docs`` with ``row``, a free name: a number for each row that no other has, from its
     place in its file. Anything but Parquet files as they are read is written first."""
     docs = as_files(docs)
     file, at, no = (free_name(docs, c) for c in ("_file", "_at", "_no"))
     rows = located(docs, file, at)
-    paths = sorted(r[0] for r in rows.select(file).distinct().collect())
-    files = F.broadcast(docs.sparkSession.createDataFrame(pa.table({no: pa.array(range(len(paths)), pa.int64()), file: pa.array(paths, pa.string())})))
-    return rows.join(files, file).select(*columns_of(docs), (F.shiftleft(no, 40) + F.col(at)).alias(row))
+    return rows.join(file_numbers(docs, no, file), file).select(*columns_of(docs), (F.shiftleft(no, 40) + F.col(at)).alias(row))
+
+
+def at_places(docs: DataFrame, decisions: DataFrame, how: str, width: int, file: str = "file", at: str = "at", only: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of Parquet files, as they are read, with what a written table says of some of
+    them: both joined by ``file`` and ``at``, names that ``docs`` lacks, which stay. ``only``
+    names the columns of ``docs`` to read.
+
+    Texts stay where they lie. Decisions of up to ``limit`` bytes (rows times ``width``) are
+    broadcast whole. Beyond that, files are taken in rounds by the order of their names, as
+    many as have decisions within the limit, and a round's rows are written before the next
+    one; only a file that has more by itself is shuffled, alone."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    rows = located(docs, file, at)
+    if only is not None:
+        rows = rows.select(*only, file, at)
+    if decisions.count() * width <= limit:
+        return rows.join(F.broadcast(decisions), [file, at], how)
+    decisions = written(decisions.repartitionByRange(file).sortWithinPartitions(file), "decisions")
+    ends, held = [], 0
+    for name, n in sorted(decisions.groupBy(file).count().collect()):
+        if held and (held + n) * width > limit:
+            ends.append(before)
+            held = 0
+        held, before = held + n, name
+    path = scratch_path(docs.sparkSession, "rounds")
+    for low, high in itertools.pairwise([None, *ends, None]):
+        within = F.lit(True)
+        if low is not None:
+            within &= F.col(file) > low
+        if high is not None:
+            within &= F.col(file) <= high
+        out = written(sized_join(rows.filter(within), decisions.filter(within), [file, at], how, width, limit), "rounds", path)
+    return out
 
 
 def filled(text: Column | str) -> Column:

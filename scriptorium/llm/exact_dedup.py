@@ -14,7 +14,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_files, filled, free_name, located, scratch_path, sized_join, squeezed, written
+from .common import as_files, at_places, filled, free_name, located, scratch_path, sized_join, squeezed, written
 
 #: State on disk; no space taken in advance for each store, and what a batch changed
 #: rather than whole files goes to the checkpoint.
@@ -112,8 +112,8 @@ def _contents(rows: DataFrame) -> DataFrame:
     files = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(r["file"])) for r in rows.select("file").distinct().collect()]
     if not files:
         return rows.withColumn("bytes", F.lit(""))
-    texts = located(spark.read.schema("text string").parquet(*files)).select(squeezed(filled("text")).alias("bytes"), F.col("_file").alias("file"), F.col("_at").alias("at"))
-    return sized_join(texts, rows, ["file", "at"], "inner", 250)
+    texts = at_places(spark.read.schema("text string").parquet(*files), rows, "inner", 250)
+    return texts.select(squeezed(filled("text")).alias("bytes"), *rows.columns)
 
 
 def _collided(hits: DataFrame) -> DataFrame:

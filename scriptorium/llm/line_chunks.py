@@ -7,10 +7,12 @@ more than once in the corpus are compared byte by byte and removed but for the f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, filled, let, sized_join, written
+from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, located, sized_join, written
 
 #: Factors of the hashes of this line and those before it, and a prime that their sum is
 #: taken modulo, so that every bit of every line counts.
@@ -47,35 +49,36 @@ def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
     return let(F.split(filled(text), "\n"), lambda lines: let(F.transform(lines, line_hash), lambda h: let(ends(h), lambda e: cut(lines, e))))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """_chunk_key: doc_id and a hash of the text, so that a null doc_id, or one with several
-    texts, still tells documents apart."""
-    return docs.withColumn("_chunk_key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(filled("text")).alias("hash")))
-
+def repeated_parts(docs: DataFrame, parts: Callable[[Column], Column]) -> DataFrame:
+    """file, at, key, no and the other fields but body, of parts of texts (an array of
+    struct(no, ..., body)) that occur more than once, byte by byte; ``first`` is the least
+    (key, no) of those equal. ``docs`` are Parquet files as they are read.
 
-def _occurrences(docs: DataFrame, divisor: int) -> DataFrame:
-    rows = docs.select(F.col("_chunk_key").alias("key"), F.explode(F.filter(chunks_of(F.col("text"), divisor), lambda c: c["multi"])).alias("c"))
-    return rows.select("key", "c.no", "c.n_lines", "c.body", F.unhex(F.md5("c.body")).alias("h"))
+    ``key`` is doc_id and a hash of the text, so that a null doc_id, or one with several
+    texts, still tells documents apart. Bodies are hashed where they lie; those of hashes
+    that repeat are fetched by their texts' places and compared. Nothing else moves a text."""
+    file, at = free_name(docs, "_file"), free_name(docs, "_at")
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(filled("text")).alias("hash")).alias("key")
 
+    def exploded(rows: DataFrame, file: str, at: str, array: Column) -> DataFrame:
+        rows = rows.select(key, F.col(file).alias("file"), F.col(at).alias("at"), F.explode(array).alias("p"))
+        return rows.select("key", "file", "at", "p.*").withColumn("h", F.unhex(F.md5("body")))
 
-def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """key, gone (numbers of chunks to remove), gone_lines for documents that lose some."""
-    keyed = _keyed(docs.select("doc_id", "text"))
-    marks = written(_occurrences(keyed, divisor).drop("body"), "chunk-marks")
+    marks = written(exploded(located(docs, file, at), file, at, parts(F.col("text"))).drop("body"), "part-marks")
     place = F.struct("key", "no")
-    again = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "chunks-again")
-    # Byte comparison: all bodies of a hash are equal just when the least equals the greatest.
-    bodies = sized_join(_occurrences(keyed, divisor), again.select("h"), ["h"], "left_semi", 40)
+    again = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "parts-again")
+    hits = written(sized_join(marks, again, ["h"], "inner", 100), "part-hits")
+    held = written(hits.groupBy(F.col("file").alias(file), F.col("at").alias(at)).agg(F.collect_set("no").alias("_nos")), "part-places")
+    texts = at_places(docs, held, "inner", 300, file, at, ["doc_id", "text"])
+    bodies = exploded(texts, file, at, F.filter(parts(F.col("text")), lambda p: F.array_contains("_nos", p["no"])))
+    # All bodies of a hash are equal just when the least equals the greatest.
     compared = bodies.groupBy("h").agg((F.min("body") == F.max("body")).alias("equal"))
-    unequal = written(compared.filter(~F.col("equal")).select("h"), "chunks-unequal")
-    gone = sized_join(marks, again, ["h"], "inner", 100)
-    if not unequal.isEmpty():
-        gone = gone.join(unequal, "h", "left_anti")
-        own = bodies.join(unequal, "h", "left_semi")
-        own = own.join(own.groupBy("h", "body").agg(F.min(place).alias("first")), ["h", "body"])
-        gone = gone.unionByName(own.select(*gone.columns))
-    gone = gone.filter((F.struct("key", "no") != F.col("first")))
-    return gone.groupBy("key").agg(F.collect_set("no").alias("gone"), F.sum("n_lines").cast("long").alias("gone_lines"))
+    unequal = written(compared.filter(~F.col("equal")).select("h"), "parts-unequal")
+    if unequal.isEmpty():
+        return hits
+    own = bodies.join(unequal, "h", "left_semi")
+    own = own.join(own.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), ["h", "body"])
+    return hits.join(unequal, "h", "left_anti").unionByName(own.select(*hits.columns))
 
 
 def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
@@ -87,17 +90,21 @@ def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     stays (null first), within a document the first. Rows that repeat both doc_id and
     text are one document and keep or lose a chunk together. A null text stays null with
     one empty line; an empty text likewise. Columns of ``docs`` with these four names
-    are replaced, all others stay; names that begin with _chunk are taken.
+    are replaced, all others stay, whatever their names. ``docs`` that are not read from
+    Parquet files as they are get written first.
     """
     new = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    rows = _keyed(docs.drop(*[c for c in new if c in docs.columns]))
-    gone = removed_chunks(docs, divisor).toDF("_chunk_key", "_chunk_gone", "_chunk_lines")
-    rows = sized_join(rows, written(gone, "chunks-gone"), ["_chunk_key"], "left", 120).withColumn("_chunk_parts", chunks_of(F.col("text"), divisor))
-    left = F.array_join(F.transform(F.filter("_chunk_parts", lambda c: ~F.array_contains("_chunk_gone", c["no"])), lambda c: c["body"]), "\n")
+    docs = as_files(docs)
+    file, at, gone, lines, parts = (free_name(docs, c) for c in ("_file", "_at", "_gone", "_lines", "_parts"))
+    multi = lambda text: F.filter(chunks_of(text, divisor), lambda c: c["multi"])
+    later = repeated_parts(docs, multi).filter(F.struct("key", "no") != F.col("first"))
+    later = later.groupBy(F.col("file").alias(file), F.col("at").alias(at)).agg(F.collect_set("no").alias(gone), F.sum("n_lines").cast("long").alias(lines))
+    rows = at_places(docs, written(later, "chunks-gone"), "left", 300, file, at).withColumn(parts, chunks_of(F.col("text"), divisor))
+    left = F.array_join(F.transform(F.filter(parts, lambda c: ~F.array_contains(gone, c["no"])), lambda c: c["body"]), "\n")
     return rows.withColumns({
         "n_lines": F.size(F.split(filled("text"), "\n")).cast("long"),
-        "n_chunks": F.size("_chunk_parts").cast("long"),
-        "removed_chunks": F.coalesce(F.size("_chunk_gone"), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce("_chunk_lines", F.lit(0)).cast("long"),
-        "text": F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(left),
-    }).select(*[c for c in docs.columns if c not in new], *new)
+        "n_chunks": F.size(parts).cast("long"),
+        "removed_chunks": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "removed_lines": F.coalesce(lines, F.lit(0)).cast("long"),
+        "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left),
+    }).select(*[c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name not in new], *new)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, filled, let, sized_join, written
-from .line_chunks import _keyed
+from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, written
+from .line_chunks import repeated_parts
 
 
 def pairs_of(text: Column) -> Column:
@@ -29,35 +29,12 @@ def pairs_of(text: Column) -> Column:
     return let(F.split(filled(text), "\n"), lambda lines: let(worded(lines), lambda at: pairs(lines, at)))
 
 
-def _occurrences(keyed: DataFrame) -> DataFrame:
-    rows = keyed.select(F.col("_chunk_key").alias("key"), F.explode(pairs_of(F.col("text"))).alias("p"))
-    return rows.select("key", "p.no", "p.end", "p.body", F.unhex(F.md5("p.body")).alias("h"))
-
-
-def repeated_pairs(keyed: DataFrame) -> DataFrame:
-    """key, no, end, first for pairs that occur more than once; ``first`` is true at the
-    place with the smallest key and number."""
-    marks = written(_occurrences(keyed).drop("body"), "run-marks")
-    place = F.struct("key", "no")
-    again = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "runs-again")
-    # Byte comparison: all bodies of a hash are equal just when the least equals the greatest.
-    bodies = sized_join(_occurrences(keyed), again.select("h"), ["h"], "left_semi", 40)
-    compared = bodies.groupBy("h").agg((F.min("body") == F.max("body")).alias("equal"))
-    unequal = written(compared.filter(~F.col("equal")).select("h"), "runs-unequal")
-    found = sized_join(marks, again, ["h"], "inner", 100)
-    if not unequal.isEmpty():
-        found = found.join(unequal, "h", "left_anti")
-        own = bodies.join(unequal, "h", "left_semi")
-        own = own.join(own.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), ["h", "body"])
-        found = found.unionByName(own.select(*found.columns))
-    return found.select("key", "no", "end", (place == F.col("first")).alias("first"))
-
-
-def removed_lines(keyed: DataFrame) -> DataFrame:
-    """key, gone (numbers of lines to remove) for documents that lose some."""
-    spans = repeated_pairs(keyed).groupBy("key").agg(*[F.collect_set(F.when(F.col("first") == first, F.struct("no", "end"))).alias(name) for name, first in (("later", False), ("kept", True))])
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """file, at, gone (numbers of lines to remove) for documents that lose some."""
+    pairs = repeated_parts(docs, pairs_of).withColumn("kept", F.struct("key", "no") == F.col("first"))
+    spans = pairs.groupBy("file", "at").agg(*[F.collect_set(F.when(F.col("kept") == kept, F.struct("no", "end"))).alias(name) for name, kept in (("later", False), ("stays", True))])
     numbers = lambda c: F.flatten(F.transform(c, lambda x: F.sequence(x["no"], x["end"])))
-    gone = spans.select("key", F.array_except(numbers("later"), numbers("kept")).alias("gone"))
+    gone = spans.select("file", "at", F.array_except(numbers("later"), numbers("stays")).alias("gone"))
     return gone.filter(F.size("gone") > 0)
 
 
@@ -70,16 +47,17 @@ def dedup_line_runs(docs: DataFrame) -> DataFrame:
     document with the smallest doc_id (null first), within a document the first. Rows
     that repeat both doc_id and text are one document. A null text stays null with one
     empty line. Columns of ``docs`` with these two names are replaced, all others
-    stay; names that begin with _chunk are taken.
+    stay, whatever their names. ``docs`` that are not read from Parquet files as they are
+    get written first.
     """
     new = ["n_lines", "removed_lines"]
-    rows = _keyed(docs.drop(*[c for c in new if c in docs.columns]))
-    gone = removed_lines(_keyed(docs.select("doc_id", "text"))).toDF("_chunk_key", "_chunk_gone")
-    rows = sized_join(rows, written(gone, "runs-gone"), ["_chunk_key"], "left", 400)
+    docs = as_files(docs)
+    file, at, gone = (free_name(docs, c) for c in ("_file", "_at", "_gone"))
+    rows = at_places(docs, written(removed_lines(docs).toDF(file, at, gone), "runs-gone"), "left", 400, file, at)
     lines = F.split(filled("text"), "\n")
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_chunk_gone")), lambda i: F.get(x, i)), "\n"))
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
     return rows.withColumns({
         "n_lines": F.size(lines).cast("long"),
-        "removed_lines": F.coalesce(F.size("_chunk_gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_chunk_gone").isNull(), F.col("text")).otherwise(left),
-    }).select(*[c for c in docs.columns if c not in new], *new)
+        "removed_lines": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left),
+    }).select(*[c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name not in new], *new)

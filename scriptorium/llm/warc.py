@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, sized_join, written
+from .common import as_files, at_places, free_name, located, scratch_path, ship, sized_join, written
 
 #: The magic number of the skippable frame that holds a dictionary (fixed value).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -133,13 +133,18 @@ def _write_partition(batches: Iterator[pa.RecordBatch], folder: str, archive_byt
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to: of pages with equal payloads of 100
-    bytes or more, all but the one with the smallest page_id refer to that one."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = written(first.filter("n > 1").drop("n"), "warc-firsts")
-    rows = sized_join(rows, first, ["digest"], "left", 90)
-    return rows.select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    bytes or more, all but the one with the smallest page_id refer to that one. Digests
+    decide by the pages' places in their files; payloads stay there."""
+    pages = as_files(pages, "page_id", "url", "html")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    file, at, first = (free_name(pages, c) for c in ("_file", "_at", "_first"))
+    marks = located(pages, file, at).filter(F.octet_length(payload) >= MIN_REVISIT_BYTES)
+    marks = written(marks.select(file, at, F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest")), "warc-marks")
+    firsts = written(marks.groupBy("digest").agg(F.min("page_id").alias(first), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "warc-firsts")
+    refers = F.col(first).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(first))
+    revisits = written(sized_join(marks, firsts, ["digest"], "inner", 90).filter(refers).select(file, at, first), "warc-revisits")
+    rows = at_places(pages, revisits, "left", 200, file, at, ["page_id", "url", "html"])
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.col(first).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
@@ -154,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     """
     ship(pages.sparkSession)
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    rows = with_revisits(pages.select("page_id", "url", "html"))
+    rows = with_revisits(pages)
     made = rows.mapInArrow(lambda b: _write_partition(b, folder, archive_bytes), "path string, records long, bytes long")
     return folder, written(made, "warc-manifest", f"{folder}/_manifest")
 

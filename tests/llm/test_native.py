@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.llm import common, warc
 from scriptorium.llm import exact_dedup as ed
 from scriptorium.llm import kd_shards as kd
 from scriptorium.llm import line_chunks as lc
@@ -14,7 +16,7 @@ from scriptorium.llm import mixing as mx
 from scriptorium.llm.common import sized_join, written
 from scriptorium.llm.jaccard_join import jaccard_classes
 
-from .conftest import SCHEMA, edge_rows, text
+from .conftest import SCHEMA, WORDS, edge_rows, text
 
 WS = re.compile(r"[\x20\x09-\x0D]")
 
@@ -135,6 +137,43 @@ def test_exact_dedup_checks_bytes(spark, monkeypatch, tmp_path):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in later.collect()} == want
 
 
+def test_texts_stay_where_they_lie(spark, monkeypatch, tmp_path):
+    """With decisions beyond the limit, files are taken in rounds whose joins are
+    broadcast and read these files alone; only a file with more by itself is shuffled.
+    Results are those of one broadcast."""
+    r = random.Random(8)
+    lines = [" ".join(r.choices(WORDS, k=6)) for _ in range(40)]
+    made = lambda: "\n".join(lines[(k := r.randrange(34)) : k + r.randint(2, 6)])
+    rows = [(i, made() if i % 3 else f"only {i}", f"_{i % 5}") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, _file string").repartition(6, "doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat("text", F.repeat(F.lit("-"), 100)).alias("html"))
+    pages.write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    results = lambda: [
+        Counter(map(tuple, ed.exact_dedup(docs).drop("file", "at").collect())),
+        Counter(map(tuple, lc.dedup_line_chunks(docs).collect())),
+        Counter(map(tuple, lr.dedup_line_runs(docs).collect())),
+        Counter((x["page_id"], x["refers_to"], bytes(x["payload"])) for x in warc.with_revisits(pages).collect()),
+    ]
+    want, plans, join = results(), [], common.sized_join
+
+    def seen(left, right, *more):
+        out = join(left, right, *more)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(common, "sized_join", seen)
+    for limit, shuffled in ((9000, False), (300, True)):
+        plans.clear()
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        assert results() == want
+        assert len(plans) > 5
+        moves = [bool(re.search(r"(?<!Broadcast)Exchange hashpartitioning", x)) for x in plans]
+        assert any(moves) == shuffled
+        assert all(re.search(r"DataFilters: \[[^\]]{0,60}file_path#", x) for x in plans)  # which prunes files
+
+
 # line frequency
 
 
