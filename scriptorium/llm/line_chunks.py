@@ -2,17 +2,18 @@
 
 A rolling hash over the hashes of the last few lines decides where a chunk ends, so
 an insertion moves boundaries only near itself. Chunks of several lines that occur
-more than once in the corpus are compared byte by byte and removed but for the first.
+more than once in the corpus are compared byte by byte and removed but for the first,
+and extended to the lines around them that are repeated, too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, located, sized_join, written
+from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, written
+from .line_runs import pairs_of
+from .repeats import repeated_parts
 
 #: Factors of the hashes of this line and those before it, and a prime that their sum is
 #: taken modulo, so that every bit of every line counts.
@@ -22,6 +23,8 @@ PRIME = 2147483647
 DIVISOR = 2
 #: Lines with a word that make a chunk count as multi-line.
 MIN_LINES = 2
+#: Words of a run of repeated lines that goes without a repeated chunk in it.
+RUN_WORDS = 30
 
 
 def line_hash(line: Column) -> Column:
@@ -30,7 +33,7 @@ def line_hash(line: Column) -> Column:
 
 
 def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
-    """Array of struct(no, n_lines, multi, body): the chunks of a text, which joined by
+    """Array of struct(no, start, n_lines, multi, body): the chunks of a text, which joined by
     line feeds give the text back. A line that follows one whose rolling hash is a multiple
     ends no chunk, so that blocks of equal lines, whose hashes are equal too, are not cut
     at each line."""
@@ -44,67 +47,60 @@ def chunks_of(text: Column, divisor: int = DIVISOR) -> Column:
     def cut(lines: Column, e: Column) -> Column:
         first = lambda k: F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
         part = lambda x, k: F.slice(lines, first(k) + 1, x - first(k) + 1)
-        return F.transform(e, lambda x, k: F.struct(k.alias("no"), (x - first(k) + 1).alias("n_lines"), (F.size(F.filter(part(x, k), lambda y: y.rlike(WORD))) >= MIN_LINES).alias("multi"), F.array_join(part(x, k), "\n").alias("body")))
+        return F.transform(e, lambda x, k: F.struct(k.alias("no"), first(k).alias("start"), (x - first(k) + 1).alias("n_lines"), (F.size(F.filter(part(x, k), lambda y: y.rlike(WORD))) >= MIN_LINES).alias("multi"), F.array_join(part(x, k), "\n").alias("body")))
 
     return let(F.split(filled(text), "\n"), lambda lines: let(F.transform(lines, line_hash), lambda h: let(ends(h), lambda e: cut(lines, e))))
 
 
-def repeated_parts(docs: DataFrame, parts: Callable[[Column], Column]) -> DataFrame:
-    """file, at, key, no and the other fields but body, of parts of texts (an array of
-    struct(no, ..., body)) that occur more than once, byte by byte; ``first`` is the least
-    (key, no) of those equal. ``docs`` are Parquet files as they are read.
-
-    ``key`` is doc_id and a hash of the text, so that a null doc_id, or one with several
-    texts, still tells documents apart. Bodies are hashed where they lie; those of hashes
-    that repeat are fetched by their texts' places and compared. Nothing else moves a text."""
-    file, at = free_name(docs, "_file"), free_name(docs, "_at")
-    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64(filled("text")).alias("hash")).alias("key")
-
-    def exploded(rows: DataFrame, file: str, at: str, array: Column) -> DataFrame:
-        rows = rows.select(key, F.col(file).alias("file"), F.col(at).alias("at"), F.explode(array).alias("p"))
-        return rows.select("key", "file", "at", "p.*").withColumn("h", F.unhex(F.md5("body")))
-
-    marks = written(exploded(located(docs, file, at), file, at, parts(F.col("text"))).drop("body"), "part-marks")
-    place = F.struct("key", "no")
-    again = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "parts-again")
-    hits = written(sized_join(marks, again, ["h"], "inner", 100), "part-hits")
-    held = written(hits.groupBy(F.col("file").alias(file), F.col("at").alias(at)).agg(F.collect_set("no").alias("_nos")), "part-places")
-    texts = at_places(docs, held, "inner", 300, file, at, ["doc_id", "text"])
-    bodies = exploded(texts, file, at, F.filter(parts(F.col("text")), lambda p: F.array_contains("_nos", p["no"])))
-    # All bodies of a hash are equal just when the least equals the greatest.
-    compared = bodies.groupBy("h").agg((F.min("body") == F.max("body")).alias("equal"))
-    unequal = written(compared.filter(~F.col("equal")).select("h"), "parts-unequal")
-    if unequal.isEmpty():
-        return hits
-    own = bodies.join(unequal, "h", "left_semi")
-    own = own.join(own.groupBy("h", "body").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), ["h", "body"])
-    return hits.join(unequal, "h", "left_anti").unionByName(own.select(*hits.columns))
-
-
-def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with the text freed of repeated chunks, and n_lines, n_chunks,
-    removed_chunks, removed_lines.
+def lines_to_remove(docs: DataFrame, divisor: int = DIVISOR, run_words: int = RUN_WORDS) -> DataFrame:
+    """file, at, chunks (numbers of the repeated chunks), lines (numbers of all lines that
+    go) for documents that lose some. ``docs`` are Parquet files as they are read."""
+    multi = lambda text: F.filter(chunks_of(text, divisor), lambda c: c["multi"])
+    kept = F.struct("key", "no") == F.col("first")
+    chunks = written(repeated_parts(docs, multi).filter(~kept).select("file", "at", "no", "start", "n_lines"), "later-chunks")
+    pairs = repeated_parts(docs, pairs_of).withColumn("kept", kept)
+    words = lambda i: F.when(i == F.col("no"), F.col("words")).when(i == F.col("end"), F.col("more")).otherwise(0)
+    covered = pairs.select("file", "at", F.explode(F.transform(F.sequence("no", "end"), lambda i: F.struct(i.alias("i"), words(i).alias("w")))).alias("x"), "kept", F.lit(False).alias("chunk"))
+    covered = covered.unionByName(chunks.select("file", "at", F.explode(F.transform(F.sequence("start", F.col("start") + F.col("n_lines") - 1), lambda i: F.struct(i.alias("i"), F.lit(0).alias("w")))).alias("x"), F.lit(False).alias("kept"), F.lit(True).alias("chunk")))
+    place = ["file", "at"]
+    lines = covered.repartition(*place).groupBy(*place, F.col("x.i").alias("i")).agg(F.max("x.w").alias("w"), F.max("kept").alias("kept"), F.max("chunk").alias("chunk"))
+    lines = lines.filter("chunk OR NOT kept").withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*place).orderBy("i")))
+    runs = lines.groupBy(*place, "run").agg(F.collect_list("i").alias("lines"), F.sum("w").alias("w"), F.max("chunk").alias("chunk"))
+    runs = runs.filter(F.col("chunk") | (F.col("w") >= run_words)).groupBy(*place).agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    return runs.join(chunks.groupBy(*place).agg(F.collect_set("no").alias("chunks")), place, "left").select(*place, "chunks", "lines")
+
+
+def dedup_line_chunks(docs: DataFrame, divisor: int = DIVISOR, run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with the text freed of repeated chunks and what is repeated around them,
+    and n_lines, n_chunks, removed_chunks, removed_lines.
 
     A chunk counts as multi-line with two or more lines that hold a word; shorter ones
     are never removed. Of equal chunks the one in the document with the smallest doc_id
-    stays (null first), within a document the first. Rows that repeat both doc_id and
-    text are one document and keep or lose a chunk together. A null text stays null with
-    one empty line; an empty text likewise. Columns of ``docs`` with these four names
-    are replaced, all others stay, whatever their names. ``docs`` that are not read from
-    Parquet files as they are get written first.
+    stays (null first), within a document the first.
+
+    A chunk needs two ends within what two documents share, so repeated chunks are extended
+    by an exact step: pairs of neighbouring lines with a word (blank lines between belong to
+    them) are compared byte by byte at all offsets, and a line is repeated if a pair that it
+    is in is, but for lines in the first place of any repeated pair. Repeated lines next to
+    each other or to a chunk that goes are a run; a run goes if it holds such a chunk or
+    ``run_words`` words, so that a few short lines (brackets, rules) stay. Of each line that
+    goes an equal one stays, as chunks and pairs go only for such in an earlier place.
+
+    Rows that repeat both doc_id and text are one document and lose the same lines. A null
+    text stays null with one empty line; an empty text likewise. Columns of ``docs`` with
+    these four names are replaced, all others stay, whatever their names. ``docs`` that are
+    not read from Parquet files as they are get written first.
     """
     new = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     docs = as_files(docs)
-    file, at, gone, lines, parts = (free_name(docs, c) for c in ("_file", "_at", "_gone", "_lines", "_parts"))
-    multi = lambda text: F.filter(chunks_of(text, divisor), lambda c: c["multi"])
-    later = repeated_parts(docs, multi).filter(F.struct("key", "no") != F.col("first"))
-    later = later.groupBy(F.col("file").alias(file), F.col("at").alias(at)).agg(F.collect_set("no").alias(gone), F.sum("n_lines").cast("long").alias(lines))
-    rows = at_places(docs, written(later, "chunks-gone"), "left", 300, file, at).withColumn(parts, chunks_of(F.col("text"), divisor))
-    left = F.array_join(F.transform(F.filter(parts, lambda c: ~F.array_contains(gone, c["no"])), lambda c: c["body"]), "\n")
-    return rows.withColumns({
-        "n_lines": F.size(F.split(filled("text"), "\n")).cast("long"),
-        "n_chunks": F.size(parts).cast("long"),
-        "removed_chunks": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
-        "removed_lines": F.coalesce(lines, F.lit(0)).cast("long"),
+    file, at, chunks, gone = (free_name(docs, c) for c in ("_file", "_at", "_chunks", "_gone"))
+    decided = written(lines_to_remove(docs, divisor, run_words).toDF(file, at, chunks, gone), "chunks-gone")
+    lines = F.split(filled("text"), "\n")
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
+    return at_places(docs, decided, "left", 400, file, at).withColumns({
+        "n_lines": F.size(lines).cast("long"),
+        "n_chunks": F.size(chunks_of(F.col("text"), divisor)).cast("long"),
+        "removed_chunks": F.coalesce(F.size(chunks), F.lit(0)).cast("long"),
+        "removed_lines": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
         "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left),
     }).select(*[c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name not in new], *new)

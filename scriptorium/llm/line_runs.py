@@ -10,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, written
-from .line_chunks import repeated_parts
+from .common import WORD, as_files, at_places, columns_of, filled, free_name, let, words_of, written
+from .repeats import repeated_parts
 
 
 def pairs_of(text: Column) -> Column:
-    """Array of struct(no, end, body): for each line with a word but the last such, its
-    number, that of the next one with a word, and all from one to the other."""
+    """Array of struct(no, end, words, more, body): for each line with a word but the last
+    such, its number, that of the next one with a word, the words of both, and all from one
+    to the other."""
 
     def pairs(lines: Column, at: Column) -> Column:
         body = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a + 1), "\n")
+        words = lambda i: F.size(words_of(F.get(lines, i)))
         following = F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0)))
-        return F.transform(following, lambda b, k: let(F.get(at, k), lambda a: F.struct(a.alias("no"), b.alias("end"), body(a, b).alias("body"))))
+        return F.transform(following, lambda b, k: let(F.get(at, k), lambda a: F.struct(a.alias("no"), b.alias("end"), words(a).alias("words"), words(b).alias("more"), body(a, b).alias("body"))))
 
     def worded(lines: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))

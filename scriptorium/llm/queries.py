@@ -176,11 +176,35 @@ SQL = {
                    string_agg(line, chr(10) ORDER BY i) AS body
             FROM numbered GROUP BY doc_id, no),
         marked AS (
-            SELECT *, multi AND row_number() OVER (PARTITION BY multi, body ORDER BY doc_id, no) > 1 AS gone FROM chunks)
-        SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks,
-               count(*) FILTER (gone)::BIGINT AS removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
-               sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS text_sha256
-        FROM marked GROUP BY doc_id""",
+            SELECT *, multi AND row_number() OVER (PARTITION BY multi, body ORDER BY doc_id, no) > 1 AS gone FROM chunks),
+        d AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM lines GROUP BY doc_id),
+        worded AS (
+            SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e
+            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        pairs AS (
+            SELECT w.doc_id, i, e, array_to_string(lines[i:e], chr(10)) AS body
+            FROM worded w JOIN d ON d.doc_id = w.doc_id WHERE e IS NOT NULL),
+        again AS (
+            SELECT doc_id, i, e, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) = 1 AS first
+            FROM pairs QUALIFY count(*) OVER (PARTITION BY body) > 1),
+        paired AS (
+            SELECT doc_id, i FROM (SELECT doc_id, first, unnest(range(i, e + 1)) AS i FROM again)
+            GROUP BY doc_id, i HAVING NOT bool_or(first)),
+        chunked AS (SELECT n.doc_id, n.i FROM numbered n JOIN marked m ON m.doc_id = n.doc_id AND m.no = n.no WHERE m.gone),
+        runs AS (
+            SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM (SELECT * FROM paired UNION SELECT * FROM chunked)),
+        long AS (
+            SELECT r.doc_id, run FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.i = r.i
+            LEFT JOIN chunked c ON c.doc_id = r.doc_id AND c.i = r.i
+            GROUP BY r.doc_id, run
+            HAVING bool_or(c.i IS NOT NULL) OR sum(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) >= 30),
+        gone AS (SELECT r.doc_id, r.i FROM runs r JOIN long ON long.doc_id = r.doc_id AND long.run = r.run),
+        c AS (SELECT doc_id, count(*)::BIGINT AS n_chunks, count(*) FILTER (gone)::BIGINT AS removed_chunks FROM marked GROUP BY doc_id)
+        SELECT l.doc_id, count(*)::BIGINT AS n_lines, c.n_chunks, c.removed_chunks, count(g.i)::BIGINT AS removed_lines,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS text_sha256
+        FROM lines l JOIN c ON c.doc_id = l.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i
+        GROUP BY l.doc_id, c.n_chunks, c.removed_chunks""",
     "op6_line_runs": r"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         worded AS (

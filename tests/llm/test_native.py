@@ -241,21 +241,35 @@ def brute_chunks(t):
     return out
 
 
-def test_line_chunks_brute_force(spark, edges, nothing):
-    shared = text(50, 200)
-    docs = [(r[0], r[1]) for r in edge_rows() if r[0] is not None and r[0] != 3] + [(200 + k, text(60 + k, 16 * k) + "\n" + shared + "\n" + text(90 + k, 40)) for k in range(6)]
-    seen, want = set(), {}
+def brute_extended(docs):
+    """doc_id -> removed chunks, removed lines, text left; docs: distinct doc_ids."""
+    seen, paired, out = set(), brute_runs(docs), {}
     for d, t in sorted(docs, key=lambda x: x[0]):
-        left, gone = [], 0
+        n, at, chunked = 0, 0, set()
         for c in brute_chunks(t):
             body, multi = "\n".join(c), sum(bool(words(x)) for x in c) >= 2
             if multi and body in seen:
-                gone += 1
-            else:
-                left.append(body)
+                n += 1
+                chunked |= set(range(at, at + len(c)))
             seen |= {body} if multi else set()
-        want[d] = (gone, "\n".join(left) if gone else t)
-    got = {r["doc_id"]: (r["removed_chunks"], r["text"]) for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+            at += len(c)
+        lines, gone, run = (t or "").split("\n"), set(), []
+        for i in range(len(lines) + 1):
+            if i in chunked | paired[d]:
+                run.append(i)
+            else:
+                if chunked & set(run) or sum(len(words(lines[j])) for j in run) >= 30:
+                    gone |= set(run)
+                run = []
+        out[d] = (n, len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+    return out
+
+
+def test_line_chunks_brute_force(spark, edges, nothing):
+    shared = text(50, 200)
+    docs = [(r[0], r[1]) for r in edge_rows() if r[0] is not None and r[0] != 3] + [(200 + k, text(60 + k, 16 * k) + "\n" + shared + "\n" + text(90 + k, 40)) for k in range(6)]
+    want = brute_extended(docs)
+    got = {r["doc_id"]: (r["removed_chunks"], r["removed_lines"], r["text"]) for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and sum(v[0] for v in want.values()) > 20
     out = lc.dedup_line_chunks(edges)
     assert out.count() == edges.count() and set(out.columns) == {*edges.columns, "n_lines", "n_chunks", "removed_chunks", "removed_lines"}
@@ -267,13 +281,12 @@ def test_line_chunks_brute_force(spark, edges, nothing):
 def test_blocks_of_equal_lines(spark):
     """Blocks of equal lines, or of two in turn, are not cut at each line and go from copies."""
     docs = [(k, "\n".join([f"line {k // 3}"] * 30)) for k in range(30)] + [(100 + k, "\n".join([f"a {k // 3}", "c d"] * 15)) for k in range(30)]
-    got = {r["doc_id"]: r for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got, want = {r["doc_id"]: r for r in lc.dedup_line_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}, brute_extended(docs)
     for d, t in docs:
         assert got[d]["n_chunks"] <= 16
         if d % 100 % 3:
             assert got[d]["removed_lines"] >= 28
-        elif d < 100:
-            assert (got[d]["removed_lines"], got[d]["text"]) == (0, t)
+        assert got[d]["text"] == want[d][2]
 
 
 def test_insertions_move_few_boundaries():
@@ -300,7 +313,7 @@ def brute_runs(docs):
 
 
 def test_line_runs_find_short_passages_at_any_offset(spark):
-    """Passages of 2 to 6 whole lines, which chunks leave in place."""
+    """Passages of 2 to 6 whole lines; extended chunks find those of 30 words."""
     docs = []
     for n in range(2, 7):
         shared = text(300 + n, 8 * n)
@@ -310,8 +323,9 @@ def test_line_runs_find_short_passages_at_any_offset(spark):
     for d, t in docs:
         n, k = divmod(d, 1000)
         assert got[d] == ((n, "\n".join(t.split("\n")[: k + 2] + t.split("\n")[k + 2 + n :])) if k else (0, t))
-    short = [r["removed_lines"] for r in lc.dedup_line_chunks(df).collect() if r["doc_id"] % 1000]
-    assert 0 in short and any(short)
+    extended = {r["doc_id"]: r["text"] for r in lc.dedup_line_chunks(df).collect()}
+    assert all(extended[d] == got[d][1] for d, t in docs if len(words(t)) - len(words(got[d][1])) >= 30)
+    assert any(extended[d] == t for d, t in docs if d % 1000)
 
 
 def test_line_runs_brute_force(spark, edges, nothing):
