@@ -26,9 +26,8 @@ from .common import by_bytes, ship, written
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 LABELS = ("O", "B-email", "B-ip", "B-card", "I-card", "B-phone", "I-phone", "B-secret")
-#: Runs of letters and digits from which on a word's shape is just long; bytes of words
-#: whose shapes are kept; words that are scored at once.
-MANY_RUNS, KEPT_BYTES, BLOCK = 12, 4 << 20, 1 << 15
+#: Bytes of words whose shapes are kept; words that are scored at once.
+KEPT_BYTES, BLOCK = 4 << 20, 1 << 15
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,9 +35,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_GIVEN = re.compile(r"[\w.-]+\s*(?:=>?|:=?)\s*")
+_GIVEN = re.compile(r"[\w.-]+\s*(?:=>?|:=?(?!//))\s*")
 _MAIL = re.compile(r"[^@]@[^@]+[.].")
 _RUN = re.compile(r"([^\W\d_]+)|([0-9]+)")
+_LINK = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+_CUE = re.compile(r"(?i)(?:tel|telephone|phone|call|fax|mobile)[.:]*")
+_AGAIN = re.compile(r"(.{1,4}?)\1{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -99,17 +101,38 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
 
     def secret() -> str:
         v = r.choice((hexes(), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(16, 48)))))
-        return r.choice((v, v, v.upper(), f"{plain()}_{v}"))
+        return r.choice((v, v, v.upper(), f"{plain()}_{v}", "-".join(v[i : i + 4] for i in range(0, len(v), 4))))
 
     def given() -> list[tuple[str, str]]:
         """A name and a secret value for it, in several notations."""
         name, v = r.choice((plain(), f"{plain()}_{plain()}")), secret()
         name = r.choice((name, name, name.upper()))
-        if r.random() < 0.3:
-            return [(r.choice((f"{name}={v}", f'{name}="{v}"', f"{name}:{v}")), "B-secret")]
+        if r.random() < 0.2:  # as in a list of environment variables
+            name, v = name.upper(), v.upper()
+        if r.random() < 0.1:
+            return [(name.capitalize() + ":", "O"), (r.choice(("Bearer", "bearer", "Basic", "Token")), "O"), (v, "B-secret")]
+        if r.random() < 0.45:
+            return [(r.choice((f"{name}={v}", f"{name}={v}", f'{name}="{v}"', f"{name}:{v}")), "B-secret")]
         head = r.choice(([(name, "O"), (r.choice(("=", ":=", "=>")), "O")], [(name + ":", "O")], [(name + "=", "O")]))
         return [*head, (r.choice((v, f'"{v}"', f"'{v}'", f'"{v}"' + r.choice(("!!", ";", ",")))), "B-secret")]
 
+    def link() -> list[tuple[str, str]]:
+        """An address of a page, with values that are no secrets."""
+        host = f"{r.choice(('http', 'https', 'https', 'ftp'))}://{r.choice((domain(), domain(), 'www.' + domain(), domain() + ':' + r.choice(('80', '8080'))))}"
+        value = lambda: r.choice((hexes(), digits(r.randint(1, 16)), plain(), plain() + digits(2)))
+        path = "".join(f"/{r.choice((plain(), plain() + '-' + plain(), digits(r.randint(1, 10)), hexes()))}" for _ in range(r.randint(0, 4)))
+        asked = "&".join(f"{plain()}={value()}" for _ in range(r.choice((0, 1, 1, 2, 3))))
+        return [(r.choice(("{}", "{}", "<{}>", '"{}"', "({})")).format(host + (path or "/") + (asked and "?" + asked)), "O")]
+
+    def landline() -> list[tuple[str, str]]:
+        """A phone number in local form: a trunk prefix of 0, or no area; the latter, which
+        any two numbers may look like, only where a word before tells."""
+        area = "0" + str(r.randint(1, 9)) + digits(r.randint(1, 3))
+        whole = r.choice((f"{area} {digits(r.randint(5, 8))}", f"{area} {digits(3)} {digits(4)}", f"{area[:3]} {digits(4)} {digits(4)}", f"{area}/{digits(r.randint(6, 8))}", f"({area}) {digits(r.randint(6, 8))}", f"({area}) {digits(3)} {digits(4)}", f"{area}-{digits(r.randint(6, 7))}", " ".join([area[:2], *(digits(2) for _ in range(4))])))
+        if r.random() < 0.3:
+            return [(r.choice(("tel", "tel.", "Tel.", "Tel:", "phone:", "Phone", "call", "Call", "fax", "Fax:", "mobile")), "O"), (r.choice((f"{r.randint(200, 989)}-{digits(4)}", f"{digits(3)}-{digits(4)}")), "B-phone")]
+        return tagged("phone", whole)
+
     def tagged(kind: str, text: str) -> list[tuple[str, str]]:
         return [(w, f"{'I' if i and kind in ('card', 'phone') else 'B'}-{kind}") for i, w in enumerate(text.split(" "))]
 
@@ -128,12 +151,13 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
         lambda: tagged("phone", f"{area()}-{line()}"),
         lambda: tagged("phone", f"{area()}.{line().replace('-', '.')}"),
         lambda: tagged("phone", f"+{r.randint(1, 99)} {digits(3)} {digits(7)}"),
+        landline, landline,
     )
     other = (
         lambda: digits(r.randint(1, 3)), lambda: str(r.randint(1500, 2099)), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}",
         lambda: f"v{digits(1)}.{digits(2)}", lambda: f"{r.randint(1900, 2099)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/{r.randint(1900, 2099)}",
         lambda: f"${digits(2)}.{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}:{digits(2)}",
-        lambda: f"{digits(2)}-{digits(2)}", lambda: hexes(), lambda: f"@{plain()}", lambda: f"{plain()}={plain()}", lambda: f"{plain()}={digits(2)}",
+        lambda: f"{digits(2)}-{digits(2)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{digits(2)} {digits(3)}", lambda: hexes(), lambda: f"@{plain()}", lambda: f"{plain()}={plain()}", lambda: f"{plain()}={digits(2)}",
         lambda: f"{digits(1)}.", lambda: f"({r.randint(1900, 2099)})", lambda: f"{plain()}{digits(2)}", lambda: r.choice("=|:-*#"), lambda: f"{digits(3)}%", lambda: digits(r.randint(5, 9)),
     )
     table = []
@@ -144,8 +168,10 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
                 row += r.choice(held)()
                 if r.random() < 0.2:
                     row[-1] = (row[-1][0] + r.choice(".,;"), row[-1][1])
+            elif r.random() < 0.06:
+                row += link()
             else:
-                row.append((r.choice(other)(), "O"))
+                row += [(w, "O") for w in r.choice(other)().split(" ")]
                 if r.random() < 0.3:  # a name that is given a value of no secret kind
                     row[-1:] = [(plain(), "O"), ("=", "O"), (r.choice((f'"{plain()}"', plain(), digits(3), f'"{plain()}{digits(2)}"')), "O")]
             row += [(word(), "O") for _ in range(r.randint(1, 3))]
@@ -159,21 +185,19 @@ def labelled_table(rows: int = 1200, seed: int = 11) -> list[list[tuple[str, str
 def shape(word: str) -> str:
     """What the field sees of a word, as its features joined by tabs: runs of letters as x,
     runs of digits as d and their number (20 for more), other characters as they are; the
-    same without numbers; how many digits, runs and changes between letters and digits; the
-    length by powers of two; the case; whether all letters are hexadecimal. All of the word
-    counts; with many runs the first two are just ~."""
+    same without numbers, and again without signs at the ends; how many digits, runs and
+    changes between letters and digits; the length by powers of two; the case; whether all
+    letters are hexadecimal; whether it is a link, or announces a phone number. All of the word counts at any length. A
+    piece that stands three times or more in a row is written as that piece and +."""
     runs = _RUN.findall(word)
     digits, letters = sum(len(d) for _, d in runs), "".join(x for x, _ in runs)
     changes = sum(bool(a[0]) != bool(b[0]) for a, b in zip(runs, runs[1:]))
-    if len(runs) > MANY_RUNS or len(word) - digits - len(letters) > MANY_RUNS:
-        exact = loose = core = "~"
-    else:
-        exact = _RUN.sub(lambda m: "x" if m[1] else f"d{min(len(m[2]), 20)}", word)
-        loose = _RUN.sub(lambda m: "x" if m[1] else "d", word)
-        core = loose.strip("\"'.,;:!?<>")
+    exact = _AGAIN.sub(r"\1+", _RUN.sub(lambda m: "x" if m[1] else f"d{min(len(m[2]), 20)}", word))
+    loose = _AGAIN.sub(r"\1+", _RUN.sub(lambda m: "x" if m[1] else "d", word))
+    core = loose.strip("\"'.,;:!?<>")
     case = "" if not letters else "a" if letters.islower() else "A" if letters.isupper() else "Aa" if letters[0].isupper() and letters[1:].islower() else "aA"
     hexes = bool(digits and letters) and set(letters.lower()) <= set("abcdef")
-    seen = (f"s={exact}", f"l={loose}", f"core={core}", f"n={min(digits, 20)}", f"r={min(len(runs), MANY_RUNS)}", f"ch={min(changes, 8)}", f"len={len(word).bit_length()}", f"case={case}", f"hex={hexes}", f"at={'@' in word}", f"mail={bool(_MAIL.search(word))}", f"x={bool(letters)}", f"is={'=' in word or ':' in word[1:-1]}")
+    seen = (f"s={exact}", f"l={loose}", f"core={core}", f"n={min(digits, 20)}", f"r={min(len(runs), 12)}", f"ch={min(changes, 8)}", f"len={len(word).bit_length()}", f"case={case}", f"hex={hexes}", f"at={'@' in word}", f"mail={bool(_MAIL.search(word))}", f"x={bool(letters)}", f"is={'=' in word or ':' in word[1:-1]}", f"link={bool(_LINK.search(word))}", f"cue={bool(_CUE.fullmatch(word))}")
     return "\t".join(x.replace("\t", " ") for x in seen)
 
 
@@ -330,15 +354,15 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def plausible(kind: str, text: str) -> bool:
     """The exact check that a tagged span must pass, over all of it: a card's number of
     digits and Luhn sum, an address's parts, a phone number's digits, a mail address's
-    parts, a secret's 8 letters and digits or more."""
+    parts, a secret's 8 letters and digits or more, and that it is no link."""
     if kind == "ip":
         return any(k == "ip" for k, _, _ in base_spans(text))
     if kind == "email":
         return bool(_MAIL.search(text))
     if kind == "secret":
-        return sum(map(str.isalnum, text)) >= 8
+        return sum(map(str.isalnum, text)) >= 8 and not _LINK.match(text)
     digits = re.sub("[^0-9]", "", text)
-    return 9 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
 
 
 def field_spans(texts: Sequence[str], field: Field) -> list[list[tuple[str, int, int]]]:

@@ -271,6 +271,19 @@ def test_field_on_held_out_rows():
     assert right > 0.97 * wanted and right > 0.97 * found
 
 
+def test_field_on_other_wording():
+    """Wording that the labelled table does not make: links are no secrets, numbers of
+    several countries are phones, a long word's shape counts at any number of runs."""
+    spans = lambda t: [(k, t[a:b]) for k, a, b in pd_.field_spans([t], pd_.train())[0]]
+    for t in ("see https://x.org/a?id=1234567890abcdef for more", "x = https://x.org/a?id=1234567890abcdef", 'url: "https://ex.com/p/9f8a7b6c5d4e3f2a"', "page 123-4567 of the register", "between 1914 and 1918, 12 345 people", "commit 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f00 fixed"):
+        assert spans(t) == [], t
+    for t in ("030 1234567", "555-0142", "020 7946 0958", "089/12345678"):
+        assert spans(f"call {t} today") == [("phone", t)]
+    for t in ("api_key = {}", "AWS_KEY={}", "Authorization: Bearer {}"):
+        assert spans(t.format("9f8a7b6c5d4e3f2a1b0c9d8e")) == [("secret", "9f8a7b6c5d4e3f2a1b0c9d8e")], t
+    assert pd_.shape("a-1." * 20 + "=") != pd_.shape("a_1," * 20 + ":")
+
+
 def test_viterbi_is_exact():
     import itertools
 
