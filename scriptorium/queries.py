@@ -694,7 +694,12 @@ def _parsed(content: bytes):
     words = [(w[::-1], 400 - 60 * j - 50, 400 - 60 * j, 20 * i, 20 * i + 10) for i, line in enumerate(lines) for j, w in enumerate(line.split())]
     cells = [("code", 0, 0), ("sum", 100, 0), (f"{10000 + k % 3000}", 0, 40), ("5", 100, 40)] + [("7", 100, 55)] * (k % 50 != 2)
     words += [(w, 5 + x, 55 + x, 105 + y, 115 + y) for w, x, y in cells]
-    yield words, [(0, 200, y, y) for y in (100, 140, 180)] + [(x, x, 100, 180) for x in (0, 100, 200)]
+    ruled = [(0, 200, y, y) for y in (100, 140, 180)] + [(x, x, 100, 180) for x in (0, 100, 200)]
+    yield words, ruled
+    if k % 3 == 0:  # a table of earlier years on a page of its own
+        words = [(w[::-1], 400 - 60 * j - 50, 400 - 60 * j, 0, 10) for j, w in enumerate(LATIN.history_marker.split())]
+        cells = [("code", 0, 0), ("year", 100, 0), (f"{10000 + k % 3000}", 0, 40), (f"{k}", 100, 40)]
+        yield words + [(w[::-1], 5 + x, 55 + x, 105 + y, 115 + y) for w, x, y in cells], ruled
 
 
 @query("""WITH u AS (SELECT c_custkey AS k, 'https://letters.example/letter_' || c_custkey || '.pdf' AS url FROM customer),
@@ -702,11 +707,18 @@ def _parsed(content: bytes):
     SELECT doc_id, 'report' AS stage, k || '_' || doc_id || '_summary_parse.html' AS message FROM d WHERE k % 50 > 2 AND k % 3000 < 1500
     UNION ALL SELECT doc_id, CASE k % 50 WHEN 0 THEN 'fetch' WHEN 1 THEN 'scan' ELSE 'combine' END,
         CASE k % 50 WHEN 0 THEN 'no letter ' || k WHEN 1 THEN 'no PDF in letter ' || k ELSE 'no data table with a delta column' END FROM d WHERE k % 50 <= 2
-    UNION ALL SELECT 'one@example.org', 'outbox', count(*)::VARCHAR FROM d WHERE k % 50 > 2 AND k % 3000 < 1500""")
+    UNION ALL SELECT 'one@example.org', 'outbox', count(*)::VARCHAR FROM d WHERE k % 50 > 2 AND k % 3000 < 1500
+    UNION ALL SELECT doc_id, 'page', '<html dir="auto"><body><table>' || chr(10) || array_to_string(list_transform(
+        [[' ', 'Budget Office - Letters'], [' ', 'Gist: pay ' || k || ' Regards'], [' ', 'mus edoc'], ['date', ' '], ['requests', ' '], ['programs', ' '],
+         ['gist', 'pay ' || k], ['breakdown', ' '], ['links', ' '], ['coalition', 'no'], ['manpower', 'no'], ['0' || (10000 + k % 3000), ' | 2 | 7 | 5']]
+        || CASE WHEN k % 3 = 0 THEN [['code', 'year | code'], [(10000 + k % 3000)::VARCHAR, format('{:,}', k) || ' | ' || (10000 + k % 3000)]] ELSE [] END,
+        lambda r: '<tr><th>' || r[1] || '</th><td>' || r[2] || '</td></tr>'), chr(10)) || chr(10) || '</table></body></html>'
+    FROM d WHERE k % 50 > 2 AND k % 3000 < 1500""")
 def letters_end_to_end(spark, sf_dir):
     keys = table(spark, sf_dir, "customer").select("c_custkey")
     urls = keys.select(F.format_string("https://letters.example/letter_%d.pdf", "c_custkey").alias("url"))
     master = spark.range(1500).select(F.lpad((F.col("id") + 10000).cast("string"), 6, "0").alias("code"), F.lit("").alias("name"))
     files, messages, errors = run_batch(urls, master, f"{shared_folder(spark)}/letters-{uuid.uuid4().hex}", ["one@example.org"], "letters", LATIN, _opened, _parsed)
     out = files.select("doc_id", F.lit("report").alias("stage"), F.col("file").alias("message"))
+    out = out.unionByName(files.select("doc_id", F.lit("page").alias("stage"), F.col("html").alias("message")))
     return out.unionByName(errors).unionByName(messages.select(F.col("recipient").alias("doc_id"), F.lit("outbox").alias("stage"), F.col("attachments").cast("string").alias("message")))
