@@ -209,3 +209,35 @@ def test_first_matching_page_and_letterhead(spark):
 def test_last_wins(spark):
     df = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "k string, v string, n int")
     assert {r["k"]: r["v"] for r in match.last_wins(df, "k", "v", "n").collect()} == {"a": "3", "b": "2"}
+
+
+def test_split_columns_on_random_tables(spark):
+    """Names that meet, ragged rows and tables of one row, against loops; by one sort."""
+    r = random.Random(8)
+    cells, want = [], []
+    for k in range(120):
+        heads = [r.choice(["a", "b", "a", "", "a from", "b delta"]) for _ in range(r.randint(1, 5))]
+        rows = [heads] + [[r.choice(["1\n2", "7", "", "x"]) if r.random() < 0.85 else "gone" for _ in heads] for _ in range(r.randint(0, 4))]
+        own = [(i, j, c) for i, row in enumerate(rows) for j, c in enumerate(row) if c != "gone"]
+        cells += [(f"d{k}", 0, *c) for c in own]
+        one = max(i for i, _, _ in own) == 0
+        kept = own if one else [c for c in own if c[0] > 0]
+        stacks, places, values = {j for _, j, c in kept if "\n" in c}, {}, {}
+        for i, j, c in sorted(kept):
+            name = str(j) if one else heads[j] or f"col{j}"
+            if j in stacks:
+                a, b = map(float, c.split("\n")) if "\n" in c else (None, None)
+                parts = [(f"{name} from", None, a), (f"{name} to", None, b), (f"{name} delta", None, None if a is None else b - a)]
+            else:
+                parts = [(name, c, None)]
+            for p, (n, text, num) in enumerate(parts):
+                places[n] = min(places.get(n, (j, p)), (j, p))
+                values[i, n] = text, num
+        want += [(f"d{k}", 0, i, n, places[n], *v) for (i, n), v in values.items()]
+    logical = tables.split_stacked(tables.promote_header(spark.createDataFrame(cells, CELLS)))
+    got = [(*x[:4], tuple(x["col_pos"]), x["text"], x["num"]) for x in logical.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plan = logical._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    keys = {tuple(x) for x in tables.data_table_keys(logical).collect()}
+    assert keys == {x[:2] for x in want if x[3].endswith("delta")} and keys
