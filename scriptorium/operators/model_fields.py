@@ -67,10 +67,14 @@ def ask(client: Client, text: str, schema: dict, attempts: int = 5, pause: Calla
     return answer
 
 
-def checked_answers(answers: DataFrame, wanted: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(values, errors) of answers (with a column answer, JSON text; other columns stay).
-    values has m, a map with just the wanted names; errors has message. An answer must be an
-    object with these names, each once, no others, and text under each."""
+def judged_answers(answers: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """Answers (with a column answer, JSON text; other columns stay) with m, a map with just
+    the wanted names, or message, what is wrong. An answer must be an object with these
+    names, each once, no others, and text under each.
+
+    What is read of an answer is made a row of (inline), so that a filter on the message
+    does not have it read again for each time that the message refers to it.
+    """
     names = F.array(*map(F.lit, wanted))
     keys, whole = F.json_object_keys("answer"), F.try_parse_json("answer")
     listed = lambda what, xs: F.when(F.size(xs) > 0, F.concat(F.lit(what), F.array_join(xs, ", ")))
@@ -84,9 +88,17 @@ def checked_answers(answers: DataFrame, wanted: tuple[str, ...]) -> tuple[DataFr
         listed("unknown: ", F.array_except(F.col("_keys"), names)),
         listed("no text: ", F.array_compact(F.array(*told))),
     )
-    rows = answers.withColumns({"_keys": keys, "_whole": whole, "_typed": F.from_json("answer", "map<string,variant>")}).withColumn("message", fault).drop("_keys", "_whole", "_typed")
-    values = rows.filter("message IS NULL").withColumn("m", F.from_json("answer", "map<string,string>")).drop("message")
-    return values, rows.filter("message IS NOT NULL")
+    once = lambda df, **own: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in own.items()]))))
+    rows = once(answers, _keys=keys, _whole=whole)
+    rows = once(rows, _typed=F.when(F.col("_whole").isNotNull() & F.col("_keys").isNotNull(), F.from_json("answer", "map<string,variant>")))
+    rows = once(rows, message=fault).drop("_keys", "_whole", "_typed")
+    return rows.withColumn("m", F.when(F.col("message").isNull(), F.from_json("answer", "map<string,string>")))
+
+
+def checked_answers(answers: DataFrame, wanted: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(values, errors) of judged answers: values has m, errors has message."""
+    rows = judged_answers(answers, wanted)
+    return rows.filter("message IS NULL").drop("message"), rows.filter("message IS NOT NULL").drop("m")
 
 
 def model_fields(text: DataFrame, profile: Profile, client: Client, cache_path: str | None = None, attempts: int = 5, pause: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
