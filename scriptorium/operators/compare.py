@@ -14,8 +14,10 @@ def field_comparison(parse: DataFrame, llm: DataFrame) -> DataFrame:
     left = parse.select("doc_id", "field", F.col("value").alias("parse"))
     right = llm.select("doc_id", "field", F.col("value").alias("llm"))
     rows = left.join(right, ["doc_id", "field"], "full").fillna("", ["parse", "llm"])
-    same = t.normalize_text(F.col("parse")) == t.normalize_text(F.col("llm"))
-    return rows.withColumn("matched", (F.col("parse") != "") & same)
+    # Texts that are the same but for white space need no look at their numbers.
+    rows = rows.withColumns({"_a": t.collapse_ws(F.col("parse")), "_b": t.collapse_ws(F.col("llm"))})
+    same = F.when(F.col("_a") == F.col("_b"), True).otherwise(t.sorted_numbers(F.col("_a")) == t.sorted_numbers(F.col("_b")))
+    return rows.withColumn("matched", (F.col("parse") != "") & same).drop("_a", "_b")
 
 
 def match_tally(comparison: DataFrame) -> DataFrame:

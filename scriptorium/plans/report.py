@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.bidi import display_order
+from ..sources.stage import kept
 
 
 def letterhead_rows(text: DataFrame, letters: str) -> DataFrame:
@@ -68,9 +69,10 @@ def attachments(files: DataFrame, recipients: list[str]) -> DataFrame:
 
 def comparison_rows(comparison: DataFrame) -> DataFrame:
     """doc_id, label, value, matched: a row per field with both values from right to left,
-    and the tally under an empty label."""
+    and the tally under an empty label. The comparison is written once for both."""
     from ..operators.compare import match_tally
 
+    comparison = kept(comparison, "comparison")
     rows = comparison.select("doc_id", F.col("field").alias("label"), F.concat_ws(" | ", "llm", "parse").alias("value"), "matched")
     tally = match_tally(comparison).select("doc_id", F.lit("").alias("label"), F.concat_ws(" of ", F.col("matched").cast("string"), F.col("fields").cast("string")).alias("value"), (F.col("matched") == F.col("fields")).alias("matched"))
     return rows.unionByName(tally)
