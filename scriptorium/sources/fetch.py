@@ -7,7 +7,7 @@ import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +42,28 @@ def tried(url: str, opener: Callable[[str], bytes] = get, attempts: int = 4, pau
     return None, f"{url}: {len(faults)} attempts, at last {faults[-1]}"
 
 
-def fetch(urls: DataFrame, opener: Callable[[str], bytes] = get, attempts: int = 4, pause: Callable[[float], None] = time.sleep, hosts: int = 64, lanes: int = 1) -> DataFrame:
+def answers(batches: Iterable[pd.DataFrame], opener: Callable[[str], bytes], attempts: int, pause: Callable[[float], None], bytes_at_once: int) -> Iterator[pd.DataFrame]:
+    """key, url, content, error: a frame per batch, or more of at least ``bytes_at_once``
+    each; one per letter would cost far more than to fetch it."""
+    frame = lambda rows: pd.DataFrame(rows, columns=["key", "url", "content", "error"], dtype=object)
+    for batch in batches:
+        held, size = [], 0
+        for key, url in zip(batch["key"], batch["url"], strict=True):
+            content, error = tried(url, opener, attempts, pause)
+            held.append((key, url, content, error))
+            size += len(content or b"")
+            if size >= bytes_at_once:
+                yield frame(held)
+                held, size = [], 0
+        yield frame(held)
+
+
+def fetch(urls: DataFrame, opener: Callable[[str], bytes] = get, attempts: int = 4, pause: Callable[[float], None] = time.sleep, hosts: int = 64, lanes: int = 1, bytes_at_once: int = 32 << 20) -> DataFrame:
     """key, url, content, error for rows of key and url. URLs of one host go to at most
     ``lanes`` tasks, of ``hosts`` in all: this bounds what a host is asked at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, url in zip(batch["key"], batch["url"], strict=True):
-                content, error = tried(url, opener, attempts, pause)
-                yield pd.DataFrame({"key": [key], "url": [url], "content": [content], "error": [error]})
+        return answers(batches, opener, attempts, pause, bytes_at_once)
 
     ship(urls.sparkSession)
     dealt = urls.select("key", "url").repartition(hosts, F.try_parse_url("url", F.lit("HOST")), F.pmod(F.xxhash64("url"), F.lit(lanes)))

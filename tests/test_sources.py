@@ -1,6 +1,7 @@
 import json
 import urllib.error
 
+import pandas as pd
 import pytest
 
 from scriptorium.sources import config, fetch, master, pdf, rest
@@ -40,6 +41,21 @@ def test_download_retries():
     assert fetch.tried("u", broken, pause=waits.append) == (None, "no such letter") and len(waits) == 5
 
 
+def test_fetched_letters_are_handed_on_together():
+    """Not a frame for each letter, nor more than so many bytes at once."""
+    batch = lambda n: pd.DataFrame({"key": [str(k) for k in range(n)], "url": [f"http://a/{k}" for k in range(n)]})
+
+    def opener(url):
+        if url.endswith("7"):
+            raise ValueError("no")
+        return url.encode()
+
+    frames = list(fetch.answers([batch(1000), batch(10)], opener, 1, None, 1 << 20))
+    assert [len(f) for f in frames] == [1000, 10]
+    assert [(r.key, r.content, r.error) for r in frames[1].itertuples()] == [(str(k), None, "no") if k == 7 else (str(k), f"http://a/{k}".encode(), None) for k in range(10)]
+    assert [len(f) for f in fetch.answers([batch(5)], opener, 1, None, 20) if len(f)] == [2, 2, 1]
+
+
 def test_fetch_and_cache(spark, tmp_path):
     urls = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("https://b/bad",), ("file.pdf",), (None,)], "url string")
 
