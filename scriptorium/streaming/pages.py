@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import pages
 from ..profile import HEBREW, Profile
+from ..sources.stage import ship
 
 SCHEMA = "doc_id string, page_no int, n_pages int, raw_text string, arrived timestamp"
 RELEASED = "doc_id string, page_no int, raw_text string, complete boolean"
@@ -55,6 +56,7 @@ def gathered(arriving: DataFrame, hold_s: int = 86400, late: str = "1 hour") ->
         if ends:
             yield _pages(key[0], list(held), list(held.values()), True)
 
+    ship(arriving.sparkSession)
     rows = arriving.filter("doc_id is not null and page_no is not null and arrived is not null").withWatermark("arrived", late)
     return rows.groupBy("doc_id").applyInPandasWithState(step, RELEASED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -8,6 +8,7 @@ import pytest
 from scriptorium.operators import pages
 from scriptorium.profile import LATIN
 from scriptorium.sources import rest
+from scriptorium.streaming import pages as stream
 from scriptorium.streaming.pages import SCHEMA, stream_letters
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -45,6 +46,13 @@ def test_any_order_of_pages_gives_the_batch(spark, tmp_path, seed):
     assert sum(x["header_pages"] for x in got.values()) == pages.header_pages(batch, LATIN).count()
 
 
+def test_executors_are_given_the_package(spark, tmp_path, monkeypatch):
+    given = []
+    monkeypatch.setattr(stream, "ship", given.append)
+    stream.gathered(spark.readStream.schema(SCHEMA).parquet(str(tmp_path)))
+    assert len(given) == 1
+
+
 def test_late_repeated_and_lost_pages(spark, tmp_path):
     source = str(tmp_path / "in")
     arrive(spark, source, [page("whole", 0, 2, "a"), page("lost", 0, 2, "b"), page(None, 0, 1, "c"), page("whole", None, 2, "c"), page("unknown", 0, None, "u")])
