@@ -100,6 +100,27 @@ def test_budget_lines_on_random_tables(spark):
         assert got.get(d, []) == (want or []), (d, doc)
 
 
+def test_letters_as_arrays_and_large_ones_by_counts(spark, monkeypatch):
+    """Letters decided in tasks, in pieces of any size, and letters that no task holds agree;
+    letters are written once, as lines."""
+    r = random.Random(11)
+    docs = {f"d{k}": random_doc(r) for k in range(60)} | {None: random_doc(r)}
+    cells = [(d, n, i, j, c) for d, doc in docs.items() for n, rows in enumerate(doc) for i, row in enumerate(rows) for j, c in enumerate(row)]
+    cells += [("odd", 0, i, j, c) for i, row in enumerate([["code", "s from", "s to", "eman meti"], ["12345", " 1e1", "0x1p3", "\u24b6\n==\nx\u00a0"], ["23456", "NaN", "7d", "\u2003ba\u200d "]]) for j, c in enumerate(row)]
+    cells += [("odd", 0, 2, 0, "12"), ("odd", 0, 2, 0, "99999"), ("odd", 0, 3, 0, "34567"), ("odd", 1, 1, 1, "1\n\x1c2")]
+    frame, names, own = spark.createDataFrame(cells, CELLS).repartition(3), [], tables.kept
+    monkeypatch.setattr(tables, "kept", lambda df, name: names.append(name) or own(df, name))
+    rows = lambda found: [sorted(map(repr, map(tuple, x.collect()))) for x in found]
+    whole = rows(tables.budget_lines(frame, LATIN))
+    assert names == ["budget-lines"] and len(whole[0]) > 30 and len(whole[1]) > 5
+    monkeypatch.setattr(tables.table_arrays, "CHUNK", 7)
+    assert rows(tables.budget_lines(frame, LATIN)) == whole
+    assert rows(tables._large_letters(frame, LATIN)) == whole
+    monkeypatch.setattr(tables, "LARGE_LETTER", 15)
+    names.clear()
+    assert rows(tables.budget_lines(frame, LATIN)) == whole and len(names) > 1
+
+
 def test_stacked_cells_and_reserve_rows(spark):
     cells = [("d", 0, 0, j, h) for j, h in enumerate(["code", "sum", "", HEBREW.name_header[::-1]])]
     cells += [("d", 0, 1, 0, "45211"), ("d", 0, 1, 1, "100\n250"), ("d", 0, 1, 2, None), ("d", 0, 1, 3, HEBREW.gist[0][::-1])]
