@@ -18,7 +18,8 @@ def request_numbers(x: Column, profile: Profile) -> Column:
     """Request numbers, once each and put right, then the committee's; what is missing is
     left out."""
     found = t.all_captures(x, rf"(?U){profile.request_label}\s*(\d{{3}}-\d{{2}})")
-    numbers = F.array_join(F.array_distinct(F.transform(found, lambda r: t.unreverse_numbers(r))), ", ")
+    right = lambda r: F.array_join(F.transform(F.split(r, "-"), lambda run: F.reverse(run)), "-")
+    numbers = F.array_join(F.array_distinct(F.transform(found, right)), ", ")
     pattern = rf"(?U){profile.committee_pattern}\s*:?\s*([^\n]+)"
     committee = F.when(x.rlike(pattern), F.concat(F.lit(profile.committee_label + ": "), t.first_capture(x, pattern)))
     return F.concat_ws(" | ", F.nullif(numbers, F.lit("")), committee)

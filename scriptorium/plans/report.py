@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -25,10 +26,14 @@ def report_rows(fields: DataFrame, lines: DataFrame, history: DataFrame | None =
     money = [t.format_thousands(F.col(c)) for c in ("delta", "to", "from")]
     out = out.unionByName(lines.select("doc_id", F.lit("budget").alias("section"), F.col("line_no").alias("row_no"), F.col("number").alias("label"), F.concat_ws(" | ", "name", *money).alias("value")))
     if history is not None:
-        heads = history.groupBy("doc_id", "col_no").agg(F.min_by("header", "row_no").alias("value")).select("doc_id", F.lit(0).alias("row_no"), "col_no", "value")
-        history = heads.unionByName(history.select("doc_id", "row_no", "col_no", "value"))
+        # The first cell of each column brings its heading along, as a cell of row 0.
+        first = F.row_number().over(W.partitionBy("doc_id", "col_no").orderBy("row_no")) == 1
+        cell = lambda row, value: F.struct(row.cast("int").alias("row_no"), "col_no", value.alias("value"))
+        own, heading = cell(F.col("row_no"), F.col("value")), cell(F.lit(0), F.col("header"))
+        history = history.withColumn("_first", first).select("doc_id", F.inline(F.when(F.col("_first"), F.array(heading, own)).otherwise(F.array(own))))
         cells = F.struct((-F.col("col_no")).alias("at"), "value")
-        rows = history.groupBy("doc_id", "row_no").agg(F.min_by("value", "col_no").alias("label"), F.sort_array(F.collect_list(cells)).alias("c"))
+        rows = history.groupBy("doc_id", "row_no").agg(F.sort_array(F.collect_list(cells)).alias("c"))
+        rows = rows.withColumn("label", F.element_at("c", -1)["value"])
         rows = rows.select("doc_id", F.lit("history").alias("section"), "row_no", "label", F.array_join(F.transform("c", lambda x: x["value"]), " | ").alias("value"))
         out = out.unionByName(rows)
     return out if head is None else head.unionByName(out)

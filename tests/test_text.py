@@ -56,3 +56,23 @@ def test_against_python(spark, xs):
     assert run(spark, t.collapse_ws, xs) == [" ".join(x.split()) for x in xs]
     once = run(spark, t.normalize_text, xs)
     assert run(spark, t.normalize_text, once) == once
+
+
+SPACED = ["", " ", "x", " x", "x\u2003", "\x1c\x85x y\u00a0\n", "\u3000", "\u05d0 ", "\u05d0", "~", "!a b!", "\x7f", "a\u200bb\u200b", "\U0001f600\u1680", None]
+
+
+def test_stripping_without_patterns(spark):
+    """White space as str.strip sees it, by whichever way."""
+    want = [v and v.strip() for v in SPACED]
+    assert run(spark, t.strip_ws, SPACED) == want == run(spark, t.strip_cell, SPACED)
+    plan = spark.range(1).select(t.strip_ws(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+
+
+def test_sections_and_letterheads_of_odd_texts(spark):
+    texts = ["a.(b\\Ec] x\ny;z", "a.(b\\E", "none", "a.(b\\Ec;z\u2028", "\ud7ff a.(b\\E  \u05d0 a.(b\\E ;", "", None]
+    section = lambda v: v if v is None else v.split("a.(b\\E", 1)[1].split(";", 1)[0].split("]", 1)[0].strip() if "a.(b\\E" in v else ""
+    assert run(spark, lambda x: t.section_between(x, "a.(b\\E", [";", "]"]), texts) == [section(v) for v in texts]
+    heads = ["1\n" * 9 + " ab c\n2\nd\ne\nf", "a\r\n\rb\u2028\x1cc\x85d", "\n1\n\n", "", "x\ny", "a\nb\nc\nd", None]
+    own = lambda v: v if v is None else [re.sub(r"(\S) ([a-z])(?=\s|\Z)", r"\1\2", line.strip()) for line in v.splitlines() if re.search("[a-z]", line)][:3]
+    assert run(spark, lambda x: t.letterhead(x, "[a-z]"), heads) == [own(v) for v in heads]
