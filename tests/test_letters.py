@@ -9,6 +9,7 @@ from scriptorium.operators import compare, fields, match, model_fields, pages, t
 from scriptorium.plans import letters
 from scriptorium.plans.report import outbox, render_html
 from scriptorium.profile import HEBREW, LATIN
+from scriptorium.sources import stage
 
 CELLS = "doc_id string, table_no int, row_no int, col_no int, text string"
 
@@ -108,8 +109,8 @@ def test_letters_as_arrays_and_large_ones_by_counts(spark, monkeypatch):
     cells = [(d, n, i, j, c) for d, doc in docs.items() for n, rows in enumerate(doc) for i, row in enumerate(rows) for j, c in enumerate(row)]
     cells += [("odd", 0, i, j, c) for i, row in enumerate([["code", "s from", "s to", "eman meti"], ["12345", " 1e1", "0x1p3", "\u24b6\n==\nx\u00a0"], ["23456", "NaN", "7d", "\u2003ba\u200d "]]) for j, c in enumerate(row)]
     cells += [("odd", 0, 2, 0, "12"), ("odd", 0, 2, 0, "99999"), ("odd", 0, 3, 0, "34567"), ("odd", 1, 1, 1, "1\n\x1c2")]
-    frame, names, own = spark.createDataFrame(cells, CELLS).repartition(3), [], tables.kept
-    monkeypatch.setattr(tables, "kept", lambda df, name: names.append(name) or own(df, name))
+    frame, names, own = spark.createDataFrame(cells, CELLS).repartition(3), [], stage.once
+    monkeypatch.setattr(stage, "once", lambda df, beside: names.append(beside.split("/")[-1]) or own(df, beside))
     rows = lambda found: [sorted(map(repr, map(tuple, x.collect()))) for x in found]
     whole = rows(tables.budget_lines(frame, LATIN))
     assert names == ["budget-lines"] and len(whole[0]) > 30 and len(whole[1]) > 5
